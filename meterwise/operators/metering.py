@@ -169,7 +169,7 @@ def counter_deltas(
     return out.withColumn("billable", ~F.col("is_reset") & ~F.col("is_duplicate") & ~F.col("is_late"))
 
 
-def minute_buckets(deltas: DataFrame, cfg: RatingConfig = RatingConfig()) -> DataFrame:
+def minute_buckets(deltas: DataFrame, cfg: RatingConfig = RatingConfig(), grain: str = "minute") -> DataFrame:
     """A-P6 + A-W9: billable deltas rolled up to the minute bucket key
     ``(bucket_start, node_id, account_uuid, region, line_code)``.
 
@@ -178,7 +178,7 @@ def minute_buckets(deltas: DataFrame, cfg: RatingConfig = RatingConfig()) -> Dat
     (multiplier, revision) are attached by the rating step.
     """
     b = deltas.filter("billable").select(
-        minute_start(F.col("collected_at")).alias("bucket_start"),
+        (minute_start(F.col("collected_at")) if grain == "minute" else F.date_trunc(grain, "collected_at").cast("timestamp_ntz")).alias("bucket_start"),
         F.col("storage_node_id").alias("node_id"),
         "account_uuid",
         F.lit(cfg.default_region).alias("region"),

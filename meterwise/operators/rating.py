@@ -9,7 +9,8 @@ Each step is a closed window form here, per account, ordered by
 * waterfall (A-W4): ``remaining = max(Q - bytes before, 0)``, ``applied =
   min(remaining, bytes)``, ``chargeable = bytes - applied``;
 * amount (A-P9): ``-chargeable * price * multiplier`` (``+ 0.0`` drops ``-0.0``);
-* balance (A-W5): seed balance + running sum of amounts;
+* balance (A-W5): seed balance + running sum of amounts, computed as
+  ``seed - max(bytes so far - Q, 0) * price * multiplier`` (charges only);
 * arrears (A-W6): start of the current negative run of the balance (or the stored
   ``arrears_since`` when the run reaches back to the seed), null when not negative;
 * throttle flag (A-P10): ``throttled`` iff balance < 0.
@@ -95,7 +96,8 @@ def rate_buckets(
             "rows_before": (F.lit(1).cast("long"), "sum", "excl"),
         },
     )
-    remaining = F.greatest(F.col("seed_remaining") - F.col("bytes_before"), F.lit(0)).cast("long")
+    q = F.col("seed_remaining")
+    remaining = F.greatest(q - F.col("bytes_before"), F.lit(0)).cast("long")
     a = a.withColumn("remaining_before", remaining)
     a = a.withColumn("included_applied", F.least(F.col("remaining_before"), F.col("total_bytes")))
     a = a.withColumn("rated_bytes", F.col("total_bytes") - F.col("included_applied"))
@@ -103,18 +105,13 @@ def rate_buckets(
         "amount_delta",
         (-F.col("rated_bytes").cast("double")) * F.col("price_per_byte") * F.col("multiplier") + F.lit(0.0),
     )
-
-    cut = materialize if chunk is not None else (lambda d: d)
-    a = cut(a)
-    b = chunked_window(
-        a, keys, order, chunk,
-        runs={
-            "amount_before": (F.col("amount_delta"), "sum", "excl"),
-            "amount_through": (F.col("amount_delta"), "sum", "incl"),
-        },
-    )
-    b = b.withColumn("balance_before", F.col("seed_balance") + F.col("amount_before"))
-    b = b.withColumn("balance_after", F.col("seed_balance") + F.col("amount_through"))
+    # Charges only: the balance is the seed minus everything charged so far, and the
+    # bytes charged so far are max(bytes so far - Q, 0).  One running byte total gives
+    # both balances, so no second running pass over the amounts is needed.
+    charged_before = F.greatest(F.col("bytes_before") - q, F.lit(0)).cast("double")
+    charged_through = F.greatest(F.col("bytes_before") + F.col("total_bytes") - q, F.lit(0)).cast("double")
+    a = a.withColumn("balance_before", F.col("seed_balance") + (-charged_before) * F.col("price_per_byte") * F.col("multiplier") + F.lit(0.0))
+    a = a.withColumn("balance_after", F.col("seed_balance") + (-charged_through) * F.col("price_per_byte") * F.col("multiplier") + F.lit(0.0))
 
     neg = F.col("balance_after") < 0
     is_first = F.col("rows_before") == 0
@@ -122,8 +119,9 @@ def rate_buckets(
         F.col("last_collected_at")
     )
     marker = F.when(neg & (is_first | (F.col("balance_before") >= 0)), F.struct(*order, start_at.alias("at")))
-    b = cut(b)
-    c = chunked_window(b, keys, order, chunk, runs={"arrears_run": (marker, "max", "incl")})
+    if chunk is not None:
+        a = materialize(a)
+    c = chunked_window(a, keys, order, chunk, runs={"arrears_run": (marker, "max", "incl")})
 
     return c.select(
         *BUCKET_KEY,

@@ -161,8 +161,8 @@ view("v_estimates", (), """
 SELECT o_custkey AS pr_id,
        CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS version,
        'repo-' || (o_custkey % 9) AS repository, CASE WHEN o_custkey % 2 = 0 THEN 'prod' ELSE 'dev' END AS environment,
-       CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) / 100, 2) AS DECIMAL(18,2)) AS cost_before,
-       CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * (o_orderkey % 7 + 5) / 800, 2) AS DECIMAL(18,2)) AS cost_after
+       CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * CAST('0.01' AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) AS cost_before,
+       CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * (o_orderkey % 7 + 5) * CAST('0.00125' AS DECIMAL(6,5)), 2) AS DECIMAL(18,2)) AS cost_after
 FROM orders
 """)
 
@@ -219,18 +219,25 @@ WINDOW w AS ({w})
 """
 
 
-view("m_deltas", ("m_samples",), delta_sql("m_samples"))
-
-view("m_buckets", ("m_deltas",), """
-SELECT CAST(date_trunc('minute', collected_at) AS TIMESTAMP) AS bucket_start, storage_node_id AS node_id, account_uuid,
+def buckets_sql(deltas: str, grain: str = "minute", policy: str = "sum") -> str:
+    if policy == "last":
+        up, down = "arg_max(delta_up, collected_at)", "arg_max(delta_down, collected_at)"
+    else:
+        up, down = "sum(delta_up)", "sum(delta_down)"
+    return f"""
+SELECT CAST(date_trunc('{grain}', collected_at) AS TIMESTAMP) AS bucket_start, storage_node_id AS node_id, account_uuid,
        '' AS region, '' AS line_code,
-       CAST(sum(delta_up) AS BIGINT) AS uplink_bytes, CAST(sum(delta_down) AS BIGINT) AS downlink_bytes,
-       CAST(sum(delta_up) + sum(delta_down) AS BIGINT) AS total_bytes,
+       CAST({up} AS BIGINT) AS uplink_bytes, CAST({down} AS BIGINT) AS downlink_bytes,
+       CAST({up} + {down} AS BIGINT) AS total_bytes,
        min(collected_at) AS first_collected_at, max(collected_at) AS last_collected_at, count(*) AS snapshots,
        'rated' AS rating_status
-FROM m_deltas WHERE billable
+FROM {deltas} WHERE billable
 GROUP BY 1, 2, 3, 4, 5
-""")
+"""
+
+
+view("m_deltas", ("m_samples",), delta_sql("m_samples"))
+view("m_buckets", ("m_deltas",), buckets_sql("m_deltas"))
 
 view("m_pricing", ("v_profiles",), f"""
 SELECT account_uuid,
@@ -299,6 +306,18 @@ FROM r8
 
 view("m_rated", ("m_buckets", "m_pricing", "v_quota_states"), rated_sql("m_buckets"))
 
+# the same chain over v_samples (no inbound split)
+view("s_deltas", ("v_samples",), delta_sql("v_samples"))
+view("s_buckets", ("s_deltas",), buckets_sql("s_deltas"))
+view("s_rated", ("s_buckets", "m_pricing", "v_quota_states"), rated_sql("s_buckets"))
+
+# a run over the inbound snapshots before PREFIX_CUT only (the "earlier run" of replay checks)
+PREFIX_CUT = "2024-01-15 00:00:00"
+view("p_samples", ("m_samples",), f"SELECT * FROM m_samples WHERE collected_at < TIMESTAMP '{PREFIX_CUT}'")
+view("p_deltas", ("p_samples",), delta_sql("p_samples"))
+view("p_buckets", ("p_deltas",), buckets_sql("p_deltas"))
+view("p_rated", ("p_buckets", "m_pricing", "v_quota_states"), rated_sql("p_buckets"))
+
 
 def with_views(names: list[str] | tuple[str, ...], body: str) -> str:
     """``WITH`` clause holding the named views and their dependencies, then ``body``."""
@@ -314,4 +333,7 @@ def with_views(names: list[str] | tuple[str, ...], body: str) -> str:
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n][1].strip()}\n)" for n in ordered)
-    return f"WITH {ctes}\n{body.strip()}"
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -72,12 +73,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+    """Cut lineage: write ``df`` as parquet under the shared checkpoint folder and read
+    it back.
 
     Used between the passes of the two-level windows, each of which reads its input
-    twice; without the cut every pass doubles the plan.  The files live in
+    twice; without the cut every pass doubles the plan.  The folder is
     ``spark.checkpoint.dir`` (shared storage on a cluster), so a lost executor does
-    not force a recomputation of the earlier passes.
+    not force a recomputation of the earlier passes.  A parquet write computes the
+    input once (an RDD checkpoint would compute it a second time to save it).
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/mw-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

@@ -11,6 +11,8 @@ so they grow with the data and Catalyst prunes the parquet columns they do not u
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -207,7 +209,6 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_rates``: monthly rate to USD per currency; JPY of 1996-03 is deliberately 0."""
     li = table(spark, sf_dir, "lineitem")
     months = li.select(F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("month")).distinct()
-    cur = spark.createDataFrame([(c,) for c in CURRENCIES], "currency string")
     # Rate to USD per currency.
     rate = (
         F.when((F.col("currency") == "JPY") & (F.col("month") == F.lit("1996-03-01").cast("timestamp_ntz")), F.lit("0"))
@@ -216,10 +217,8 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("currency") == "CNY", F.lit("0.140625"))
         .otherwise(F.lit("0.0078125"))
     )
-    # The currency list is a fixed 4-row literal: a bounded broadcast side.
-    return months.join(F.broadcast(cur), how="cross").select(
-        "currency", "month", rate.cast("decimal(18,8)").alias("rate_to_usd")
-    )
+    per_currency = months.select("month", F.explode(F.array(*[F.lit(c) for c in CURRENCIES])).alias("currency"))
+    return per_currency.select("currency", "month", rate.cast("decimal(18,8)").alias("rate_to_usd"))
 
 
 def price_book(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,8 +241,8 @@ def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.row_number().over(w).cast("long").alias("version"),
         F.concat(F.lit("repo-"), (F.col("o_custkey") % 9).cast("string")).alias("repository"),
         F.when(F.col("o_custkey") % 2 == 0, "prod").otherwise("dev").alias("environment"),
-        F.round(price / 100, 2).cast("decimal(18,2)").alias("cost_before"),
-        F.round(price * (F.col("o_orderkey") % 7 + 5) / 800, 2).cast("decimal(18,2)").alias("cost_after"),
+        F.round(price * F.lit(Decimal("0.01")), 2).cast("decimal(18,2)").alias("cost_before"),
+        F.round(price * (F.col("o_orderkey") % 7 + 5) * F.lit(Decimal("0.00125")), 2).cast("decimal(18,2)").alias("cost_after"),
     )
 
 
