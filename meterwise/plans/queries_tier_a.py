@@ -559,3 +559,28 @@ def q_cost_upsert(spark, sf):
         base, batch, list(costs.COST_KEY), keep=["id", "created_at"], touched_col="updated_at", touched_at=now
     )
     return out.select(*cols(CU))
+
+
+# ---------------------------------------------------------------- A-S2 (round trip through pushed bodies)
+SD = "event_id, collected_at, node_id, env, pos, uuid, email, inbound_tag, uplink_bytes_total, downlink_bytes_total"
+
+
+@register("snapshot_decode", with_views(["v_inbound"], f"SELECT {SD} FROM v_inbound"))
+def q_snapshot_decode(spark, sf):
+    """Every fixture snapshot is pushed as a JSON body (a bare object, or a one-element
+    array for every third event), decoded whole and flattened back to inbound rows."""
+    from meterwise.sources.snapshots import decode_bodies, flatten
+
+    ib = fx.inbound(spark, sf)
+    sample = F.struct("uuid", "email", "inbound_tag", "uplink_bytes_total", "downlink_bytes_total")
+    snaps = ib.groupBy("event_id", "collected_at", "node_id", "env").agg(
+        F.array_sort(F.collect_list(F.struct("pos", sample.alias("s")))).alias("entries")  # two entries per snapshot
+    )
+    obj = F.to_json(F.struct(
+        F.date_format("collected_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("collected_at"),
+        "node_id", "env", F.col("entries.s").alias("samples"),
+    ))
+    body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), obj, F.lit("]"))).otherwise(obj)
+    good, _ = decode_bodies(snaps.select(F.col("event_id").alias("body_id"), body.alias("body")))
+    flat = flatten(good.withColumnRenamed("body_id", "event_id"), keep=("event_id",))
+    return flat.select(*cols(SD))
