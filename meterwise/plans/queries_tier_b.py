@@ -806,3 +806,50 @@ def q_ops_metrics(spark, sf):
         (F.count(F.when(F.col("f"), 1)).cast("double") / F.count(F.when(F.col("k") == "p", 1)).cast("double")).alias("payment_failure_rate"),
         F.max("t").alias("latest_snapshot_at"),
     )
+
+
+# ---------------------------------------------------------------- B-16
+def resource_map(spark, sf):
+    """Resource -> service mapping with lifecycle: suppliers ending 0/4/8 map to two
+    services from 1995-01-01, suppliers ending 1/5/9 to one from 1996-01-01, the rest are
+    unmapped.  ``n`` and ``rank`` are per resource (the map is resource-sized)."""
+    s = table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    two = s.filter(k % 4 == 0).select(k.alias("resource_id"), F.explode(F.array(F.lit("svc-a"), F.lit("svc-b"))).alias("service"),
+                                      F.lit("1995-01-01 00:00:00").cast("timestamp_ntz").alias("effective_from"))
+    one = s.filter(k % 4 == 1).select(k.alias("resource_id"), F.concat(F.lit("svc-"), (k % 3).cast("string")).alias("service"),
+                                      F.lit("1996-01-01 00:00:00").cast("timestamp_ntz").alias("effective_from"))
+    m = two.unionByName(one)
+    w = Window.partitionBy("resource_id")
+    return m.withColumn("n", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("service")))
+
+
+@register("resource_mapping", with_views(["v_cost_lines"], """
+WITH m0 AS (SELECT s_suppkey AS resource_id, unnest(['svc-a', 'svc-b']) AS service, TIMESTAMP '1995-01-01' AS effective_from
+            FROM supplier WHERE s_suppkey % 4 = 0
+            UNION ALL
+            SELECT s_suppkey, 'svc-' || (s_suppkey % 3), TIMESTAMP '1996-01-01' FROM supplier WHERE s_suppkey % 4 = 1),
+m AS (SELECT *, count(*) OVER (PARTITION BY resource_id) AS n, row_number() OVER (PARTITION BY resource_id ORDER BY service) AS rank FROM m0),
+l AS (SELECT resource_id, usage_start_time, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month,
+             CAST(amount * 100 AS BIGINT) AS cents FROM v_cost_lines),
+j AS (SELECT l.month, coalesce(m.service, 'Unallocated') AS service,
+             CASE WHEN m.service IS NULL THEN l.cents
+                  ELSE l.cents // m.n + CASE WHEN m.rank = 1 THEN l.cents % m.n ELSE 0 END END AS share
+      FROM l LEFT JOIN m ON l.resource_id = m.resource_id AND l.usage_start_time >= m.effective_from)
+SELECT month, service, CAST(sum(share) AS BIGINT) AS allocated_cents, count(*) AS line_parts FROM j GROUP BY 1, 2"""))
+def q_resource_mapping(spark, sf):
+    """B-16: each cost line goes to the services its resource maps to on that day,
+    split evenly to the cent (remainder to the first service); unmapped -> Unallocated,
+    so totals are conserved.  The join fans out by at most the mappings of one resource."""
+    l = fx.cost_lines(spark, sf).select(
+        "resource_id", "usage_start_time",
+        F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month"),
+        (F.col("amount") * 100).cast("long").alias("cents"),
+    )
+    m = resource_map(spark, sf)
+    j = l.join(m, (l.resource_id == m.resource_id) & (l.usage_start_time >= m.effective_from), "left")
+    share = F.when(F.col("service").isNull(), F.col("cents")).otherwise(
+        F.expr("cents div n") + F.when(F.col("rank") == 1, F.col("cents") % F.col("n")).otherwise(F.lit(0))
+    )
+    out = j.select("month", F.coalesce(F.col("service"), F.lit("Unallocated")).alias("service"), share.alias("share"))
+    return out.groupBy("month", "service").agg(F.sum("share").cast("long").alias("allocated_cents"), F.count("*").alias("line_parts"))
