@@ -8,6 +8,8 @@ executor never forces the earlier rounds to run again.  Spark removes the files
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,20 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, saved in the shared folder and read back from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, for jobs that were started without ``--py-files`` (once a session)."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="meterwise-ship-")) / "meterwise.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)

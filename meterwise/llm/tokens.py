@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .words import ragged
+
 KNOWN = 600_000  # chunks a worker remembers; beyond it, it starts anew
 
 
@@ -72,13 +74,5 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     parts = pc.split_pattern(low, " ")
     flat = pc.list_flatten(parts).dictionary_encode()
     pieces = [known[c] if c else b"" for c in flat.dictionary.to_pylist()]
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
-    ids = np.frombuffer(b"".join(pieces), "<u4")
-    first = np.cumsum(size) - size
-    codes = flat.indices.to_numpy(zero_copy_only=False)
-    n = size[codes]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    out = ids[np.repeat(first[codes] - (ends - n), n) + np.arange(total)]
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])], out
+    return ragged(np.concatenate([[0], np.cumsum(counts)]), flat.indices.to_numpy(zero_copy_only=False), pieces)

@@ -41,3 +41,15 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
         codes = codes[real]
     return offsets, codes, words
+
+
+def ragged(offsets: np.ndarray, codes: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each code replaced by its piece, a run of little-endian unsigned 32-bit values: (offsets, all values)."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
+    values = np.frombuffer(b"".join(pieces), "<u4")
+    first = np.cumsum(size) - size
+    n = size[codes] if len(codes) else np.zeros(0, np.int64)
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    flat = values[np.repeat(first[codes] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, np.uint32)
+    return np.concatenate([[0], ends])[offsets], flat
