@@ -2,9 +2,68 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from meterwise.llm.decontamination import keep_clean
+from meterwise.llm.language_id import keep_identified
+from meterwise.llm.line_dedup import keep_first_lines
+from meterwise.llm.packing import pack
+from meterwise.llm.scratch import shared_dir, ship
+from meterwise.llm.simhash_dedup import keep_one
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the byte network can tell; ``und`` and near-chance scores go."""
+    ship(spark)
+    return keep_identified(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that several documents hold stay only in the first; no document goes, even if no line of it stays."""
+    ship(spark)
+    return keep_first_lines(docs, min_chars=10, min_docs=2)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    ship(spark)
+    return keep_one(docs, shingle=3, max_bits=2)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no test item is found."""
+    ship(spark)
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens and their places in sequences."""
+    ship(spark)
+    return pack(docs, TOKENIZER, end_id=1, capacity=4096)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+# A trained network, XXH64 fingerprints and a tokenizer are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; each result but the last is written to the shared folder and read again."""
+    folder = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

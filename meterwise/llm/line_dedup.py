@@ -26,10 +26,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before its shuffle, and its occurrences only meet the one row of its hash (an inner join that adaptive
     execution splits).  Texts are shuffled once, by id.
     """
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"),
-        F.col(text_col).alias("text"),
-    ).select("did", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    full = _kept(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_chars, min_docs)
+    return full.select(
+        F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"),
+        F.col("th").alias("text_hash"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_dropped"),
+        "kept_text",
+    )
+
+
+def keep_first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars",
+                     min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+    """``docs`` with the texts that ``dedup_lines`` leaves; ``chars_col``, if there, counts their characters anew.
+    A null text stays null."""
+    full = _kept(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                             F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("no text")).alias("row")),
+                 min_chars, min_docs)
+    text = F.when(~F.col("row.`no text`"), F.col("kept_text"))
+    new = {text_col: text, chars_col: F.char_length(text).cast(docs.schema[chars_col].dataType) if chars_col in docs.columns else None}
+    return full.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _kept(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """``(did, th, lines, gone, kept_text)`` and whatever else ``docs`` (id, text, ...) carries."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.withColumns({"did": F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)), "th": F.xxhash64(text), "lines": F.split(text, "\n", -1)}).drop("id", "text")
     keys = (rows.select("did", "th", F.posexplode("lines").alias("pos", "line"))
             .select("did", "th", "pos", line_key(F.col("line")).alias("k"))
             .where(F.char_length("k") >= min_chars)
@@ -43,10 +65,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                .groupBy("did", "th").agg(F.collect_set("pos").alias("gone")))
     full = rows.join(dropped, ["did", "th"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
-    return full.select(
-        F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"),
-        F.col("th").alias("text_hash"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.size("gone").cast("long").alias("n_dropped"),
-        F.array_join(F.transform(stay, lambda p: F.get("lines", p)), "\n").alias("kept_text"),
-    )
+    return full.withColumn("kept_text", F.array_join(F.transform(stay, lambda p: F.get("lines", p)), "\n"))

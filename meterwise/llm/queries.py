@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontamination import contaminated
+from .embedding_dedup import near_duplicate_vectors
 from .language_id import identify
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack
 from .scratch import ship
@@ -33,6 +35,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(length_histogram(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
@@ -61,7 +72,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_token_counts, op5_sharding, op6_best_fit_packing, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_line_dedup, op10_substring_dedup)
+    f.__name__: f for f in (op1_language_id, op2_token_counts, op3_license_scan, op4_embedding_near_dedup, op5_sharding, op6_best_fit_packing, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_line_dedup, op10_substring_dedup)
 }
 
 BLANK = r"[\x20\x09-\x0D]"
