@@ -5,12 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .line_dedup import NO_ID
+from .scratch import cut
 from .words import slices, word_codes
 
-SEED_WORDS = 5  # words of an anchor; every window holds (window - SEED_WORDS + 1) of them
+SEED_WORDS = 4  # words of an anchor; every window holds (window - SEED_WORDS + 1) of them
+HOT, HOT_LEAST = 100_000, 1000  # an anchor is hot beyond 1 / HOT of all anchor rows, and HOT_LEAST of them
+LONGEST = 20  # bits for the windows of one run; a longer run is cut
 MULT = [pow(0x9E3779B97F4A7C15, 2 * j + 1, 2**64) for j in range(64)]  # odd factors, one for each place in a run
 
 
@@ -22,7 +25,7 @@ def _runs(h: np.ndarray, n: int) -> np.ndarray:
         out += h[j:j + size] * np.uint64(MULT[j])
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
+    return (out ^ (out >> np.uint64(29))) >> np.uint64(16)  # 48 bits tell seeds apart; matches are compared whole
 
 
 def _lowest(x: np.ndarray, n: int) -> np.ndarray:
@@ -63,33 +66,81 @@ def _anchors(window: int):
     return run
 
 
-def _extend(window: int):
+def _sums(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit value of the whole window at each of some places."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(window):
+        out += h[at + j] * np.uint64(MULT[20 + j])
+    return out
+
+
+def _joined(high: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """The upper half of a hash and a text's 32-bit hash, as one long: a narrower row to shuffle."""
+    return ((high >> np.uint64(32) << np.uint64(32)) | th.view(np.uint32).astype(np.uint64)).view(np.int64)
+
+
+def _halves(both: str, high: str) -> list:
+    return [F.shiftright(both, 32).cast("int").alias(high), F.shiftright(F.shiftleft(both, 32), 32).cast("int").alias("th")]
+
+
+def _runs_of(window: int, hot: np.ndarray, want_hot: bool):
+    """Runs of neighbouring windows with one anchor: (anchor, context, document, text, first window, windows).
+
+    Either those of the hot anchors, or all others.
+    """
     def run(batches):
         for batch in batches:
             ids, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            seeds = batch.column(3)
             for first, texts in slices(batch.column(2)):
                 owner, at, low, parts = _windows(texts, window)
+                if len(low):
+                    found = np.isin(low, hot, invert=not want_hot)
+                    owner, at, low = owner[found], at[found], low[found]
                 if not len(low):
                     continue
-                mine = seeds.slice(first, len(texts))
-                hashes = mine.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                of = np.repeat(np.arange(len(mine)), mine.value_lengths().to_numpy(zero_copy_only=False))
-                tag = np.uint64(MULT[9])
-                found = np.isin(low + owner.astype(np.uint64) * tag, hashes + of.astype(np.uint64) * tag)
-                owner, at = owner[found], at[found]
-                if not len(at):
+                whole = _sums(parts[2], at, window)
+                new = np.ones(len(at), bool)
+                new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
+                new[at % ((1 << LONGEST) - 1) == 0] = True
+                head = np.flatnonzero(new)
+                n = np.diff(np.append(head, len(at)))
+                place = np.arange(len(at)) - np.repeat(head, n)
+                factor = np.array(MULT, np.uint64)
+                context = np.add.reduceat((whole ^ (whole >> np.uint64(32))) * factor[place % 64] * np.uint64(3) ** (place // 64).astype(np.uint64), head)
+                context += n.astype(np.uint64) * np.uint64(MULT[9])
+                who = owner[head]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(low[head].view(np.int64)), pa.array(_joined(context, ths[first + who])), pa.array(ids[first + who]),
+                     pa.array(((at[head] - parts[3][who]) << LONGEST) + n)],
+                    ["h", "ct", "did", "sn"])
+    return run
+
+
+def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... start + n - 1 of every run."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _whole(window: int):
+    """Every window of some runs, as a 96-bit value with its document and place."""
+    def run(batches):
+        for batch in batches:
+            ids, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for first, texts in slices(batch.column(2)):
+                offsets, codes, words = word_codes(texts)
+                h1, h2 = (np.fromiter((xxhash.xxh64_intdigest(w, s) for w in words), np.uint64, len(words))[codes] for s in (7, 11))
+                lists = [batch.column(i).slice(first, len(texts)) for i in (3, 4, 5)]
+                of = np.repeat(np.arange(len(texts)), lists[0].value_lengths().to_numpy(zero_copy_only=False))
+                rth, start, n = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+                mine = rth == ths[first + of]  # two texts under one id have their own runs
+                of, start, n = of[mine], start[mine].astype(np.int64), n[mine].astype(np.int64)
+                if not len(of):
                     continue
-                codes, words, h, offsets = parts
-                h2 = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in words), np.uint64, len(words))[codes]
-                whole = [np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)]
-                for out, x in zip(whole, (h, h2)):
-                    for j in range(window):
-                        out += x[at + j] * np.uint64(MULT[20 + j])
+                at, who = _spread(start + offsets[of], n), np.repeat(of, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), pa.array(ids[first + owner]),
-                     pa.array(ths[first + owner]), pa.array((at - offsets[owner]).astype(np.int32))],
-                    ["w1", "w2", "did", "th", "start"])
+                    [pa.array(_sums(h1, at, window).view(np.int64)), pa.array(_joined(_sums(h2, at, window), ths[first + who])),
+                     pa.array(ids[first + who]), pa.array((at - offsets[who]).astype(np.int32))],
+                    ["w1", "wt", "did", "start"])
     return run
 
 
@@ -98,14 +149,15 @@ def _cover(window: int):
         for batch in batches:
             ids = [None if x == NO_ID else x for x in batch.column(0).to_pylist()]
             n_words, n_gone, spans, kept = [], [], [], []
-            for text, starts in zip(batch.column(2), batch.column(3)):
+            for th, text, ths, starts, n in zip(*(batch.column(i) for i in range(1, 6))):
                 words = (text.as_py() or "").encode().split()
                 n_words.append(len(words))
-                if starts.as_py():
+                mine = ths.values.to_numpy(zero_copy_only=False) == th.as_py() if ths.is_valid else np.zeros(0, bool)
+                if mine.any():
                     step = np.zeros(len(words) + 1, np.int64)
-                    at = np.unique(starts.values.to_numpy(zero_copy_only=False))
+                    at = starts.values.to_numpy(zero_copy_only=False)[mine]
                     np.add.at(step, at, 1)
-                    np.add.at(step, at + window, -1)
+                    np.add.at(step, at + n.values.to_numpy(zero_copy_only=False)[mine] + window - 1, -1)
                     gone = np.cumsum(step[:-1]) > 0
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                     spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
@@ -129,10 +181,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are the maximal repeats (word numbers, end excluded), judged on the input.
 
     Seeds: of each window, the lowest of its short word runs is its anchor (winnowing), so two equal windows have
-    equal anchors.  Documents are joined on the anchors that at least two of them hold.  Extension: every window
-    that rests on such a seed is compared whole, by a 128-bit hash, and overlapping repeats merge to maximal ones.
-    No pairs of documents are made: an anchor or window keeps its smallest document (combined before the shuffle),
-    so a passage that a third of all documents share costs one row for each occurrence.
+    equal anchors.  Documents are joined on the anchors that at least two of them hold.  Extension both ways: the
+    windows around one anchor are a run, compared whole by its hashes (80 bits and more); a run that an earlier document also has
+    goes at once.  Only the first holders of different runs around one anchor are then compared window by window.
+    Overlapping repeats merge to maximal ones.  No pairs of documents are made: anchors, runs and windows keep their
+    smallest document, so a passage that a third of all documents share costs a row for each occurrence; the runs
+    of such hot anchors are combined before their shuffle, all others meet by anchor.
 
     A null or empty text has no words; a text under ``window`` words keeps all.  A null id counts as the largest.
     Rows with equal ids are one document.  Words are split at space and U+0009 to U+000D, and kept words are
@@ -141,16 +195,46 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if window <= SEED_WORDS or window > 40:
         raise ValueError(f"window must be {SEED_WORDS + 1} to 40 words")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.col(text_col).alias("text"))
-    keyed = rows.select("did", F.xxhash64("text").alias("th"), "text")
+    keyed = rows.select("did", F.hash(F.coalesce("text", F.lit(""))).alias("th"), "text")
     anchors = rows.mapInArrow(_anchors(window), "h long, did long")
-    shared = anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b").select("h")
-    seeds = anchors.join(shared, "h").groupBy("did").agg(F.collect_set("h").alias("seeds"))
-    windows = (keyed.join(seeds, "did").select("did", "th", "text", "seeds")
-               .mapInArrow(_extend(window), "w1 long, w2 long, did long, th long, start int"))
-    firsts = (windows.groupBy("w1", "w2").agg(F.min("did").alias("first"), F.max("did").alias("last"))
-              .where("first < last").select("w1", "w2", "first"))
-    hits = (windows.join(firsts, ["w1", "w2"]).where("did > first")
-            .groupBy("did", "th").agg(F.collect_list("start").alias("starts")))
-    return (keyed.join(hits, ["did", "th"], "left").select("did", "th", "text", "starts")
+    shared = cut(anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b"), F.count(F.lit(1)).alias("n"))
+                 .where("a < b").select("h", "n"))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    # At most HOT anchors can each have over a HOT-th of all rows, so this set is small however large the corpus is.
+    frequent = shared.where(F.col("n") > max(HOT_LEAST, total // HOT)).select("h").collect()
+    hot = np.array(sorted(r[0] for r in frequent), np.int64).view(np.uint64)
+    schema = "h long, ct long, did long, sn long"
+    parts = ["h", "did", *_halves("ct", "c"), F.shiftright("sn", LONGEST).cast("int").alias("start"), F.col("sn").bitwiseAND((1 << LONGEST) - 1).cast("int").alias("n")]
+    plain = keyed.mapInArrow(_runs_of(window, hot, False), schema).join(shared.select("h"), "h").select(*parts)
+    same, near = Window.partitionBy("h", "c"), Window.partitionBy("h")
+    plain = plain.withColumn("first", F.min("did").over(same))
+    plain = plain.withColumn("various", F.min("first").over(near) < F.max("first").over(near))
+    lists = plain.select("did", "th", "start", "n", "first", "various")
+    if len(hot):  # their runs are combined before the shuffle and joined back, which splits
+        runs = keyed.mapInArrow(_runs_of(window, hot, True), schema).select(*parts)
+        contexts = cut(runs.groupBy("h", "c").agg(F.min("did").alias("first")))
+        various = contexts.groupBy("h").agg((F.min("first") < F.max("first")).alias("various"))
+        told = runs.join(contexts.join(various, "h"), ["h", "c"])
+        lists = lists.unionByName(told.select("did", "th", "start", "n", "first", "various"))
+    lists = cut(lists.where("did > first or various").groupBy("did").agg(*_lists(F.col("did") > F.col("first"))))
+    heads = lists.select("did", *[F.filter(F.arrays_zip("ths", "starts", "ns", "copies"), lambda x: ~x["copies"]).alias("r")])
+    heads = heads.where(F.size("r") > 0).select("did", F.col("r.ths").alias("ths"), F.col("r.starts").alias("starts"), F.col("r.ns").alias("ns"))
+    windows = (keyed.join(heads, "did").select("did", "th", "text", "ths", "starts", "ns")
+               .mapInArrow(_whole(window), "w1 long, wt long, did long, start int"))
+    whole = windows.select("w1", "did", "start", *_halves("wt", "w2"))
+    firsts = (whole.groupBy("w1", "w2").agg(F.min("did").alias("first"), F.max("did").alias("last"))
+              .where("first < last").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "first"))
+    same = (windows["w1"] == firsts["v1"]) & (F.shiftright(windows["wt"], 32).cast("int") == firsts["v2"])
+    extended = windows.join(firsts, same).where("did > first").select("did", _halves("wt", "w2")[1], "start", F.lit(1).alias("n"))
+    copied = lists.select("did", F.explode(F.arrays_zip("ths", "starts", "ns", "copies")).alias("r")).where("r.copies")
+    copied = copied.select("did", F.col("r.ths").alias("th"), F.col("r.starts").alias("start"), F.col("r.ns").alias("n"))
+    hits = copied.union(extended).groupBy("did").agg(*_lists(F.lit(True)))
+    return (keyed.join(hits, "did", "left").select("did", "th", "text", "ths", "starts", "ns")
             .mapInArrow(_cover(window), "doc_id long, n_words long, n_removed long, "
                                         "spans array<struct<start:int,end:int>>, kept_text string"))
+
+
+def _lists(copies) -> list:
+    """Runs of one document as lists in one order; ``copies``: an earlier document has the whole run."""
+    return [F.collect_list("th").alias("ths"), F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"),
+            F.collect_list(copies).alias("copies")]
