@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 WINDOW = 256  # bytes the network reads at once
 EMBED, FILTERS, WIDTHS = 8, 24, (2, 3, 4)  # floats a byte; filters of each width, in bytes
 SAMPLE = 6000  # windows to learn from, shared equally among the languages
-EPOCHS, BATCH, RATE = 12, 128, 4e-3
+STEPS, BATCH, RATE = 600, 128, 4e-3
 ROWS = 128  # windows in one matrix product
 UNKNOWN = "und"
 
@@ -73,36 +73,33 @@ def train(samples: list[tuple[str, str]], seed: int = 1) -> ByteConvNet:
     p = [rng.normal(0, 0.3, (256, EMBED)), rng.normal(0, 0.2, mask.shape) * mask, np.zeros(f), rng.normal(0, 0.1, (f, len(langs))), np.zeros(len(langs))]
     p = [a.astype(np.float32) for a in p]
     p[0][0] = 0
-    m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    for _ in range(EPOCHS if len(langs) > 1 else 0):
-        order = rng.permutation(len(y))
-        for a in range(0, len(order), BATCH):
-            pick = order[a:a + BATCH]
-            w = x[pick].copy()
-            keep = np.where(rng.random(len(pick)) < 0.5, WINDOW, rng.integers(20, WINDOW + 1, len(pick)))
-            w[np.arange(WINDOW)[None, :] >= keep[:, None]] = 0
-            net = ByteConvNet(langs, *p)
-            top, at, cols = net.pooled(w, where=True)
-            z = top @ p[3] + p[4]
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            dz = z / z.sum(axis=1, keepdims=True)
-            dz[np.arange(len(pick)), y[pick]] -= 1
-            dz /= len(pick)
-            dtop = (dz @ p[3].T) * (top > 0)
-            rows = (np.arange(len(pick))[:, None] * WINDOW + at)  # only the place of each maximum learns
-            seen = cols[rows]  # batch x filters x columns
-            dconv = np.einsum("nf,nfc->cf", dtop, seen) * mask
-            dcols = dtop[:, :, None] * p[1].T[None]
-            dembed = np.zeros_like(p[0])
-            padded = np.pad(w, ((0, 0), (0, max(WIDTHS) - 1)))
-            for j in range(max(WIDTHS)):
-                np.add.at(dembed, padded[np.arange(len(pick))[:, None], at + j], dcols[:, :, j * EMBED:(j + 1) * EMBED])
-            dembed[0] = 0
-            step += 1
-            for i, g in enumerate((dembed, dconv, dtop.sum(0), top.T @ dz, dz.sum(0))):
-                m[i] = 0.9 * m[i] + 0.1 * g
-                v[i] = 0.999 * v[i] + 0.001 * g * g
-                p[i] = (p[i] - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+    for step in range(1, 1 + STEPS if len(langs) > 1 else 1):
+        pick = rng.integers(0, len(y), BATCH)
+        w = x[pick].copy()
+        keep = np.where(rng.random(len(pick)) < 0.5, WINDOW, rng.integers(20, WINDOW + 1, len(pick)))
+        w[np.arange(WINDOW)[None, :] >= keep[:, None]] = 0
+        net = ByteConvNet(langs, *p)
+        top, at, cols = net.pooled(w, where=True)
+        z = top @ p[3] + p[4]
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        dz = z / z.sum(axis=1, keepdims=True)
+        dz[np.arange(len(pick)), y[pick]] -= 1
+        dz /= len(pick)
+        dtop = (dz @ p[3].T) * (top > 0)
+        rows = (np.arange(len(pick))[:, None] * WINDOW + at)  # only the place of each maximum learns
+        seen = cols[rows]  # batch x filters x columns
+        dconv = np.einsum("nf,nfc->cf", dtop, seen) * mask
+        dcols = dtop[:, :, None] * p[1].T[None]
+        dembed = np.zeros_like(p[0])
+        padded = np.pad(w, ((0, 0), (0, max(WIDTHS) - 1)))
+        for j in range(max(WIDTHS)):
+            np.add.at(dembed, padded[np.arange(len(pick))[:, None], at + j], dcols[:, :, j * EMBED:(j + 1) * EMBED])
+        dembed[0] = 0
+        for i, g in enumerate((dembed, dconv, dtop.sum(0), top.T @ dz, dz.sum(0))):
+            m[i] = 0.9 * m[i] + 0.1 * g
+            v[i] = 0.999 * v[i] + 0.001 * g * g
+            p[i] = (p[i] - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return ByteConvNet(langs, *p)
 
 

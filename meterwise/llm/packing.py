@@ -12,6 +12,7 @@ from .scratch import cut
 from .tokens import encode
 from .words import slices
 
+TRIES = 3  # times that a size class opens empty sequences to match with
 SPREAD = 16  # parts that rows of one size are ranked in, so that a size that many rows share is no single task
 
 
@@ -74,13 +75,14 @@ def _above(counts: np.ndarray) -> np.ndarray:
 def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
     """``items`` (with a ``length`` of 1 to ``capacity``) and, for each row, ``sequence_id`` and ``offset``.
 
-    Bulk-synchronous: documents and gaps are range-sorted by size, largest first.  Size classes halve from
-    ``capacity`` down.  In a round, every document of the class finds its successor, the smallest gap that holds it;
+    Bulk-synchronous: documents and gaps are range-sorted by size, largest first.  Size classes end
+    at whole fractions of ``capacity``.  In a round, every document of the class finds its successor, the smallest gap that holds it;
     documents that want the same gap are told apart by rank: the document of rank i takes the gap of rank
     i + min(G(l) - D(l)) over its own and smaller lengths l of the class (G and D: gaps and documents of at least l),
     which is the tightest gap that leaves one for every smaller document.  The largest documents beyond the number
     of gaps wait.  Gaps are updated and the round repeats until no gap holds a document of the class; what is left
-    opens new sequences, in runs of as many neighbours as fit.  A gap that holds several documents of the class
+    opens as many sequences as its tokens fill and is matched again, ``TRIES`` times; then the rest opens sequences in
+    runs of as many neighbours as fit.  A gap that holds several documents of the class
     offers that many seats at once.
 
     The number of rounds depends on ``capacity`` and not on the rows; every round is one keyed join of ranks.
@@ -94,12 +96,12 @@ def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
     D = _above(counts)  # documents of at least a length, and so the first rank of the next smaller length
     n_full = int(counts[capacity])
     placed = [order.where(F.col("rank") < n_full).select("uid", "length", F.col("rank").alias("sequence_id"), F.lit(0).alias("turn"))]
-    gaps, opened, turn, top = None, n_full, 1, capacity
-    while top > 1:
-        low = top // 2 if top > 64 else 0  # lengths low + 1 to top (but for capacity itself, which is full)
+    gaps, opened, turn = None, n_full, 1
+    tops = [t for t in (capacity // k for k in (1, 2, 3, 4, 6, 8, 16, 32, 64)) if t] + [0]
+    for top, low in zip(tops, tops[1:]):  # lengths low + 1 to top (but for capacity itself, which is full)
         most = min(top, capacity - 1)
-        top = low
         lo, hi = int(D[most + 1]), int(D[low + 1])  # ranks of the class
+        tries = 0
         while lo < hi:
             sizes = np.arange(low + 1, most + 1)
             sizes = sizes[counts[sizes] > 0]
@@ -128,7 +130,15 @@ def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
                     turn += 1
                     hi = lo + wait
                     continue
-            # no gap holds any: neighbours open new sequences, floor(capacity / length) of them in each
+            waiting = int((sizes * np.diff(np.clip(np.append(D[sizes + 1], D[sizes]).reshape(2, -1), lo, hi), axis=0)[0]).sum())
+            if most <= capacity // 2 and tries < TRIES:  # no gap holds any: open as many as their tokens fill, and match again
+                tries += 1
+                n = max(1, -(-waiting // capacity))
+                new = spark.range(opened, opened + n).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
+                gaps = new if gaps is None else gaps.unionByName(new)
+                opened += n
+                continue
+            # neighbours open new sequences, floor(capacity / length) of them in each
             runs, start = [], lo
             for fit in sorted({capacity // int(s) for s in sizes[D[sizes] > lo]}):
                 same = [int(s) for s in sizes if capacity // int(s) == fit]
