@@ -12,7 +12,7 @@ from .scratch import cut
 from .tokens import encode
 from .words import slices
 
-TRIES = 3  # times that a size class opens empty sequences to match with
+TRIES = 1  # times that a size class opens empty sequences to match with
 SPREAD = 16  # parts that rows of one size are ranked in, so that a size that many rows share is no single task
 
 
@@ -81,7 +81,7 @@ def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
     i + min(G(l) - D(l)) over its own and smaller lengths l of the class (G and D: gaps and documents of at least l),
     which is the tightest gap that leaves one for every smaller document.  The largest documents beyond the number
     of gaps wait.  Gaps are updated and the round repeats until no gap holds a document of the class; what is left
-    opens as many sequences as its tokens fill and is matched again, ``TRIES`` times; then the rest opens sequences in
+    opens as many sequences as its tokens fill and is matched again, ``TRIES`` times at most; then the rest opens sequences in
     runs of as many neighbours as fit.  A gap that holds several documents of the class
     offers that many seats at once.
 
@@ -97,7 +97,7 @@ def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
     n_full = int(counts[capacity])
     placed = [order.where(F.col("rank") < n_full).select("uid", "length", F.col("rank").alias("sequence_id"), F.lit(0).alias("turn"))]
     gaps, opened, turn = None, n_full, 1
-    tops = [t for t in (capacity // k for k in (1, 2, 3, 4, 6, 8, 16, 32, 64)) if t] + [0]
+    tops = [t for t in (capacity // k for k in (1, 2, 3, 4, 8, 16, 32, 64)) if t] + [0]
     for top, low in zip(tops, tops[1:]):  # lengths low + 1 to top (but for capacity itself, which is full)
         most = min(top, capacity - 1)
         lo, hi = int(D[most + 1]), int(D[low + 1])  # ranks of the class
