@@ -81,7 +81,7 @@ def test_token_counts_and_packing(spark, odd):
             assert offset == at
             at += length
         assert at <= 4096
-    assert len(by) <= -(-sum(len(x) for _, x in ids) // 4096) + 1
+    assert len(by) <= -(-sum(len(x) for _, x in ids) // 4096) + 2  # a size class may leave a sequence part empty
 
 
 def test_best_fit_is_close_to_the_bound(spark):
