@@ -70,16 +70,17 @@ class ItemIndex:
             self.impacts.append(np.array([x / whole[k] for (k, _), x in zip(lists[t], impact[t])]))
             self.maxima.append(np.array([self.impacts[-1][a:a + BLOCK].max() for a in range(0, len(lists[t]), BLOCK)]))
         self.term_max = np.array([m.max() if len(m) else 0.0 for m in self.maxima])
-        # Common terms cannot carry an item over the threshold alone: all items together leave them under half of it.
+        # Common terms cannot carry an item over the threshold alone: no item gets 0.7 of it from them.
         held = np.zeros(len(words))
         self.rare = np.zeros(len(self.docs), bool)
         for j in sorted(range(1, len(self.docs)), key=lambda j: -len(self.docs[j])):
             now = held.copy()
             now[self.docs[j]] += self.impacts[j]
-            if self.rare.any() or now.max() >= RETRIEVE / 2:
+            if self.rare.any() or now.max() >= RETRIEVE * 0.7:
                 self.rare[j] = True
             else:
                 held = now
+        self.held = held  # what the common terms can add to each item at most
         self.common = float(held.max()) if len(held) else 0.0
         self.passage = int(min(2048, max(64, 2 * self.longest)))  # words; half of it is the step, so an item is whole in one
 
@@ -118,6 +119,16 @@ class ItemIndex:
             if score >= RETRIEVE - slack:
                 found.append((item, score))
 
+    def possible(self, terms: np.ndarray) -> bool:
+        """False if no item can reach the threshold: its rare terms in the passage and all of its common ones are too few."""
+        rare = terms[self.rare[terms]]
+        if self.term_max[rare].sum() < RETRIEVE - self.common - 1e-9:
+            return False
+        if not len(rare):
+            return True
+        score = np.bincount(np.concatenate([self.docs[j] for j in rare]), np.concatenate([self.impacts[j] for j in rare]), minlength=len(self.items))
+        return bool((score + self.held >= RETRIEVE - 1e-9).any())
+
     def verified(self, item: int, words: list[str]) -> tuple[float, float, float]:
         """Share of the item's, its question's and its answer's shingles that a passage has."""
         held: dict[int, set] = {}
@@ -159,8 +170,10 @@ class ItemIndex:
             best: dict[tuple[int, int], tuple] = {}
             words_of: dict[int, list[str]] = {}
             for k in hopeful.tolist():
-                text = int(who[k])
-                for item, score in self.search(np.unique(ids[a[k]:b[k]])):
+                text, terms = int(who[k]), np.unique(ids[a[k]:b[k]])
+                if not self.possible(terms):
+                    continue
+                for item, score in self.search(terms):
                     if text not in words_of:
                         words_of = {text: normal_words(" ".join(part[text].as_py().split()))}
                     at = int(a[k] - offsets[text])
