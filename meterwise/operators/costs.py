@@ -61,7 +61,8 @@ def _finish(g: DataFrame, provider: str) -> DataFrame:
 
 def normalize_aws(lines: DataFrame, as_of: str | None = None) -> DataFrame:
     x = t_minus_2(lines.filter(F.col("provider") == "aws"), as_of)
-    amount = F.col("amount").try_cast("decimal(38,2)") if hasattr(Column, "try_cast") else F.expr("try_cast(amount AS decimal(38,2))")
+    # sub-cent lines count: the sum is taken at full precision and only its result is rounded
+    amount = F.col("amount").try_cast("decimal(38,12)")
     g = x.groupBy(
         day_start(F.col("usage_start_time")).alias("day"), "service_name", "region", "account_id", "currency"
     ).agg(F.sum(amount).alias("cost_amount"))

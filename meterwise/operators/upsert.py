@@ -65,6 +65,13 @@ def keyed_upsert(
     return j.select(*keys, *out)
 
 
+def first_per_key(rows: DataFrame, keys: Sequence[str], arrival: str) -> DataFrame:
+    """B-9: the first delivery of each key by ``arrival``; later ones, equal or not, have no effect."""
+    rest = [c for c in rows.columns if c not in keys and c != arrival]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), arrival).alias("__first"))
+    return first.select(*keys, *[F.col("__first")[c].alias(c) for c in rest])
+
+
 def with_existed(batch: DataFrame, base: DataFrame, keys: Sequence[str], name: str = "existed") -> DataFrame:
     """A-S8 / A-S10 probe: flag batch rows whose key is already stored."""
     probe = base.select(*keys).distinct().withColumn(name, F.lit(True))

@@ -242,10 +242,11 @@ def q_dunning_ladder(spark, sf):
 
 @register("event_dedup", with_views(["v_payments"], "SELECT event_id, account_id, occurred_at, event_type, amount FROM v_payments"))
 def q_event_dedup(spark, sf):
-    """B-9: a replayed event id has no effect; first delivery wins (copies are identical)."""
+    """B-9: a replayed event id has no effect; the first delivery wins."""
     p = fx.payments(spark, sf)
-    replayed = p.unionByName(p.filter(F.col("event_id") % 3 == 0))
-    return upsert.latest_per_key(replayed, ["event_id"], [F.col("occurred_at")]).select(
+    late = p.filter(F.col("event_id") % 3 == 0).withColumn("amount", F.col("amount") + 1)  # a replay with other content
+    replayed = p.withColumn("arrival", F.lit(0)).unionByName(late.withColumn("arrival", F.lit(1)))
+    return upsert.first_per_key(replayed, ["event_id"], "arrival").select(
         "event_id", "account_id", "occurred_at", "event_type", "amount"
     )
 
@@ -260,23 +261,31 @@ RATED_LINES = """rl AS (SELECT l.*, CAST(date_trunc('month', usage_start_time) A
 WITH {RATED_LINES},
 rev AS (SELECT CAST(date_trunc('month', occurred_at) AS TIMESTAMP) AS month, sum(amount) AS revenue FROM v_payments
         WHERE event_type = 'invoice_paid' GROUP BY 1),
-cost AS (SELECT month, sum(CAST(amount AS DECIMAL(18,2)) * rate_to_usd) AS cost_usd FROM rl WHERE rate_to_usd > 0 GROUP BY 1)
+cost AS (SELECT month, sum(CASE WHEN rate_to_usd > 0 THEN CAST(amount AS DECIMAL(18,2)) * rate_to_usd END) AS cost_usd,
+                count(*) FILTER (WHERE rate_to_usd IS NULL OR rate_to_usd <= 0) AS unconverted_lines FROM rl GROUP BY 1)
 SELECT coalesce(rev.month, cost.month) AS month, CAST(coalesce(revenue, 0) AS DECIMAL(38,2)) AS revenue,
        CAST(coalesce(cost_usd, 0) AS DECIMAL(38,2)) AS cost_usd,
-       CAST(coalesce(revenue, 0) AS DECIMAL(38,2)) - CAST(coalesce(cost_usd, 0) AS DECIMAL(38,2)) AS margin
+       CAST(coalesce(revenue, 0) AS DECIMAL(38,2)) - CAST(coalesce(cost_usd, 0) AS DECIMAL(38,2)) AS margin,
+       coalesce(unconverted_lines, 0) AS unconverted_lines
 FROM rev FULL OUTER JOIN cost ON rev.month = cost.month"""))
 def q_gross_margin(spark, sf):
     """B-11: monthly net revenue (paid invoices) minus USD cost; two pre-aggregated sides,
-    full outer join on the month (view-level join only)."""
+    full outer join on the month (view-level join only).  Lines without a usable rate cannot
+    be converted: they are counted in ``unconverted_lines``, which flags the margin."""
     rev = fx.payments(spark, sf).filter(F.col("event_type") == "invoice_paid").groupBy(
         F.date_trunc("month", "occurred_at").cast("timestamp_ntz").alias("month")
     ).agg(F.sum("amount").alias("revenue"))
     lines = fx.cost_lines(spark, sf).withColumn("month", F.date_trunc("month", "usage_start_time").cast("timestamp_ntz"))
-    rl = lines.join(fx.rates(spark, sf), ["currency", "month"], "left").filter(F.col("rate_to_usd") > 0)
-    cost = rl.groupBy("month").agg(F.sum(F.col("amount").cast("decimal(18,2)") * F.col("rate_to_usd")).alias("cost_usd"))
+    rl = lines.join(fx.rates(spark, sf), ["currency", "month"], "left")
+    usable = F.coalesce(F.col("rate_to_usd") > 0, F.lit(False))
+    cost = rl.groupBy("month").agg(
+        F.sum(F.when(usable, F.col("amount").cast("decimal(18,2)") * F.col("rate_to_usd"))).alias("cost_usd"),
+        F.count(F.when(~usable, 1)).alias("unconverted_lines"),
+    )
     j = rev.join(cost, "month", "full")
     r, c = money(F.coalesce(F.col("revenue"), F.lit(0))), money(F.coalesce(F.col("cost_usd"), F.lit(0)))
-    return j.select("month", r.alias("revenue"), c.alias("cost_usd"), (r - c).cast("decimal(38,2)").alias("margin"))
+    return j.select("month", r.alias("revenue"), c.alias("cost_usd"), (r - c).cast("decimal(38,2)").alias("margin"),
+                    F.coalesce(F.col("unconverted_lines"), F.lit(0)).alias("unconverted_lines"))
 
 
 @register("unit_cost", with_views(["v_cost_lines"], """

@@ -7,8 +7,8 @@ from helpers import A, B, checkpoints, inbound
 from meterwise.config import RatingConfig
 from meterwise.plans.metering_job import meter_inbound
 
-# the service tests' defaults: price 0.5, quota 0, balance 0, revision billing-service-v1
-CFG = RatingConfig(price_per_byte=0.5, included_quota_bytes=0, initial_balance=0.0, source_revision="billing-service-v1")
+# the service tests' defaults: price 0.5, quota 0, balance 0, revision rating-rev-1
+CFG = RatingConfig(price_per_byte=0.5, included_quota_bytes=0, initial_balance=0.0, source_revision="rating-rev-1")
 PROFILE = ("account_uuid string, included_quota_bytes bigint, base_price_per_byte double, region_multiplier double, "
            "line_multiplier double, pricing_rule_version string")
 
