@@ -143,6 +143,18 @@ class ItemIndex:
             out.append(len(part & held[n]) / len(part))
         return tuple(out)
 
+    def _distinct_gain(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sum of the rare terms' maxima in each passage, a repeated term once."""
+        gain, out = np.where(self.rare, self.term_max, 0), []
+        for k in range(0, len(a), 2048):
+            at = a[k:k + 2048, None] + np.arange(self.passage)
+            terms = np.where(at < b[k:k + 2048, None], ids[np.minimum(at, len(ids) - 1)], 0)
+            terms.sort(axis=1)
+            each = gain[terms]
+            each[:, 1:][terms[:, 1:] == terms[:, :-1]] = 0
+            out.append(each.sum(axis=1))
+        return np.concatenate(out) if out else np.zeros(0)
+
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float, float]]:
         """(text, item, score, overlap, question overlap, answer overlap) of all verified matches of whole texts."""
         if not self.items:
@@ -154,7 +166,7 @@ class ItemIndex:
             pieces = []
             for c in chunks:
                 if c not in known:
-                    known[c] = np.array([self.terms.get(w, 0) for w in normal_words(c.decode())], "<u4").tobytes()
+                    known[c] = b"".join([self.terms.get(w, 0).to_bytes(4, "little") for w in normal_words(c.decode())])
                 pieces.append(known[c])
             if len(known) > 400_000:
                 known.clear()
@@ -167,6 +179,7 @@ class ItemIndex:
             a = offsets[who] + (np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)) * step
             b = np.minimum(a + size, offsets[who + 1])
             hopeful = np.flatnonzero(before[b] - before[a] >= RETRIEVE - self.common - 1e-9)
+            hopeful = hopeful[self._distinct_gain(ids, a[hopeful], b[hopeful]) >= RETRIEVE - self.common - 1e-9]
             best: dict[tuple[int, int], tuple] = {}
             words_of: dict[int, list[str]] = {}
             for k in hopeful.tolist():
