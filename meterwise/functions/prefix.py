@@ -16,7 +16,7 @@ Steps 1 and 3 are partitioned by ``(key, chunk)``, so a hot key spreads over as
 tasks as it has chunks; the join and the final window share one partitioning.
 ``chunk`` must be monotone in the leading ``order`` column (the day of the time the
 rows are ordered by).  With ``chunk=None`` plain windows over the key are used.
-Keys must not be null.
+A row with a null key or chunk keeps its place in the result, but carries nothing over from other chunks.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def chunked_window(
         carry_cols.append(_agg(kind)(f"__t_{n}").over(wf).alias(f"__o_{n}"))
     carry = totals.select(*part, *carry_cols)
 
-    joined = tmp.join(carry, on=part, how="inner")
+    joined = tmp.join(carry, on=part, how="left")  # left: a row with a null key or time has no carry, but stays
     w = Window.partitionBy(*part).orderBy(*order_cols)
     out = []
     if lags:

@@ -19,8 +19,9 @@ Semantics kept from the metered service, plus the documented decisions:
   ``first_sample="baseline"`` bills 0 instead);
 * if either direction goes down the sample is a reset: nothing is billed, the
   baseline becomes the current value and the reset epoch grows by one;
-* copies of a snapshot are billed once (D1); a sample at or before the
-  checkpoint's ``last_seen_at`` is *late* and is reported, not billed (D3);
+* copies of a snapshot are billed once (D1); a sample before the checkpoint's
+  ``last_seen_at``, or at that instant with no higher totals, is *late* and is
+  reported, not billed (D3); unequal totals at one instant are differenced in order;
 * several snapshots in one minute add their deltas (D2, ``minute_policy="sum"``) or
   keep the later one (``"last"``, the service's overwrite).
 """
@@ -61,8 +62,11 @@ def flag_samples(inbound: DataFrame) -> DataFrame:
 
 
 def validate_samples(inbound: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split inbound entries into (good, quarantine); the quarantine keeps the reason."""
-    flagged = flag_samples(inbound)
+    """Split inbound entries into (good, quarantine); the quarantine keeps the reason, that of the
+    snapshot (A-P2) before that of the entry (A-P1)."""
+    flagged = flag_samples(inbound).withColumn(
+        "reject_reason", F.coalesce(snapshot_reject_reason(), F.col("reject_reason"))
+    )
     good = flagged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     bad = flagged.filter(F.col("reject_reason").isNotNull())
     return good, bad
@@ -81,16 +85,17 @@ def aggregate_inbounds(good: DataFrame) -> DataFrame:
     """A-A1: one sample per (snapshot, account).
 
     Sums both counters over the account's inbound entries, keeps the first non-blank
-    e-mail in array order and drops the inbound tag.  Copies of one entry of one
-    snapshot (same node, env, time and position) count once.  Both steps are hash
-    aggregates with map-side combine.
+    e-mail in array order and drops the inbound tag.  Readings of one entry (same node,
+    env, time, position, account and inbound tag) count once, with the higher counters:
+    they are cumulative.  Other accounts or tags at the same position are entries of
+    their own, as when one instant arrives in several snapshots.
     """
     snap = ["collected_at", "node_id", "env"]
-    entries = good.groupBy(*snap, "pos").agg(
-        F.max(
-            F.struct("account_uuid", "uplink_bytes_total", "downlink_bytes_total", go_trim(F.col("email")).alias("email"))
-        ).alias("e")
-    ).select(*snap, "pos", "e.*")
+    entries = good.groupBy(*snap, "pos", "account_uuid", "inbound_tag").agg(
+        F.max("uplink_bytes_total").alias("uplink_bytes_total"),
+        F.max("downlink_bytes_total").alias("downlink_bytes_total"),
+        F.max(go_trim(F.col("email"))).alias("email"),
+    )
     return entries.groupBy(*snap, "account_uuid").agg(
         F.sum("uplink_bytes_total").cast("long").alias("uplink_total"),
         F.sum("downlink_bytes_total").cast("long").alias("downlink_total"),
@@ -129,16 +134,20 @@ def counter_deltas(
         )
         rows = rows.unionByName(seeds)
 
-    # seeds sort before samples of the same instant; ascending keys only (used in max_by too)
-    order = ["collected_at", (F.lit(1) - F.col("is_seed")).alias("seed_last"), "uplink_total", "downlink_total"]
+    # a seed sorts after lower totals of its instant and before an equal or higher one; ascending keys only (used in
+    # max_by too)
+    order = ["collected_at", "uplink_total", "downlink_total", (F.lit(1) - F.col("is_seed")).alias("seed_last")]
+    place = F.struct("collected_at", "uplink_total", "downlink_total")
     chunk = chunk_of(F.col("collected_at"), cfg.chunk)
     step1 = chunked_window(
         rows, keys, order, chunk,
         lags=["collected_at", "uplink_total", "downlink_total", "is_seed"],
-        runs={"seed_time": (F.when(F.col("is_seed") == 1, F.col("collected_at")), "max", "all")},
+        runs={"seed_place": (F.when(F.col("is_seed") == 1, place), "max", "all")},
     )
-    is_late = F.col("seed_time").isNotNull() & (F.col("collected_at") <= F.col("seed_time")) & (F.col("is_seed") == 0)
-    is_dup = (F.col("prev_collected_at") == F.col("collected_at")) & (F.col("prev_is_seed") == 0) & ~is_late
+    is_late = F.col("seed_place").isNotNull() & (place <= F.col("seed_place")) & (F.col("is_seed") == 0)
+    is_dup = (F.col("prev_is_seed") == 0) & ~F.coalesce(is_late, F.lit(False))
+    for c in ("collected_at", "uplink_total", "downlink_total"):
+        is_dup = is_dup & (F.col(f"prev_{c}") == F.col(c))
     first = F.col("prev_uplink_total").isNull()
     base_up = F.coalesce(F.col("prev_uplink_total"), F.lit(0))
     base_down = F.coalesce(F.col("prev_downlink_total"), F.lit(0))

@@ -189,7 +189,7 @@ WITH entries AS (
          max(uplink_bytes_total) AS uplink_bytes_total, max(downlink_bytes_total) AS downlink_bytes_total,
          max({t('email')}) AS email
   FROM m_flagged WHERE reject_reason IS NULL
-  GROUP BY collected_at, node_id, env, pos, account_uuid)
+  GROUP BY collected_at, node_id, env, pos, account_uuid, inbound_tag)
 SELECT collected_at, node_id, env, account_uuid,
        CAST(sum(uplink_bytes_total) AS BIGINT) AS uplink_total,
        CAST(sum(downlink_bytes_total) AS BIGINT) AS downlink_total,
@@ -210,7 +210,7 @@ FROM (
   SELECT *, NOT is_duplicate AND (delta_up < 0 OR delta_down < 0) AS is_reset
   FROM (
     SELECT *, uplink_total - coalesce(prev_up, 0) AS delta_up, downlink_total - coalesce(prev_down, 0) AS delta_down,
-           prev_up IS NULL AS is_first, coalesce(prev_at = collected_at, false) AS is_duplicate
+           prev_up IS NULL AS is_first, coalesce(prev_at = collected_at AND prev_up = uplink_total AND prev_down = downlink_total, false) AS is_duplicate
     FROM (
       SELECT *, lag(uplink_total) OVER w AS prev_up, lag(downlink_total) OVER w AS prev_down,
              lag(collected_at) OVER w AS prev_at
@@ -311,6 +311,15 @@ view("s_deltas", ("v_samples",), delta_sql("v_samples"))
 view("s_buckets", ("s_deltas",), buckets_sql("s_deltas"))
 view("s_rated", ("s_buckets", "m_pricing", "v_quota_states"), rated_sql("s_buckets"))
 
+# samples with copies, and with second readings of one instant
+view("e_replayed", ("v_samples",), "SELECT * FROM v_samples UNION ALL SELECT * FROM v_samples WHERE event_id % 5 = 0")
+view("e_samples", ("e_replayed",), """
+SELECT * FROM e_replayed
+UNION ALL
+SELECT * REPLACE (uplink_total + 60 AS uplink_total, downlink_total + 5 AS downlink_total) FROM e_replayed WHERE event_id % 7 = 0
+""")
+view("e_deltas", ("e_samples",), delta_sql("e_samples"))
+
 # a run over the inbound snapshots before PREFIX_CUT only (the "earlier run" of replay checks)
 PREFIX_CUT = "2024-01-15 00:00:00"
 view("p_samples", ("m_samples",), f"SELECT * FROM m_samples WHERE collected_at < TIMESTAMP '{PREFIX_CUT}'")

@@ -44,6 +44,22 @@ def q_aggregate_inbounds(spark, sf):
     return metering.aggregate_inbounds(good).select(*cols(AI))
 
 
+@register("split_snapshots", with_views(["m_flagged"], f"""
+WITH readings AS (
+  SELECT date_trunc('day', collected_at) AS day, node_id, env, pos, inbound_tag, account_uuid,
+         max(uplink_bytes_total) AS up, max(downlink_bytes_total) AS down
+  FROM m_flagged WHERE reject_reason IS NULL GROUP BY ALL)
+SELECT CAST(day AS TIMESTAMP) AS collected_at, node_id, env, account_uuid,
+       CAST(sum(up) AS BIGINT) AS uplink_total, CAST(sum(down) AS BIGINT) AS downlink_total
+FROM readings GROUP BY 1, 2, 3, 4"""))
+def q_split_snapshots(spark, sf):
+    """One instant of a node arrives in many snapshots: every account's entries share their positions (times cut to the day)."""
+    good, _ = metering.validate_samples(fx.inbound(spark, sf))
+    daily = good.withColumn("collected_at", F.date_trunc("day", "collected_at").cast("timestamp_ntz"))
+    return metering.aggregate_inbounds(daily).select(
+        "collected_at", "node_id", "env", "account_uuid", "uplink_total", "downlink_total")
+
+
 # ---------------------------------------------------------------- A-W1..A-W3, A-J1, A-S5, A-S6, A-W8
 CD = ("event_id, storage_node_id, account_uuid, collected_at, uplink_total, downlink_total, delta_up, delta_down, "
       "is_first, is_reset, is_duplicate, reset_epoch, billable")
@@ -54,6 +70,18 @@ def q_counter_delta(spark, sf):
     return metering.counter_deltas(fx.samples(spark, sf), None, FIXTURE_CFG).select(*cols(CD))
 
 
+ES = "storage_node_id, account_uuid, collected_at, uplink_total, downlink_total, delta_up, delta_down, is_reset, is_duplicate, billable"
+
+
+@register("equal_time_samples", with_views(["e_deltas"], f"SELECT {ES} FROM e_deltas"))
+def q_equal_time_samples(spark, sf):
+    """Second readings of an instant: every seventh sample again with higher totals, every fifth again as it is."""
+    s = fx.replayed_samples(spark, sf)
+    more = s.filter(F.col("event_id") % 7 == 0).withColumns(
+        {"uplink_total": F.col("uplink_total") + 60, "downlink_total": F.col("downlink_total") + 5})
+    return metering.counter_deltas(s.unionByName(more), None, FIXTURE_CFG).select(*cols(ES))
+
+
 @register("reset_epochs", with_views(["s_deltas"], """
 SELECT storage_node_id, account_uuid, count(*) AS samples,
        CAST(sum(CASE WHEN is_reset THEN 1 ELSE 0 END) AS BIGINT) AS resets, max(reset_epoch) AS reset_epoch

@@ -8,7 +8,7 @@ concatenated / newline-delimited objects, as the ingest endpoint accepts them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,19 +73,32 @@ def flatten(snapshots: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def _objects(text: Column) -> Column:
+    """Concatenated JSON objects -> array of their texts.  Quotes divide the text into parts outside and inside of
+    strings by turns; only outside parts are searched for ``} {``.  Escapes and cuts are marked by control characters,
+    which no JSON text may hold; a text that holds them is left in one piece."""
+    marked = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    parts = F.transform(
+        F.split(marked, '"', -1),
+        lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, r"\}\s*\{", "}\x03{")).otherwise(p),
+    )
+    joined = F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.when(text.rlike("[\x01-\x03]"), F.array(text)).otherwise(F.split(joined, "\x03", -1))
+
+
 def decode_bodies(bodies: DataFrame, id_col: str = "body_id", body_col: str = "body") -> tuple[DataFrame, DataFrame]:
     """A-S2 + A-S3: pushed bodies -> (snapshots, rejects).
 
-    Every body is decoded whole.  An array body is one ``from_json`` of
-    ``array<snapshot>``; other bodies are split between objects (``}`` followed by
-    optional white space and ``{``) and each piece decoded.  A body with any piece that
-    does not decode is rejected whole, with a reason and a bounded excerpt.
+    Every body is decoded whole.  An array body is split into its elements, another body
+    between its objects (``}``, optional white space, ``{``, outside of strings), and each
+    piece is decoded alike.  A body with any piece that does not decode is rejected whole,
+    with a reason and a bounded excerpt.
     """
     t = go_trim(F.col(body_col))
     b = bodies.select(id_col, t.alias("__t"))
     is_array = F.substring("__t", 1, 1) == "["
-    arr = F.from_json("__t", T.ArrayType(SNAPSHOT_SCHEMA))
-    pieces = F.split("__t", r"(?<=\})\s*(?=\{)")
+    elements = F.from_json("__t", T.ArrayType(T.StringType()))
+    pieces = _objects(F.col("__t"))
     # malformed objects fill the corrupt-record field instead of yielding all-null rows
     probe = T.StructType(SNAPSHOT_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
     opts = {"columnNameOfCorruptRecord": "_corrupt_record"}
@@ -95,8 +108,7 @@ def decode_bodies(bodies: DataFrame, id_col: str = "body_id", body_col: str = "b
         ok = (F.substring(p, 1, 1) == "{") & d["_corrupt_record"].isNull()
         return F.when(ok, F.struct(*[d[f.name].alias(f.name) for f in SNAPSHOT_SCHEMA.fields]))
 
-    objs = F.transform(pieces, one)
-    decoded = F.when(is_array, arr).otherwise(objs)
+    decoded = F.transform(F.when(is_array, elements).otherwise(pieces), one)
     b = b.withColumn("__d", F.when(F.length("__t") > 0, decoded))
     bad_piece = F.exists("__d", lambda s: s.isNull())
     reason = (

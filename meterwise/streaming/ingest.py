@@ -3,8 +3,13 @@
 Each micro-batch runs the batch operators of :mod:`meterwise.plans.metering_job`,
 seeded with the state the previous batch left (checkpoints, quota rows), and writes:
 
-* ``ledger/batch_id=N`` -- new ledger rows only (insert-if-absent on ``id``, D1);
-* ``buckets/batch_id=N`` -- the batch's minute buckets;
+* ``rated/batch_id=N`` -- the rated minutes, from which the ledger, buckets and quota rows are read;
+* ``ledger/batch_id=N`` -- ledger rows.  Replayed samples are late and give none.  More
+  usage of a minute that an earlier batch has charged gets a row of its own, under an id
+  made from the minute's id and the batch, so seed + sum(ledger) = balance;
+* ``buckets/batch_id=N`` -- the batch's share of its minute buckets (:func:`current_buckets` adds them up);
+* ``quarantine/batch_id=N`` -- rejected entries and lines that are no JSON, with the reason;
+* ``late/batch_id=N`` -- samples at or before their checkpoint;
 * ``checkpoints/batch_id=N`` and ``quota_states/batch_id=N`` -- full state after N.
 
 Every output is a partition named by the micro-batch id and written with overwrite,
@@ -15,33 +20,50 @@ and earlier state is never rewritten in place.  The stream's own progress lives
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meterwise.config import RatingConfig
-from meterwise.operators import upsert
+from meterwise.config import REJECT_EXCERPT_LIMIT, RatingConfig
+from meterwise.functions.ids import uuid5_oid
+from meterwise.functions.text import excerpt
+from meterwise.operators import rating, upsert
 from meterwise.plans.metering_job import meter_inbound
-from meterwise.sources.snapshots import SNAPSHOT_SCHEMA, flatten
+from meterwise.sources.snapshots import REASON_MALFORMED, SNAPSHOT_SCHEMA, flatten
 
+CORRUPT = "_corrupt_record"
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+def _earlier(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
+    """What batches before ``before_batch`` wrote to ``path``; None if nothing was ever written there."""
+    try:
+        return spark.read.parquet(path).filter(F.col("batch_id") < before_batch)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def latest_state(spark: SparkSession, root: str, name: str, before_batch: int) -> DataFrame | None:
     """The state table ``name`` as written by the last batch before ``before_batch``."""
-    path = f"{root}/{name}"
-    if not _exists(spark, path):
+    df = _earlier(spark, f"{root}/{name}", before_batch)
+    if df is None:
         return None
-    df = spark.read.parquet(path).filter(F.col("batch_id") < before_batch)
     last = df.agg(F.max("batch_id")).first()[0]  # one scalar
     if last is None:
         return None
     return df.filter(F.col("batch_id") == last).drop("batch_id")
 
 
+def current_buckets(spark: SparkSession, root: str) -> DataFrame:
+    """The minute buckets of all batches: one row per bucket key."""
+    rows = spark.read.parquet(f"{root}/buckets")
+    sums = [F.sum(c).cast("long").alias(c) for c in ("uplink_bytes", "downlink_bytes", "total_bytes")]
+    last = [F.max_by(c, "batch_id").alias(c) for c in ("multiplier", "rating_status", "source_revision")]
+    return rows.groupBy(*rating.BUCKET_KEY).agg(*sums, *last)
+
+
 class MeteringBatchWriter:
     """``foreachBatch`` function: meter, rate and persist one micro-batch."""
 
@@ -54,24 +76,48 @@ class MeteringBatchWriter:
         spark = batch.sparkSession
         ck = latest_state(spark, self.out, "checkpoints", batch_id)
         qs = latest_state(spark, self.out, "quota_states", batch_id)
-        r = meter_inbound(flatten(batch), self.profiles, qs, ck, self.cfg)
-
-        ledger = r.ledger
-        if _exists(spark, f"{self.out}/ledger"):
-            earlier = spark.read.parquet(f"{self.out}/ledger").filter(F.col("batch_id") < batch_id).select("id")
-            ledger = ledger.join(earlier, "id", "left_anti")
-        ledger.write.mode("overwrite").parquet(f"{self.out}/ledger/batch_id={batch_id}")
-        r.buckets.write.mode("overwrite").parquet(f"{self.out}/buckets/batch_id={batch_id}")
+        snapshots = batch.filter(F.col(CORRUPT).isNull()).drop(CORRUPT) if CORRUPT in batch.columns else batch
+        r = meter_inbound(flatten(snapshots), self.profiles, qs, ck, self.cfg)
+
+        rejects = r.quarantine.select(
+            "collected_at", "node_id", "env", "pos", "uuid", "reject_reason", F.lit(None).cast("string").alias("excerpt")
+        )
+        if CORRUPT in batch.columns:
+            rejects = rejects.unionByName(batch.filter(F.col(CORRUPT).isNotNull()).select(
+                F.col("collected_at").cast("timestamp_ntz").alias("collected_at"), "node_id", "env",
+                F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("uuid"),
+                F.lit(REASON_MALFORMED).alias("reject_reason"), excerpt(F.col(CORRUPT), REJECT_EXCERPT_LIMIT).alias("excerpt"),
+            ))
+        self._write(rejects, "quarantine", batch_id)
+        self._write(r.deltas.filter("is_late"), "late", batch_id)
+        rated = self._write(r.rated, "rated", batch_id)
+        ledger = rating.ledger_rows(rated)
+        earlier = _earlier(spark, f"{self.out}/ledger", batch_id)
+        if earlier is not None:
+            start = rated.agg(F.min("bucket_start")).first()[0]  # one scalar; bounds the read of earlier rows
+            if start is not None:
+                earlier = earlier.filter(F.col("bucket_start") >= F.lit(start).cast("timestamp_ntz"))
+            charged = earlier.select("id", F.lit(True).alias("charged")).distinct()
+            again = uuid5_oid(F.concat_ws("|", "id", F.lit(str(batch_id))))
+            ledger = ledger.join(charged, "id", "left").withColumn("id", F.when(F.col("charged"), again).otherwise(F.col("id")))
+            ledger = ledger.drop("charged")
+        self._write(ledger, "ledger", batch_id)
+        self._write(rating.bucket_rows(rated), "buckets", batch_id)
 
         new_ck = r.checkpoints
         if ck is not None:
             new_ck = upsert.keyed_upsert(ck, new_ck, ["node_id", "account_uuid"])
-        new_ck.write.mode("overwrite").parquet(f"{self.out}/checkpoints/batch_id={batch_id}")
+        self._write(new_ck, "checkpoints", batch_id)
 
-        new_qs = r.quota_states
+        new_qs = rating.final_quota_states(rated)
         if qs is not None:
             new_qs = upsert.keyed_upsert(qs, new_qs, ["account_uuid"])
-        new_qs.write.mode("overwrite").parquet(f"{self.out}/quota_states/batch_id={batch_id}")
+        self._write(new_qs, "quota_states", batch_id)
+
+    def _write(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
+        path = f"{self.out}/{name}/batch_id={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
 
 
 def start_metering_stream(
@@ -85,7 +131,7 @@ def start_metering_stream(
     available_now: bool = True,
 ):
     """Start the ingest stream over a landing folder of snapshot JSON files."""
-    reader = spark.readStream.schema(SNAPSHOT_SCHEMA)
+    reader = spark.readStream.schema(T.StructType([*SNAPSHOT_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())]))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     stream = reader.json(landing_dir)

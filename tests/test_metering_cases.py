@@ -139,3 +139,39 @@ def test_late_snapshot_is_not_billed(spark, cfg):
     d = {x.collected_at.minute: x for x in r.deltas.collect()}
     assert d[29].is_late and not d[29].billable
     assert d[31].delta_up == 30 and d[31].reset_epoch == 0
+
+
+def test_accounts_of_one_instant_in_two_snapshots_all_stay(spark, cfg):
+    rows = [("2026-07-13 10:30:15", "jp-node", "prod", [(A, "", "xhttp", 100, 0)]),
+            ("2026-07-13 10:30:15", "jp-node", "prod", [(B, "", "xhttp", 70, 0)]),
+            ("2026-07-13 10:30:15", "jp-node", "prod", [(A, "", "tcp", 5, 0)])]
+    got = {x.account_uuid: x.total_bytes for x in run(spark, rows, cfg).buckets.collect()}
+    assert got == {A: 105, B: 70}
+
+
+def test_unequal_totals_of_one_instant_are_differenced(spark, cfg):
+    from meterwise.operators.metering import counter_deltas
+
+    rows = [("2026-07-13 10:30:15", 100), ("2026-07-13 10:30:15", 160), ("2026-07-13 10:30:15", 160), ("2026-07-13 10:31:15", 200)]
+    s = spark.createDataFrame([("n", A, t, up, 0) for t, up in rows],
+                              "storage_node_id string, account_uuid string, t string, uplink_total bigint, downlink_total bigint")
+    s = s.withColumn("collected_at", F.col("t").cast("timestamp_ntz")).drop("t")
+    d = counter_deltas(s, None, cfg).filter("billable").collect()
+    assert sorted(x.delta_up for x in d) == [40, 60, 100]
+
+
+def test_second_reading_of_the_checkpoint_instant(spark, cfg):
+    ck = checkpoints(spark, [("prod:jp-node", A, 100, 0, "2026-07-13 10:30:00", 0)])
+    rows = [("2026-07-13 10:30:00", "jp-node", "prod", [(A, "", "xhttp", 130, 0)]),
+            ("2026-07-13 10:31:00", "jp-node", "prod", [(A, "", "xhttp", 150, 0)])]
+    assert sorted(x.delta_up for x in run(spark, rows, cfg, ck=ck).deltas.filter("billable").collect()) == [20, 30]
+    replay = run(spark, [("2026-07-13 10:30:00", "jp-node", "prod", [(A, "", "xhttp", 100, 0)])], cfg, ck=ck)
+    assert [x.is_late for x in replay.deltas.collect()] == [True] and replay.buckets.count() == 0
+
+
+def test_snapshot_without_time_is_quarantined(spark, cfg):
+    df = inbound(spark, [("2026-07-13 10:30:15", "jp-node", "prod", [(A, "", "xhttp", 100, 0)])])
+    df = df.unionByName(df.withColumn("collected_at", F.lit(None).cast("timestamp_ntz")))
+    r = meter_inbound(df, None, None, None, cfg)
+    assert [x.reject_reason for x in r.quarantine.collect()] == ["snapshot collected_at is required"]
+    assert r.buckets.count() == 1

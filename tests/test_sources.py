@@ -49,3 +49,17 @@ def test_f24_registry(spark):
     assert [(r.source_id, r.base_url, r.enabled, r.timeout_seconds) for r in rows] == [
         ("default", "http://legacy", True, 15), ("s1", "http://h:1", True, 15)]
     assert err.count() == 0
+
+
+def test_text_counter_in_an_array_rejects_the_body(spark):
+    bad_snap = json.dumps(SNAP).replace("100", '"abc"')
+    good, bad = decode_bodies(bodies(spark, ["[" + bad_snap + "]", "[" + json.dumps(SNAP) + "," + bad_snap + "]"]))
+    assert good.count() == 0 and [r.reason for r in bad.collect()] == ["malformed snapshot"] * 2
+
+
+def test_braces_and_quotes_inside_strings_do_not_split(spark):
+    odd = dict(SNAP, samples=[dict(SNAP["samples"][0], email='a} {b"} {\\')])
+    one = json.dumps(odd)
+    good, bad = decode_bodies(bodies(spark, [one, one + " " + one + "\n" + one]))
+    assert bad.count() == 0 and good.count() == 4
+    assert {r.e for r in good.select(F.col("samples")[0]["email"].alias("e")).collect()} == {'a} {b"} {\\'}

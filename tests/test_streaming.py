@@ -10,7 +10,7 @@ from helpers import A, B
 from meterwise.config import RatingConfig
 from meterwise.plans.metering_job import meter_inbound
 from meterwise.sources.snapshots import flatten, read_landing
-from meterwise.streaming.ingest import start_metering_stream
+from meterwise.streaming.ingest import current_buckets, start_metering_stream
 
 CFG = RatingConfig(price_per_byte=0.5, included_quota_bytes=120, initial_balance=10.0, source_revision="rev")
 
@@ -37,3 +37,30 @@ def test_stream_equals_batch_with_replayed_file(spark):
     cols = sorted(batch.columns)
     assert sorted(streamed.select(cols).collect()) == sorted(batch.select(cols).collect())
     assert streamed.count() == 7  # A: minutes 0, 1, 3 (minute 2 is a reset); B: minutes 0-3
+
+
+def test_one_minute_over_two_batches_and_rejects(spark):
+    root = tempfile.mkdtemp(prefix="mw-stream-")
+    landing = os.path.join(root, "landing")
+    os.makedirs(landing)
+
+    def line(second, up, uuid=A):
+        return json.dumps({"collected_at": f"2026-07-13T10:00:{second:02d}Z", "node_id": "jp-node", "env": "prod",
+                           "samples": [{"uuid": uuid, "uplink_bytes_total": up, "downlink_bytes_total": 0}]})
+
+    files = [[line(5, 200), line(6, 1, "bad")], [line(30, 320), line(5, 200), "{broken"], [line(45, 400)]]
+    for i, lines in enumerate(files):
+        path = os.path.join(landing, f"f{i}.json")
+        with open(path, "w") as fh:
+            fh.write("\n".join(lines))
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    out = os.path.join(root, "out")
+    start_metering_stream(spark, landing, out, os.path.join(root, "ckpt"), cfg=CFG, max_files_per_trigger=1).awaitTermination(300)
+    ledger = spark.read.parquet(f"{out}/ledger").collect()
+    state = spark.read.parquet(f"{out}/quota_states").orderBy(F.desc("batch_id")).first()
+    assert len({r.id for r in ledger}) == len(ledger) == 3
+    assert 10.0 + sum(r.amount_delta for r in ledger) == state.current_balance == 10.0 - 280 * 0.5
+    assert [r.total_bytes for r in current_buckets(spark, out).collect()] == [400]
+    assert spark.read.parquet(f"{out}/late").count() == 1
+    reasons = sorted(r.reject_reason for r in spark.read.parquet(f"{out}/quarantine").collect())
+    assert reasons == ["malformed snapshot", "sample uuid is not a valid UUID"]
