@@ -53,18 +53,6 @@ def latest_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
 
 
-def billing_summary(ledger: DataFrame) -> DataFrame:
-    """B-4: per account charges, rated bytes and the latest balance."""
-    return ledger.groupBy("account_uuid").agg(
-        F.count("*").alias("entries"),
-        F.sum("rated_bytes").cast("long").alias("rated_bytes"),
-        F.sum("amount_delta").alias("amount_total"),
-        F.max_by("balance_after", F.struct("bucket_start", "id")).alias("balance"),
-        F.min("bucket_start").alias("first_bucket_at"),
-        F.max("bucket_start").alias("last_bucket_at"),
-    )
-
-
 def usage_window(buckets: DataFrame, start: str, end: str) -> DataFrame:
     """B-5: usage per account in ``[start, end)``."""
     s, e = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
@@ -85,12 +73,14 @@ def cost_by_period(costs: DataFrame, grain: str, dims: Sequence[str]) -> DataFra
 
 
 def cost_rollup(costs: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """B-24: subtotals along ``dims`` (ROLLUP), with the grouping level."""
-    return costs.rollup(*dims).agg(
+    """B-24: subtotals along ``dims`` (ROLLUP) in each currency, with the grouping level of ``dims``.  The rollup's one
+    level above the currencies would add them up, so it is left out."""
+    rolled = costs.rollup("currency", *dims).agg(
         F.sum("cost_amount").cast(MONEY).alias("cost"),
         F.count("*").alias("rows"),
         F.grouping_id().cast("int").alias("level"),
     )
+    return rolled.filter(F.col("level") < 1 << len(dims))
 
 
 def convert_currency(costs: DataFrame, rates: DataFrame, target: str = "USD") -> DataFrame:
@@ -111,21 +101,21 @@ def convert_currency(costs: DataFrame, rates: DataFrame, target: str = "USD") ->
 def price_asof(usage: DataFrame, book: DataFrame, key: str, time_col: str) -> DataFrame:
     """B-21: latest ``effective_from <= time`` price per usage row (null + flag when none).
 
-    Equi-join on the key, keep the versions in effect, pick the latest with a partial
-    aggregate.  The fan-out is bounded by the price versions of a key (a small,
-    slowly growing dimension), not by the usage volume.
+    Each price version holds until the next one of its key, so a usage row meets at most
+    one, and equal usage rows stay apart.  Of versions with one date the dearest holds.
     """
-    b = book.select(F.col(key).alias("__k"), "effective_from", "unit_price")
-    j = usage.join(b, (usage[key] == b["__k"]) & (b["effective_from"] <= usage[time_col]), "left")
-    # usage rows are unique (pre-aggregated), so grouping by all their columns keeps them
-    out = j.groupBy(*usage.columns).agg(
-        F.max_by(F.struct("effective_from", "unit_price"), "effective_from").alias("__p")
+    w = Window.partitionBy(key).orderBy("effective_from", "unit_price")
+    b = book.select(
+        F.col(key).alias("__k"), F.col("effective_from").alias("__from"), F.col("unit_price").alias("__price"),
+        F.lead("effective_from").over(w).alias("__until"),
     )
-    return out.select(
+    at = F.col(time_col)
+    holds = (F.col("__from") <= at) & (F.col("__until").isNull() | (at < F.col("__until")))
+    return usage.join(b, (F.col(key) == F.col("__k")) & holds, "left").select(
         *usage.columns,
-        F.col("__p.effective_from").alias("price_effective_from"),
-        F.col("__p.unit_price").alias("unit_price"),
-        F.col("__p.unit_price").isNotNull().alias("priced"),
+        F.col("__from").alias("price_effective_from"),
+        F.col("__price").alias("unit_price"),
+        F.col("__price").isNotNull().alias("priced"),
     )
 
 

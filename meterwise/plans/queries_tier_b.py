@@ -289,14 +289,14 @@ def q_gross_margin(spark, sf):
 
 
 @register("unit_cost", with_views(["v_cost_lines"], """
-SELECT service_name, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, CAST(sum(amount) AS DECIMAL(38,2)) AS cost,
+SELECT service_name, currency, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, CAST(sum(amount) AS DECIMAL(38,2)) AS cost,
        sum(usage_quantity) AS quantity,
        CASE WHEN sum(usage_quantity) <> 0 THEN CAST(CAST(sum(amount) AS DECIMAL(38,2)) AS DOUBLE) / sum(usage_quantity) END AS unit_cost
-FROM v_cost_lines GROUP BY 1, 2"""))
+FROM v_cost_lines GROUP BY 1, 2, 3"""))
 def q_unit_cost(spark, sf):
-    """B-12: monthly cost per unit of usage per service (null without usage)."""
+    """B-12: monthly cost per unit of usage per service and currency (null without usage)."""
     g = fx.cost_lines(spark, sf).groupBy(
-        "service_name", F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month")
+        "service_name", "currency", F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month")
     ).agg(money(F.sum("amount")).alias("cost"), F.sum("usage_quantity").alias("quantity"))
     return g.withColumn("unit_cost", analytics.ratio(F.col("cost"), F.col("quantity")))
 
@@ -378,15 +378,15 @@ def q_currency_convert(spark, sf):
 
 
 @register("cost_roles", with_views(["v_cost_lines"], """
-WITH r AS (SELECT provider, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, amount,
+WITH r AS (SELECT provider, currency, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, amount,
                   CASE WHEN resource_id % 5 = 0 THEN 'estimate' WHEN kind = 'modern' THEN 'adjustment' ELSE 'authoritative' END AS role
            FROM v_cost_lines)
-SELECT provider, month,
+SELECT provider, currency, month,
        CAST(coalesce(sum(amount) FILTER (WHERE role = 'authoritative'), 0) AS DECIMAL(38,2)) AS authoritative,
        CAST(coalesce(sum(amount) FILTER (WHERE role = 'adjustment'), 0) AS DECIMAL(38,2)) AS adjustment,
        CAST(coalesce(sum(amount) FILTER (WHERE role = 'estimate'), 0) AS DECIMAL(38,2)) AS estimate,
        CAST(coalesce(sum(amount) FILTER (WHERE role IN ('authoritative', 'adjustment')), 0) AS DECIMAL(38,2)) AS total
-FROM r GROUP BY 1, 2"""))
+FROM r GROUP BY 1, 2, 3"""))
 def q_cost_roles(spark, sf):
     """B-17: total = authoritative + adjustment; estimates are reported, never added.
     Role: estimate for resources ending in 0/5, adjustment for modern rows, else
@@ -398,7 +398,7 @@ def q_cost_roles(spark, sf):
     def part(*roles):
         return money(F.coalesce(F.sum(F.when(F.col("role").isin(*roles), F.col("amount"))), F.lit(0)))
 
-    return l.groupBy("provider", F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month")).agg(
+    return l.groupBy("provider", "currency", F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month")).agg(
         part("authoritative").alias("authoritative"), part("adjustment").alias("adjustment"),
         part("estimate").alias("estimate"), part("authoritative", "adjustment").alias("total"),
     )
@@ -510,20 +510,20 @@ def q_allocate_revenue(spark, sf):
 
 
 @register("unallocated_ratio", with_views(["v_cost_lines"], """
-WITH c AS (SELECT CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, amount,
+WITH c AS (SELECT CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, currency, amount,
                   CASE WHEN cost_center IS NULL THEN 'untagged' WHEN resource_id % 11 = 0 THEN 'unknown_resource'
                        WHEN product LIKE 'Brand#1%' THEN 'shared' ELSE 'allocated' END AS bucket FROM v_cost_lines),
-g AS (SELECT month, CAST(sum(amount) AS DECIMAL(38,2)) AS total,
+g AS (SELECT month, currency, CAST(sum(amount) AS DECIMAL(38,2)) AS total,
              CAST(coalesce(sum(amount) FILTER (WHERE bucket = 'untagged'), 0) AS DECIMAL(38,2)) AS untagged,
              CAST(coalesce(sum(amount) FILTER (WHERE bucket = 'unknown_resource'), 0) AS DECIMAL(38,2)) AS unknown_resource,
              CAST(coalesce(sum(amount) FILTER (WHERE bucket = 'shared'), 0) AS DECIMAL(38,2)) AS shared,
-             CAST(coalesce(sum(amount) FILTER (WHERE bucket = 'allocated'), 0) AS DECIMAL(38,2)) AS allocated FROM c GROUP BY 1)
+             CAST(coalesce(sum(amount) FILTER (WHERE bucket = 'allocated'), 0) AS DECIMAL(38,2)) AS allocated FROM c GROUP BY 1, 2)
 SELECT *, CASE WHEN total <> 0 THEN CAST(untagged + unknown_resource AS DOUBLE) / CAST(total AS DOUBLE) END AS unallocated_ratio,
        coalesce(CAST(untagged + unknown_resource AS DOUBLE) / CAST(total AS DOUBLE) > 0.15, false) AS alert
 FROM g"""))
 def q_unallocated_ratio(spark, sf):
     """B-20: every cost lands in one bucket (untagged, unknown resource, shared,
-    allocated, in that order); the unallocated share per month alerts over 15 %."""
+    allocated, in that order); the unallocated share per month and currency alerts over 15 %."""
     l = fx.cost_lines(spark, sf)
     bucket = (F.when(F.col("cost_center").isNull(), "untagged").when(F.col("resource_id") % 11 == 0, "unknown_resource")
               .when(F.col("product").startswith("Brand#1"), "shared").otherwise("allocated"))
@@ -532,7 +532,7 @@ def q_unallocated_ratio(spark, sf):
     def part(b):
         return money(F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col("amount"))), F.lit(0)))
 
-    g = l.groupBy(F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month")).agg(
+    g = l.groupBy(F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month"), "currency").agg(
         money(F.sum("amount")).alias("total"), part("untagged").alias("untagged"), part("unknown_resource").alias("unknown_resource"),
         part("shared").alias("shared"), part("allocated").alias("allocated"),
     )
@@ -542,22 +542,22 @@ def q_unallocated_ratio(spark, sf):
 
 # ---------------------------------------------------------------- B-22, B-24, B-25, B-26, B-27
 @register("cost_change_drivers", with_views(["v_cost_lines"], f"""
-WITH a AS (SELECT service_name, sum(amount) FILTER (WHERE year(usage_start_time) = 1996) AS c0,
-                  sum(amount) FILTER (WHERE year(usage_start_time) = 1997) AS c1 FROM v_cost_lines GROUP BY 1),
-b AS (SELECT service_name, CAST(coalesce(c0, 0) AS DECIMAL(38,2)) AS cost_before, CAST(coalesce(c1, 0) AS DECIMAL(38,2)) AS cost_after FROM a),
+WITH a AS (SELECT service_name, currency, sum(amount) FILTER (WHERE year(usage_start_time) = 1996) AS c0,
+                  sum(amount) FILTER (WHERE year(usage_start_time) = 1997) AS c1 FROM v_cost_lines GROUP BY 1, 2),
+b AS (SELECT service_name, currency, CAST(coalesce(c0, 0) AS DECIMAL(38,2)) AS cost_before, CAST(coalesce(c1, 0) AS DECIMAL(38,2)) AS cost_after FROM a),
 c AS (SELECT *, CAST(cost_after - cost_before AS DECIMAL(38,2)) AS delta FROM b)
-SELECT * FROM (SELECT *, row_number() OVER (ORDER BY abs(delta) DESC, service_name) AS rk FROM c) WHERE rk <= {DRIVERS_TOP_K}"""))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY abs(delta) DESC, service_name) AS rk FROM c) WHERE rk <= {DRIVERS_TOP_K}"""))
 def q_cost_change_drivers(spark, sf):
-    """B-22: services whose cost changed most between 1996 and 1997 (top k by |delta|).
+    """B-22: services whose cost changed most between 1996 and 1997 (top k by |delta| in each currency).
     Both ranges are aggregated per service first; the final ranking sees one row per
-    service."""
+    service and currency."""
     l = fx.cost_lines(spark, sf)
     y = F.year("usage_start_time")
-    a = l.groupBy("service_name").agg(
+    a = l.groupBy("service_name", "currency").agg(
         money(F.coalesce(F.sum(F.when(y == 1996, F.col("amount"))), F.lit(0))).alias("cost_before"),
         money(F.coalesce(F.sum(F.when(y == 1997, F.col("amount"))), F.lit(0))).alias("cost_after"),
     ).withColumn("delta", (F.col("cost_after") - F.col("cost_before")).cast("decimal(38,2)"))
-    w = Window.orderBy(F.abs("delta").desc(), "service_name")
+    w = Window.partitionBy("currency").orderBy(F.abs("delta").desc(), "service_name")
     return a.withColumn("rk", F.row_number().over(w).cast("long")).filter(F.col("rk") <= DRIVERS_TOP_K)
 
 
@@ -579,11 +579,11 @@ def q_cost_monthly(spark, sf):
 
 @register("cost_by_dims_rollup", with_views(["v_cost_lines"], f"""
 WITH u AS ({UNIFIED_SQL})
-SELECT provider, service_name, region, CAST(sum(cost_amount) AS DECIMAL(38,2)) AS cost, count(*) AS rows,
+SELECT currency, provider, service_name, region, CAST(sum(cost_amount) AS DECIMAL(38,2)) AS cost, count(*) AS rows,
        CAST(GROUPING(provider, service_name, region) AS INTEGER) AS level
-FROM u GROUP BY ROLLUP (provider, service_name, region)"""))
+FROM u GROUP BY currency, ROLLUP (provider, service_name, region)"""))
 def q_cost_by_dims_rollup(spark, sf):
-    """B-24: subtotals by provider > service > region; aggregates equal detail."""
+    """B-24: subtotals by provider > service > region in each currency; aggregates equal detail."""
     return analytics.cost_rollup(costs.unified_costs(fx.cost_lines(spark, sf)), ["provider", "service_name", "region"])
 
 
@@ -644,15 +644,15 @@ def q_cost_mtd_forecast(spark, sf):
 
 
 @register("top_services", with_views(["v_cost_lines"], """
-WITH m AS (SELECT CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, service_name, CAST(sum(amount) AS DECIMAL(38,2)) AS cost
-           FROM v_cost_lines GROUP BY 1, 2)
-SELECT * FROM (SELECT *, rank() OVER (PARTITION BY month ORDER BY cost DESC) AS rk FROM m) WHERE rk <= 3"""))
+WITH m AS (SELECT CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, currency, service_name, CAST(sum(amount) AS DECIMAL(38,2)) AS cost
+           FROM v_cost_lines GROUP BY 1, 2, 3)
+SELECT * FROM (SELECT *, rank() OVER (PARTITION BY month, currency ORDER BY cost DESC) AS rk FROM m) WHERE rk <= 3"""))
 def q_top_services(spark, sf):
-    """B-27: the three most expensive services of every month."""
+    """B-27: the three most expensive services of every month, in each currency."""
     m = fx.cost_lines(spark, sf).groupBy(
-        F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month"), "service_name"
+        F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month"), "currency", "service_name"
     ).agg(money(F.sum("amount")).alias("cost"))
-    w = Window.partitionBy("month").orderBy(F.col("cost").desc())
+    w = Window.partitionBy("month", "currency").orderBy(F.col("cost").desc())
     return m.withColumn("rk", F.rank().over(w).cast("long")).filter(F.col("rk") <= 3)
 
 
@@ -727,23 +727,23 @@ def q_anomaly_threshold(spark, sf):
 
 
 @register("budget_alerts", with_views(["v_cost_lines"], f"""
-WITH d AS (SELECT coalesce(region, 'Unknown') AS region, CAST(date_trunc('day', usage_start_time) AS TIMESTAMP) AS day,
-                  CAST(sum(amount) AS DECIMAL(38,2)) AS cost FROM v_cost_lines GROUP BY 1, 2),
+WITH d AS (SELECT coalesce(region, 'Unknown') AS region, currency, CAST(date_trunc('day', usage_start_time) AS TIMESTAMP) AS day,
+                  CAST(sum(amount) AS DECIMAL(38,2)) AS cost FROM v_cost_lines GROUP BY 1, 2, 3),
 m AS (SELECT *, CAST(date_trunc('month', day) AS TIMESTAMP) AS month,
-             sum(cost) OVER (PARTITION BY region, date_trunc('month', day) ORDER BY day ROWS UNBOUNDED PRECEDING) AS mtd FROM d),
+             sum(cost) OVER (PARTITION BY region, currency, date_trunc('month', day) ORDER BY day ROWS UNBOUNDED PRECEDING) AS mtd FROM d),
 t AS (SELECT m.*, th.threshold FROM m, (VALUES {', '.join(f"(CAST('{x}' AS DECIMAL(3,1)))" for x in BUDGET_THRESHOLDS)}) th(threshold))
-SELECT region, month, threshold, min(day) AS crossed_on FROM t WHERE mtd >= {BUDGET} * threshold GROUP BY 1, 2, 3"""))
+SELECT region, currency, month, threshold, min(day) AS crossed_on FROM t WHERE mtd >= {BUDGET} * threshold GROUP BY 1, 2, 3, 4"""))
 def q_budget_alerts(spark, sf):
     """B-29: first day each month a region's running cost reaches 50 / 80 / 100 % of its
-    budget (100,000 per region and month)."""
+    budget (100,000 per region and month, in each currency)."""
     d = fx.cost_lines(spark, sf).groupBy(
-        F.coalesce(F.col("region"), F.lit("Unknown")).alias("region"),
+        F.coalesce(F.col("region"), F.lit("Unknown")).alias("region"), "currency",
         F.date_trunc("day", "usage_start_time").cast("timestamp_ntz").alias("day"),
     ).agg(money(F.sum("amount")).alias("cost"))
-    budgets = d.select("region", F.date_trunc("month", "day").cast("timestamp_ntz").alias("month")).distinct().withColumn(
+    budgets = d.select("region", "currency", F.date_trunc("month", "day").cast("timestamp_ntz").alias("month")).distinct().withColumn(
         "budget", F.lit(BUDGET).cast("decimal(18,2)")
     )
-    out = analytics.budget_crossings(d, budgets, ["region"], [x for x in BUDGET_THRESHOLDS])
+    out = analytics.budget_crossings(d, budgets, ["region", "currency"], [x for x in BUDGET_THRESHOLDS])
     return out.withColumn("threshold", F.col("threshold").cast("decimal(3,1)"))
 
 
@@ -839,19 +839,19 @@ WITH m0 AS (SELECT s_suppkey AS resource_id, unnest(['svc-a', 'svc-b']) AS servi
             UNION ALL
             SELECT s_suppkey, 'svc-' || (s_suppkey % 3), TIMESTAMP '1996-01-01' FROM supplier WHERE s_suppkey % 4 = 1),
 m AS (SELECT *, count(*) OVER (PARTITION BY resource_id) AS n, row_number() OVER (PARTITION BY resource_id ORDER BY service) AS rank FROM m0),
-l AS (SELECT resource_id, usage_start_time, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month,
+l AS (SELECT resource_id, currency, usage_start_time, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month,
              CAST(amount * 100 AS BIGINT) AS cents FROM v_cost_lines),
-j AS (SELECT l.month, coalesce(m.service, 'Unallocated') AS service,
+j AS (SELECT l.month, l.currency, coalesce(m.service, 'Unallocated') AS service,
              CASE WHEN m.service IS NULL THEN l.cents
                   ELSE l.cents // m.n + CASE WHEN m.rank = 1 THEN l.cents % m.n ELSE 0 END END AS share
       FROM l LEFT JOIN m ON l.resource_id = m.resource_id AND l.usage_start_time >= m.effective_from)
-SELECT month, service, CAST(sum(share) AS BIGINT) AS allocated_cents, count(*) AS line_parts FROM j GROUP BY 1, 2"""))
+SELECT month, currency, service, CAST(sum(share) AS BIGINT) AS allocated_cents, count(*) AS line_parts FROM j GROUP BY 1, 2, 3"""))
 def q_resource_mapping(spark, sf):
     """B-16: each cost line goes to the services its resource maps to on that day,
     split evenly to the cent (remainder to the first service); unmapped -> Unallocated,
     so totals are conserved.  The join fans out by at most the mappings of one resource."""
     l = fx.cost_lines(spark, sf).select(
-        "resource_id", "usage_start_time",
+        "resource_id", "currency", "usage_start_time",
         F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month"),
         (F.col("amount") * 100).cast("long").alias("cents"),
     )
@@ -860,5 +860,5 @@ def q_resource_mapping(spark, sf):
     share = F.when(F.col("service").isNull(), F.col("cents")).otherwise(
         F.expr("cents div n") + F.when(F.col("rank") == 1, F.col("cents") % F.col("n")).otherwise(F.lit(0))
     )
-    out = j.select("month", F.coalesce(F.col("service"), F.lit("Unallocated")).alias("service"), share.alias("share"))
-    return out.groupBy("month", "service").agg(F.sum("share").cast("long").alias("allocated_cents"), F.count("*").alias("line_parts"))
+    out = j.select("month", "currency", F.coalesce(F.col("service"), F.lit("Unallocated")).alias("service"), share.alias("share"))
+    return out.groupBy("month", "currency", "service").agg(F.sum("share").cast("long").alias("allocated_cents"), F.count("*").alias("line_parts"))
