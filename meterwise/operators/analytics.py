@@ -135,28 +135,28 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, tolerance: float) ->
 
 
 # ------------------------------------------------------------------ anomalies, budgets
-def daily_spine(daily: DataFrame, key: str, day_col: str = "day", value: str = "cost") -> DataFrame:
+def daily_spine(daily: DataFrame, key: Sequence[str], day_col: str = "day", value: str = "cost") -> DataFrame:
     """Every day from a key's first to its last day, with 0 where the key had no rows.
 
     Built per key (``sequence`` + ``explode`` of its own bounds), so there is no join of
     keys with days; the spine grows with the time span, not with the data volume.
     """
-    bounds = daily.groupBy(key).agg(F.min(day_col).alias("lo"), F.max(day_col).alias("hi"))
-    spine = bounds.select(key, F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias(day_col))
+    bounds = daily.groupBy(*key).agg(F.min(day_col).alias("lo"), F.max(day_col).alias("hi"))
+    spine = bounds.select(*key, F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias(day_col))
     zero = F.lit(0).cast(daily.schema[value].dataType)
-    return spine.join(daily, [key, day_col], "left").select(
-        key, F.col(day_col).cast("timestamp_ntz").alias(day_col), F.coalesce(F.col(value), zero).alias(value)
+    return spine.join(daily, [*key, day_col], "left").select(
+        *key, F.col(day_col).cast("timestamp_ntz").alias(day_col), F.coalesce(F.col(value), zero).alias(value)
     )
 
 
-def change_anomalies(series: DataFrame, key: str, order: str, value: str, lag_n: int, min_ratio: float, min_delta: float) -> DataFrame:
+def change_anomalies(series: DataFrame, key: Sequence[str], order: str, value: str, lag_n: int, min_ratio: float, min_delta: float) -> DataFrame:
     """B-28: rows whose value grew by more than ``min_ratio`` x and ``min_delta`` over the
     value ``lag_n`` rows earlier (DoD: 1 day, WoW: 7 days, MoM: 1 month)."""
-    w = Window.partitionBy(key).orderBy(order)
+    w = Window.partitionBy(*key).orderBy(order)
     x = series.withColumn("previous", F.lag(value, lag_n).over(w))
     grew = (F.col(value) > F.col("previous") * F.lit(min_ratio)) & ((F.col(value) - F.col("previous")) >= F.lit(min_delta))
     return x.filter(F.col("previous").isNotNull() & grew).select(
-        key, order, value, "previous", (F.col(value) - F.col("previous")).alias("change")
+        *key, order, value, "previous", (F.col(value) - F.col("previous")).alias("change")
     )
 
 

@@ -657,25 +657,28 @@ def q_top_services(spark, sf):
 
 
 # ---------------------------------------------------------------- B-28, B-29
-SVC_DAILY_SQL = """d AS (SELECT service_name, CAST(date_trunc('day', usage_start_time) AS TIMESTAMP) AS day, CAST(sum(amount) AS DECIMAL(38,2)) AS cost
-                    FROM v_cost_lines GROUP BY 1, 2),
-bnd AS (SELECT service_name, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1),
-sp AS (SELECT service_name, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS TIMESTAMP) AS day FROM bnd),
-s AS (SELECT sp.service_name, sp.day, coalesce(d.cost, CAST(0 AS DECIMAL(38,2))) AS cost FROM sp LEFT JOIN d USING (service_name, day))"""
+SVC_DAILY_SQL = """d AS (SELECT service_name, currency, CAST(date_trunc('day', usage_start_time) AS TIMESTAMP) AS day, CAST(sum(amount) AS DECIMAL(38,2)) AS cost
+                    FROM v_cost_lines GROUP BY 1, 2, 3),
+bnd AS (SELECT service_name, currency, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1, 2),
+sp AS (SELECT service_name, currency, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS TIMESTAMP) AS day FROM bnd),
+s AS (SELECT sp.service_name, sp.currency, sp.day, coalesce(d.cost, CAST(0 AS DECIMAL(38,2))) AS cost FROM sp LEFT JOIN d USING (service_name, currency, day))"""
+
+
+SERVICE = ("service_name", "currency")  # amounts of different currencies are never added
 
 
 def service_daily(spark, sf):
     d = fx.cost_lines(spark, sf).groupBy(
-        "service_name", F.date_trunc("day", "usage_start_time").cast("timestamp_ntz").alias("day")
+        *SERVICE, F.date_trunc("day", "usage_start_time").cast("timestamp_ntz").alias("day")
     ).agg(money(F.sum("amount")).alias("cost"))
-    return analytics.daily_spine(d, "service_name", "day", "cost")
+    return analytics.daily_spine(d, SERVICE, "day", "cost")
 
 
 def anomaly_sql(lag_n: int, ratio: str, delta: int) -> str:
     return with_views(["v_cost_lines"], f"""
 WITH {SVC_DAILY_SQL},
-x AS (SELECT *, lag(cost, {lag_n}) OVER (PARTITION BY service_name ORDER BY day) AS previous FROM s)
-SELECT service_name, day, cost, previous, cost - previous AS change FROM x
+x AS (SELECT *, lag(cost, {lag_n}) OVER (PARTITION BY service_name, currency ORDER BY day) AS previous FROM s)
+SELECT service_name, currency, day, cost, previous, cost - previous AS change FROM x
 WHERE previous IS NOT NULL AND cost > previous * {ratio} AND cost - previous >= {delta}""")
 
 
@@ -683,45 +686,45 @@ WHERE previous IS NOT NULL AND cost > previous * {ratio} AND cost - previous >=
 def q_anomaly_dod(spark, sf):
     """B-28 day over day: +50 % and at least 1000 over the previous day (missing days
     count as 0 on the per-service date spine)."""
-    return analytics.change_anomalies(service_daily(spark, sf), "service_name", "day", "cost", 1, 1.5, 1000)
+    return analytics.change_anomalies(service_daily(spark, sf), SERVICE, "day", "cost", 1, 1.5, 1000)
 
 
 @register("anomaly_wow", anomaly_sql(7, "1.5", 1000))
 def q_anomaly_wow(spark, sf):
     """B-28 week over week: the same rule against the value 7 days earlier."""
-    return analytics.change_anomalies(service_daily(spark, sf), "service_name", "day", "cost", 7, 1.5, 1000)
+    return analytics.change_anomalies(service_daily(spark, sf), SERVICE, "day", "cost", 7, 1.5, 1000)
 
 
 @register("anomaly_mom", with_views(["v_cost_lines"], """
-WITH m AS (SELECT service_name, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, CAST(sum(amount) AS DECIMAL(38,2)) AS cost
-           FROM v_cost_lines GROUP BY 1, 2),
-bnd AS (SELECT service_name, min(month) AS lo, max(month) AS hi FROM m GROUP BY 1),
-sp AS (SELECT service_name, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS TIMESTAMP) AS month FROM bnd),
-s AS (SELECT sp.service_name, sp.month, coalesce(m.cost, CAST(0 AS DECIMAL(38,2))) AS cost FROM sp LEFT JOIN m USING (service_name, month)),
-x AS (SELECT *, lag(cost) OVER (PARTITION BY service_name ORDER BY month) AS previous FROM s)
-SELECT service_name, month, cost, previous, cost - previous AS change FROM x
+WITH m AS (SELECT service_name, currency, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, CAST(sum(amount) AS DECIMAL(38,2)) AS cost
+           FROM v_cost_lines GROUP BY 1, 2, 3),
+bnd AS (SELECT service_name, currency, min(month) AS lo, max(month) AS hi FROM m GROUP BY 1, 2),
+sp AS (SELECT service_name, currency, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS TIMESTAMP) AS month FROM bnd),
+s AS (SELECT sp.service_name, sp.currency, sp.month, coalesce(m.cost, CAST(0 AS DECIMAL(38,2))) AS cost FROM sp LEFT JOIN m USING (service_name, currency, month)),
+x AS (SELECT *, lag(cost) OVER (PARTITION BY service_name, currency ORDER BY month) AS previous FROM s)
+SELECT service_name, currency, month, cost, previous, cost - previous AS change FROM x
 WHERE previous IS NOT NULL AND cost > previous * 1.2 AND cost - previous >= 5000"""))
 def q_anomaly_mom(spark, sf):
     """B-28 month over month: +20 % and at least 5000 over the previous month."""
     m = fx.cost_lines(spark, sf).groupBy(
-        "service_name", F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month")
+        *SERVICE, F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month")
     ).agg(money(F.sum("amount")).alias("cost"))
-    bounds = m.groupBy("service_name").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
-    spine = bounds.select("service_name", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    s = spine.join(m, ["service_name", "month"], "left").select(
-        "service_name", F.col("month").cast("timestamp_ntz").alias("month"),
+    bounds = m.groupBy(*SERVICE).agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    spine = bounds.select(*SERVICE, F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    s = spine.join(m, [*SERVICE, "month"], "left").select(
+        *SERVICE, F.col("month").cast("timestamp_ntz").alias("month"),
         F.coalesce(F.col("cost"), F.lit(0).cast("decimal(38,2)")).alias("cost"),
     )
-    return analytics.change_anomalies(s, "service_name", "month", "cost", 1, 1.2, 5000)
+    return analytics.change_anomalies(s, SERVICE, "month", "cost", 1, 1.2, 5000)
 
 
 @register("anomaly_threshold", with_views(["v_cost_lines"], """
-SELECT service_name, CAST(date_trunc('day', usage_start_time) AS TIMESTAMP) AS day, CAST(sum(amount) AS DECIMAL(38,2)) AS cost
-FROM v_cost_lines GROUP BY 1, 2 HAVING sum(amount) > 20000"""))
+SELECT service_name, currency, CAST(date_trunc('day', usage_start_time) AS TIMESTAMP) AS day, CAST(sum(amount) AS DECIMAL(38,2)) AS cost
+FROM v_cost_lines GROUP BY 1, 2, 3 HAVING sum(amount) > 20000"""))
 def q_anomaly_threshold(spark, sf):
     """B-28 static threshold: a service-day over 20000."""
     d = fx.cost_lines(spark, sf).groupBy(
-        "service_name", F.date_trunc("day", "usage_start_time").cast("timestamp_ntz").alias("day")
+        *SERVICE, F.date_trunc("day", "usage_start_time").cast("timestamp_ntz").alias("day")
     ).agg(money(F.sum("amount")).alias("cost"))
     return d.filter(F.col("cost") > 20000)
 
