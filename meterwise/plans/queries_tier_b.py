@@ -428,8 +428,8 @@ SHARED = "cost_center IS NULL"
 def alloc_inputs(spark, sf):
     l = fx.cost_lines(spark, sf).withColumn("month", F.date_trunc("month", "usage_start_time").cast("timestamp_ntz"))
     l = l.withColumn("cents", (F.col("amount") * 100).cast("long"))
-    pools = l.filter(F.col("cost_center").isNull()).groupBy("month").agg(F.sum("cents").cast("long").alias("pool_cents"))
-    direct = l.filter(F.col("cost_center").isNotNull()).groupBy("month", "team").agg(
+    pools = l.filter(F.col("cost_center").isNull()).groupBy("month", "currency").agg(F.sum("cents").cast("long").alias("pool_cents"))
+    direct = l.filter(F.col("cost_center").isNotNull()).groupBy("month", "currency", "team").agg(
         F.sum("cents").cast("long").alias("direct_cents"),
         F.sum("usage_quantity").cast("long").alias("usage_units"),
     )
@@ -437,55 +437,55 @@ def alloc_inputs(spark, sf):
 
 
 ALLOC_BASE = """l AS (SELECT *, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, CAST(amount * 100 AS BIGINT) AS cents FROM v_cost_lines),
-pools AS (SELECT month, CAST(sum(cents) AS BIGINT) AS pool_cents FROM l WHERE cost_center IS NULL GROUP BY 1),
-direct AS (SELECT month, team, CAST(sum(cents) AS BIGINT) AS direct_cents, CAST(sum(usage_quantity) AS BIGINT) AS usage_units
-           FROM l WHERE cost_center IS NOT NULL GROUP BY 1, 2)"""
+pools AS (SELECT month, currency, CAST(sum(cents) AS BIGINT) AS pool_cents FROM l WHERE cost_center IS NULL GROUP BY 1, 2),
+direct AS (SELECT month, currency, team, CAST(sum(cents) AS BIGINT) AS direct_cents, CAST(sum(usage_quantity) AS BIGINT) AS usage_units
+           FROM l WHERE cost_center IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
 def alloc_sql(weight_sql: str, extra: str = "") -> str:
     return with_views(["v_cost_lines", "v_payments"], f"""
 WITH {ALLOC_BASE}{extra},
 w AS ({weight_sql}),
-w2 AS (SELECT month, team, CAST(greatest(weight, 0) AS BIGINT) AS weight,
-              sum(CAST(greatest(weight, 0) AS BIGINT)) OVER (PARTITION BY month) AS wsum, count(*) OVER (PARTITION BY month) AS n FROM w),
+w2 AS (SELECT month, currency, team, CAST(greatest(weight, 0) AS BIGINT) AS weight,
+              sum(CAST(greatest(weight, 0) AS BIGINT)) OVER (PARTITION BY month, currency) AS wsum, count(*) OVER (PARTITION BY month, currency) AS n FROM w),
 w3 AS (SELECT *, CASE WHEN wsum > 0 THEN weight ELSE 1 END AS eff, CASE WHEN wsum > 0 THEN wsum ELSE n END AS den FROM w2),
-j AS (SELECT w3.*, p.pool_cents, CAST((CAST(p.pool_cents AS HUGEINT) * eff) // den AS BIGINT) AS share FROM w3 JOIN pools p USING (month)),
-k AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY eff DESC, team) AS rk, sum(share) OVER (PARTITION BY month) AS given FROM j)
-SELECT month, team, weight, CAST(CASE WHEN rk = 1 THEN share + pool_cents - given ELSE share END AS BIGINT) AS allocated_cents FROM k""")
+j AS (SELECT w3.*, p.pool_cents, CAST((CAST(p.pool_cents AS HUGEINT) * eff) // den AS BIGINT) AS share FROM w3 JOIN pools p USING (month, currency)),
+k AS (SELECT *, row_number() OVER (PARTITION BY month, currency ORDER BY eff DESC, team) AS rk, sum(share) OVER (PARTITION BY month, currency) AS given FROM j)
+SELECT month, currency, team, weight, CAST(CASE WHEN rk = 1 THEN share + pool_cents - given ELSE share END AS BIGINT) AS allocated_cents FROM k""")
 
 
 def run_alloc(spark, sf, weight_fn):
     pools, direct = alloc_inputs(spark, sf)
     weights = weight_fn(spark, sf, direct)
-    return allocation.allocate(pools, weights, ["month"], "team")
+    return allocation.allocate(pools, weights, ["month", "currency"], "team")
 
 
-@register("allocate_equal", alloc_sql("SELECT month, team, 1 AS weight FROM direct"))
+@register("allocate_equal", alloc_sql("SELECT month, currency, team, 1 AS weight FROM direct"))
 def q_allocate_equal(spark, sf):
     """B-18 equal: every team with direct cost in the month weighs 1."""
-    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "team", F.lit(1).alias("weight")))
+    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "currency", "team", F.lit(1).alias("weight")))
 
 
-@register("allocate_proportional", alloc_sql("SELECT month, team, direct_cents AS weight FROM direct"))
+@register("allocate_proportional", alloc_sql("SELECT month, currency, team, direct_cents AS weight FROM direct"))
 def q_allocate_proportional(spark, sf):
     """B-18 proportional: weight = the team's direct cost in the month."""
-    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "team", F.col("direct_cents").alias("weight")))
+    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "currency", "team", F.col("direct_cents").alias("weight")))
 
 
 FIXED_CASE = "CASE team " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FIXED_SHARES.items()) + " ELSE 0 END"
 
 
-@register("allocate_fixed", alloc_sql(f"SELECT month, team, {FIXED_CASE} AS weight FROM direct"))
+@register("allocate_fixed", alloc_sql(f"SELECT month, currency, team, {FIXED_CASE} AS weight FROM direct"))
 def q_allocate_fixed(spark, sf):
     """B-18 fixed: fixed percentages per team (40/30/15/10/5)."""
     m = F.create_map(*[x for k, v in FIXED_SHARES.items() for x in (F.lit(k), F.lit(v))])
-    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "team", F.coalesce(m[F.col("team")], F.lit(0)).alias("weight")))
+    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "currency", "team", F.coalesce(m[F.col("team")], F.lit(0)).alias("weight")))
 
 
-@register("allocate_usage", alloc_sql("SELECT month, team, usage_units AS weight FROM direct"))
+@register("allocate_usage", alloc_sql("SELECT month, currency, team, usage_units AS weight FROM direct"))
 def q_allocate_usage(spark, sf):
     """B-18 usage: weight = units used by the team's resources in the month."""
-    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "team", F.col("usage_units").alias("weight")))
+    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "currency", "team", F.col("usage_units").alias("weight")))
 
 
 REV_SQL = """,
@@ -494,7 +494,7 @@ rev AS (SELECT CAST(date_trunc('month', occurred_at) AS TIMESTAMP) AS month, 'te
 
 
 @register("allocate_revenue", alloc_sql(
-    "SELECT d.month, d.team, coalesce(r.revenue_cents, 0) AS weight FROM direct d LEFT JOIN rev r USING (month, team)", REV_SQL))
+    "SELECT d.month, d.currency, d.team, coalesce(r.revenue_cents, 0) AS weight FROM direct d LEFT JOIN rev r USING (month, team)", REV_SQL))
 def q_allocate_revenue(spark, sf):
     """B-18 revenue: weight = paid invoices of the team's accounts (account % 5) in the
     month; a month without revenue is split equally."""
@@ -504,7 +504,7 @@ def q_allocate_revenue(spark, sf):
             F.concat(F.lit("team-"), (F.col("account_id") % 5).cast("string")).alias("team"),
         ).agg((F.sum(F.col("amount") * 100)).cast("long").alias("revenue_cents"))
         j = d.join(rev, ["month", "team"], "left")
-        return j.select("month", "team", F.coalesce(F.col("revenue_cents"), F.lit(0)).alias("weight"))
+        return j.select("month", "currency", "team", F.coalesce(F.col("revenue_cents"), F.lit(0)).alias("weight"))
 
     return run_alloc(spark, sf, weights)
 
