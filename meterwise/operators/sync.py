@@ -40,7 +40,7 @@ def source_windows(sync_state: DataFrame, registry: DataFrame, as_of: str) -> Da
 def identity_mismatch(snapshots: DataFrame, registry: DataFrame) -> DataFrame:
     """A-P3 + A-J5: snapshots of enabled sources with a ``mismatch`` message (null when the
     node id / env match what the source expects; blank expectations match anything)."""
-    reg = F.broadcast(enabled_sources(registry).select("source_id", "expected_node_id", "expected_env"))
+    reg = enabled_sources(registry).select("source_id", "expected_node_id", "expected_env")
     j = snapshots.join(reg, on="source_id", how="inner")
     node, env = go_trim(F.col("node_id")), go_trim(F.col("env"))
     exp_node, exp_env = F.coalesce(F.col("expected_node_id"), F.lit("")), F.coalesce(F.col("expected_env"), F.lit(""))
@@ -78,7 +78,7 @@ def accepted_snapshots(snapshots: DataFrame, registry: DataFrame) -> DataFrame:
     """Snapshots of enabled sources whose run had no identity mismatch."""
     failed = source_identity(snapshots, registry).filter(F.col("status") == "error").select("source_id")
     reg = enabled_sources(registry).select("source_id").join(failed, on="source_id", how="left_anti")
-    return snapshots.join(F.broadcast(reg), on="source_id", how="left_semi")
+    return snapshots.join(reg, on="source_id", how="left_semi")
 
 
 def advance_watermarks(windows: DataFrame, snapshots: DataFrame, registry: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def advance_watermarks(windows: DataFrame, snapshots: DataFrame, registry: DataF
         ),
         registry,
     )
-    in_window = snapshots.join(F.broadcast(windows.select("source_id", "since", "until")), on="source_id").filter(
+    in_window = snapshots.join(windows.select("source_id", "since", "until"), on="source_id").filter(
         F.col("collected_at").between(F.col("since"), F.col("until"))
     )
     last = in_window.groupBy("source_id").agg(F.max("collected_at").alias("last_processed"))

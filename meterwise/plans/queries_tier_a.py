@@ -403,8 +403,7 @@ WHERE s.collected_at BETWEEN w.since AND w.until"""))
 def q_window_scan(spark, sf):
     w = sync.source_windows(sync_state(spark, sf), fx.registry(spark), WINDOW_AS_OF)
     s = sourced(spark, sf)
-    # the window list has one row per configured source: a bounded broadcast side
-    j = s.join(F.broadcast(w.select("source_id", "since", "until")), on="source_id")
+    j = s.join(w.select("source_id", "since", "until"), on="source_id")
     return j.filter(F.col("collected_at").between(F.col("since"), F.col("until"))).select("event_id", "source_id", "collected_at")
 
 
