@@ -1,7 +1,7 @@
 """Pull sources: window, identity check, high-water mark (A-T1..A-T3, A-P3, A-P4, A-J5).
 
 The registry is the configured list of exporter sources -- a bounded config list,
-so it is the one side broadcast without a size check.  Snapshots are grouped per
+whose side of a join the planner may broadcast by its size.  Snapshots are grouped per
 source with partial aggregates (a source may carry a third of all rows), never with
 a window partitioned by source.
 """
