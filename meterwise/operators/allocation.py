@@ -11,22 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Allocation methods of the cost model.
-METHODS = ("equal", "proportional", "fixed", "usage", "revenue", "custom")
 
-
-def allocate(pools: DataFrame, weights: DataFrame, pool_keys: list[str], target: str) -> DataFrame:
+def allocate(pools: DataFrame | None, weights: DataFrame, pool_keys: list[str], target: str) -> DataFrame:
     """``pools``: ``pool_keys + pool_cents``; ``weights``: ``pool_keys + target + weight``
-    (non-negative integers).  A pool whose weights sum to 0 is split equally.
+    (non-negative integers).  A pool whose weights sum to 0 is split equally.  With ``pools=None`` the
+    weights carry their pool's ``pool_cents`` (null: there is none), which saves a second read of the costs.
 
     Returns ``pool_keys, target, weight, allocated_cents``.
     """
     per_pool = Window.partitionBy(*pool_keys)
-    w = weights.select(*pool_keys, target, F.greatest(F.col("weight"), F.lit(0)).cast("long").alias("weight"))
+    carried = ["pool_cents"] if pools is None else []
+    w = weights.select(*pool_keys, target, *carried, F.greatest(F.col("weight"), F.lit(0)).cast("long").alias("weight"))
     w = w.withColumn("__wsum", F.sum("weight").over(per_pool)).withColumn("__n", F.count("*").over(per_pool))
     w = w.withColumn("__eff", F.when(F.col("__wsum") > 0, F.col("weight")).otherwise(F.lit(1)).cast("long"))
     w = w.withColumn("__den", F.when(F.col("__wsum") > 0, F.col("__wsum")).otherwise(F.col("__n")).cast("long"))
-    j = w.join(pools.select(*pool_keys, "pool_cents"), pool_keys, "inner")
+    if pools is None:
+        j = w.filter(F.col("pool_cents").isNotNull())
+    else:
+        j = w.join(pools.select(*pool_keys, "pool_cents"), pool_keys, "inner")
     share = F.expr(
         "CAST((CAST(pool_cents AS DECIMAL(38,0)) * CAST(__eff AS DECIMAL(38,0))) div CAST(__den AS DECIMAL(38,0)) AS BIGINT)"
     )

@@ -1,8 +1,8 @@
 """Vendor cost import (A-C1..A-C5): per-provider normalisers into one fact table.
 
 Input: flattened daily cost lines ``provider, account_id, service_name, region,
-usage_start_time, amount, currency, kind`` (``kind`` tells Azure's legacy and modern
-row shapes apart; both carry their amount and meter category in those columns).
+usage_start_time, amount, currency``; ``flatten_gcp`` and ``flatten_azure`` make them of the
+vendors' nested rows.
 
 Output (common schema): ``provider, account_id, service_name, region,
 usage_start_time, usage_end_time, cost_amount DECIMAL(38,2), currency``, one row per
@@ -34,71 +34,93 @@ COST_COLS = ("provider", "account_id", "service_name", "region", "usage_start_ti
 MONEY = "decimal(38,2)"
 
 
-def t_minus_2(lines: DataFrame, as_of: str | None, end_col: Column | None = None) -> DataFrame:
-    """A-P13: keep the T-2 day (half-open) or everything when ``as_of`` is None."""
-    if as_of is None:
-        return lines
+def t_minus_2_bounds(as_of: str) -> tuple[Column, Column]:
+    """A-P13: the half-open T-2 day of ``as_of``."""
     midnight = F.date_trunc("day", F.lit(as_of).cast("timestamp_ntz")).cast("timestamp_ntz")
-    start = F.date_sub(midnight, 2).cast("timestamp_ntz")
-    end = F.date_sub(midnight, 1).cast("timestamp_ntz")
-    if end_col is None:
-        return lines.filter((F.col("usage_start_time") >= start) & (F.col("usage_start_time") < end))
-    return lines.filter((F.col("usage_start_time") >= start) & (end_col <= end))
+    return F.date_sub(midnight, 2).cast("timestamp_ntz"), F.date_sub(midnight, 1).cast("timestamp_ntz")
 
 
-def _finish(g: DataFrame, provider: str) -> DataFrame:
+def unified_costs(lines: DataFrame, as_of: str | None = None, azure_force_usd: bool = False) -> DataFrame:
+    """A-C1..A-C4: every provider in one frame, by one read and one hash aggregate.
+
+    The provider is part of the key and its rules are conditions on the row, so the
+    fact is read once whatever the number of feeds; a missing feed is an empty slice.
+    """
+    provider = F.col("provider")
+    azure = provider == "azure"
+    usage_end = (F.col("usage_start_time") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz")
+    x = lines.filter(provider.isin("aws", "gcp", "azure"))
+    if as_of is not None:
+        start, end = t_minus_2_bounds(as_of)
+        x = x.filter((F.col("usage_start_time") >= start) & (F.col("usage_start_time") < end))
+        x = x.filter(~azure | (usage_end <= end))
+    # sub-cent lines count: the sum is taken at full precision and only its result is rounded
+    amount = F.when(provider == "aws", F.col("amount").try_cast("decimal(38,12)")).otherwise(
+        F.col("amount").cast("decimal(38,12)")
+    )
+    x = x.filter(~azure | (F.col("amount").isNotNull() & (F.col("amount") != 0)))
+    service = F.when(azure, F.coalesce("service_name", F.lit("Unknown"))).otherwise(F.col("service_name"))
+    region = (
+        F.when(azure, F.coalesce("region", F.lit("Unknown")))
+        .when((provider == "gcp") & (F.coalesce("region", F.lit("")) == ""), F.lit("global"))
+        .otherwise(F.col("region"))
+    )
+    currency = F.when(azure, F.lit("USD")).otherwise(F.col("currency")) if azure_force_usd else F.col("currency")
+    g = x.groupBy(
+        "provider", "account_id", service.alias("service_name"), region.alias("region"),
+        day_start(F.col("usage_start_time")).alias("usage_start_time"), currency.alias("currency"),
+    ).agg(F.sum(amount).alias("cost_amount"))
+    g = g.filter(azure | (F.col("cost_amount") != 0))
     return g.select(
-        F.lit(provider).alias("provider"),
-        "account_id",
-        "service_name",
-        "region",
-        F.col("day").alias("usage_start_time"),
-        (F.col("day") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz").alias("usage_end_time"),
-        F.col("cost_amount").cast(MONEY).alias("cost_amount"),
-        "currency",
+        "provider", "account_id", "service_name", "region", "usage_start_time",
+        usage_end.alias("usage_end_time"), F.col("cost_amount").cast(MONEY).alias("cost_amount"), "currency",
     )
 
 
 def normalize_aws(lines: DataFrame, as_of: str | None = None) -> DataFrame:
-    x = t_minus_2(lines.filter(F.col("provider") == "aws"), as_of)
-    # sub-cent lines count: the sum is taken at full precision and only its result is rounded
-    amount = F.col("amount").try_cast("decimal(38,12)")
-    g = x.groupBy(
-        day_start(F.col("usage_start_time")).alias("day"), "service_name", "region", "account_id", "currency"
-    ).agg(F.sum(amount).alias("cost_amount"))
-    g = g.filter(F.col("cost_amount").isNotNull() & (F.col("cost_amount") != 0))
-    return _finish(g, "aws")
+    return unified_costs(lines.filter(F.col("provider") == "aws"), as_of)
 
 
 def normalize_gcp(lines: DataFrame, as_of: str | None = None) -> DataFrame:
-    x = t_minus_2(lines.filter(F.col("provider") == "gcp"), as_of)
-    region = F.when(F.coalesce(F.col("region"), F.lit("")) == "", F.lit("global")).otherwise(F.col("region"))
-    g = x.groupBy(
-        day_start(F.col("usage_start_time")).alias("day"), "service_name", region.alias("region"), "account_id", "currency"
-    ).agg(F.sum("amount").alias("cost_amount"))
-    g = g.filter(F.col("cost_amount") != 0)
-    return _finish(g, "gcp")
+    return unified_costs(lines.filter(F.col("provider") == "gcp"), as_of)
 
 
 def normalize_azure(lines: DataFrame, as_of: str | None = None, azure_force_usd: bool = False) -> DataFrame:
-    usage_end = (F.col("usage_start_time") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz")
-    x = t_minus_2(lines.filter(F.col("provider") == "azure"), as_of, end_col=usage_end)
-    # legacy rows: Cost + MeterDetails.MeterCategory; modern rows: CostInBillingCurrency +
-    # MeterCategory -- the flattened feed carries both in amount / service_name.
-    x = x.filter(F.col("amount").isNotNull() & (F.col("amount") != 0))
-    service = F.coalesce(F.col("service_name"), F.lit("Unknown"))
-    region = F.coalesce(F.col("region"), F.lit("Unknown"))
-    currency = F.lit("USD") if azure_force_usd else F.col("currency")
-    g = x.groupBy(
-        day_start(F.col("usage_start_time")).alias("day"), service.alias("service_name"), region.alias("region"),
-        "account_id", currency.alias("currency"),
-    ).agg(F.sum("amount").alias("cost_amount"))
-    return _finish(g, "azure")
+    return unified_costs(lines.filter(F.col("provider") == "azure"), as_of, azure_force_usd)
+
+
+def flatten_gcp(export: DataFrame) -> DataFrame:
+    """A-A3 input: billing-export rows with nested ``service.description`` and ``location.region``."""
+    return export.select(
+        F.lit("gcp").alias("provider"),
+        F.col("billing_account_id").alias("account_id"),
+        F.col("service.description").alias("service_name"),
+        F.col("location.region").alias("region"),
+        "usage_start_time",
+        F.col("cost").alias("amount"),
+        "currency",
+    )
 
 
-def unified_costs(lines: DataFrame, as_of: str | None = None) -> DataFrame:
-    """A-C4: all providers in one frame (a missing feed is just an empty slice)."""
-    return normalize_aws(lines, as_of).unionByName(normalize_gcp(lines, as_of)).unionByName(normalize_azure(lines, as_of))
+def flatten_azure(usage: DataFrame) -> DataFrame:
+    """A-A4 input: usage details of both kinds.  A legacy row holds its amount in
+    ``properties.cost`` and its category in ``properties.meterDetails.meterCategory``, a modern
+    one in ``properties.costInBillingCurrency`` and ``properties.meterCategory``.  A row of
+    another kind has a null amount, which the normaliser drops as it does a missing cost."""
+    legacy, modern = F.col("kind") == "legacy", F.col("kind") == "modern"
+
+    def either(old: str, new: str) -> Column:
+        return F.when(legacy, F.col(f"properties.{old}")).when(modern, F.col(f"properties.{new}"))
+
+    return usage.select(
+        F.lit("azure").alias("provider"),
+        F.col("subscription_id").alias("account_id"),
+        either("meterDetails.meterCategory", "meterCategory").alias("service_name"),
+        F.col("properties.resourceLocation").alias("region"),
+        "usage_start_time",
+        either("cost", "costInBillingCurrency").alias("amount"),
+        either("billingCurrency", "billingCurrencyCode").alias("currency"),
+    )
 
 
 def cost_id(df_cols: list[str] | None = None) -> Column:

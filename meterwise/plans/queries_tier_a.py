@@ -531,6 +531,57 @@ def q_cost_azure(spark, sf):
     return costs.normalize_azure(fx.cost_lines(spark, sf), COST_AS_OF).select(*cols(COSTS))
 
 
+# The vendors' own row shapes, built from the cost lines: nested BigQuery export rows, and Azure usage
+# details whose amount and category sit in other fields for legacy and modern rows (and in neither for a
+# third kind, which carries no cost).
+AZURE_KIND = "CASE WHEN resource_id % 13 = 0 THEN 'other' ELSE kind END"
+AZURE_SHAPES_SQL = cost_sql("azure", None).replace("amount IS NOT NULL", f"{AZURE_KIND} <> 'other' AND amount IS NOT NULL")
+
+
+def azure_usage(spark, sf):
+    """Usage details: the fields of the other kind are filled with values that must not be read."""
+    l = fx.cost_lines(spark, sf).filter(F.col("provider") == "azure").withColumn("kind", F.expr(AZURE_KIND))
+    legacy, modern = F.col("kind") == "legacy", F.col("kind") == "modern"
+    wrong = F.lit(-1).cast("decimal(18,2)")
+    return l.select(
+        "kind", F.col("account_id").alias("subscription_id"), "usage_start_time",
+        F.struct(
+            F.when(legacy, F.col("amount")).otherwise(wrong).alias("cost"),
+            F.when(modern, F.col("amount")).otherwise(wrong).alias("costInBillingCurrency"),
+            F.when(legacy, F.struct(F.col("service_name").alias("meterCategory"))).alias("meterDetails"),
+            F.when(modern, F.col("service_name")).otherwise(F.lit("wrong")).alias("meterCategory"),
+            F.when(legacy, F.col("currency")).alias("billingCurrency"),
+            F.when(modern, F.col("currency")).alias("billingCurrencyCode"),
+            F.col("region").alias("resourceLocation"),
+        ).alias("properties"),
+    )
+
+
+@register("cost_azure_shapes", with_views(["v_cost_lines"], AZURE_SHAPES_SQL))
+def q_cost_azure_shapes(spark, sf):
+    """A-A4: legacy and modern usage details give the same rows as the flat feed; other kinds cost nothing."""
+    return costs.normalize_azure(costs.flatten_azure(azure_usage(spark, sf))).select(*cols(COSTS))
+
+
+@register("cost_azure_usd", with_views(["v_cost_lines"], AZURE_SHAPES_SQL.replace(
+    "AS cost_amount, currency", "AS cost_amount, 'USD' AS currency").replace("GROUP BY 2, 3, 4, 5, 6, 8", "GROUP BY 2, 3, 4, 5, 6")))
+def q_cost_azure_usd(spark, sf):
+    """A-A4 with the importer's literal currency: every row is labelled USD, whatever it was billed in."""
+    return costs.normalize_azure(costs.flatten_azure(azure_usage(spark, sf)), azure_force_usd=True).select(*cols(COSTS))
+
+
+@register("cost_gcp_nested", with_views(["v_cost_lines"], cost_sql("gcp", None)))
+def q_cost_gcp_nested(spark, sf):
+    """A-A3: billing-export rows with nested service and location."""
+    l = fx.cost_lines(spark, sf).filter(F.col("provider") == "gcp")
+    export = l.select(
+        F.col("account_id").alias("billing_account_id"), "usage_start_time", "currency", F.col("amount").alias("cost"),
+        F.struct(F.col("service_name").alias("description")).alias("service"),
+        F.struct("region").alias("location"),
+    )
+    return costs.normalize_gcp(costs.flatten_gcp(export)).select(*cols(COSTS))
+
+
 UNIFIED_SQL = " UNION ALL ".join(f"({cost_sql(p, None)})" for p in ("aws", "gcp", "azure"))
 
 

@@ -428,12 +428,15 @@ SHARED = "cost_center IS NULL"
 def alloc_inputs(spark, sf):
     l = fx.cost_lines(spark, sf).withColumn("month", F.date_trunc("month", "usage_start_time").cast("timestamp_ntz"))
     l = l.withColumn("cents", (F.col("amount") * 100).cast("long"))
-    pools = l.filter(F.col("cost_center").isNull()).groupBy("month", "currency").agg(F.sum("cents").cast("long").alias("pool_cents"))
-    direct = l.filter(F.col("cost_center").isNotNull()).groupBy("month", "currency", "team").agg(
-        F.sum("cents").cast("long").alias("direct_cents"),
-        F.sum("usage_quantity").cast("long").alias("usage_units"),
+    # one aggregate over the lines; the pool of a month is a window over its few rows
+    shared = F.col("cost_center").isNull()
+    g = l.groupBy("month", "currency", "team").agg(
+        F.sum(F.when(shared, F.col("cents"))).cast("long").alias("shared_cents"),
+        F.sum(F.when(~shared, F.col("cents"))).cast("long").alias("direct_cents"),
+        F.sum(F.when(~shared, F.col("usage_quantity"))).cast("long").alias("usage_units"),
     )
-    return pools, direct
+    pool = F.sum("shared_cents").over(Window.partitionBy("month", "currency")).cast("long")
+    return g.withColumn("pool_cents", pool).filter(F.col("direct_cents").isNotNull()).drop("shared_cents")
 
 
 ALLOC_BASE = """l AS (SELECT *, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, CAST(amount * 100 AS BIGINT) AS cents FROM v_cost_lines),
@@ -455,21 +458,20 @@ SELECT month, currency, team, weight, CAST(CASE WHEN rk = 1 THEN share + pool_ce
 
 
 def run_alloc(spark, sf, weight_fn):
-    pools, direct = alloc_inputs(spark, sf)
-    weights = weight_fn(spark, sf, direct)
-    return allocation.allocate(pools, weights, ["month", "currency"], "team")
+    weights = weight_fn(spark, sf, alloc_inputs(spark, sf))
+    return allocation.allocate(None, weights, ["month", "currency"], "team")
 
 
 @register("allocate_equal", alloc_sql("SELECT month, currency, team, 1 AS weight FROM direct"))
 def q_allocate_equal(spark, sf):
     """B-18 equal: every team with direct cost in the month weighs 1."""
-    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "currency", "team", F.lit(1).alias("weight")))
+    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "currency", "team", "pool_cents", F.lit(1).alias("weight")))
 
 
 @register("allocate_proportional", alloc_sql("SELECT month, currency, team, direct_cents AS weight FROM direct"))
 def q_allocate_proportional(spark, sf):
     """B-18 proportional: weight = the team's direct cost in the month."""
-    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "currency", "team", F.col("direct_cents").alias("weight")))
+    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "currency", "team", "pool_cents", F.col("direct_cents").alias("weight")))
 
 
 FIXED_CASE = "CASE team " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FIXED_SHARES.items()) + " ELSE 0 END"
@@ -479,13 +481,13 @@ FIXED_CASE = "CASE team " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FIXED_SH
 def q_allocate_fixed(spark, sf):
     """B-18 fixed: fixed percentages per team (40/30/15/10/5)."""
     m = F.create_map(*[x for k, v in FIXED_SHARES.items() for x in (F.lit(k), F.lit(v))])
-    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "currency", "team", F.coalesce(m[F.col("team")], F.lit(0)).alias("weight")))
+    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "currency", "team", "pool_cents", F.coalesce(m[F.col("team")], F.lit(0)).alias("weight")))
 
 
 @register("allocate_usage", alloc_sql("SELECT month, currency, team, usage_units AS weight FROM direct"))
 def q_allocate_usage(spark, sf):
     """B-18 usage: weight = units used by the team's resources in the month."""
-    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "currency", "team", F.col("usage_units").alias("weight")))
+    return run_alloc(spark, sf, lambda s, f, d: d.select("month", "currency", "team", "pool_cents", F.col("usage_units").alias("weight")))
 
 
 REV_SQL = """,
@@ -504,7 +506,7 @@ def q_allocate_revenue(spark, sf):
             F.concat(F.lit("team-"), (F.col("account_id") % 5).cast("string")).alias("team"),
         ).agg((F.sum(F.col("amount") * 100)).cast("long").alias("revenue_cents"))
         j = d.join(rev, ["month", "team"], "left")
-        return j.select("month", "currency", "team", F.coalesce(F.col("revenue_cents"), F.lit(0)).alias("weight"))
+        return j.select("month", "currency", "team", "pool_cents", F.coalesce(F.col("revenue_cents"), F.lit(0)).alias("weight"))
 
     return run_alloc(spark, sf, weights)
 
