@@ -12,8 +12,9 @@ prefix sum, written with Spark's own operators:
 3. join the carry back on ``(key, chunk)`` and finish with a window per
    ``(key, chunk)``.
 
-Steps 1 and 3 are partitioned by ``(key, chunk)``, so a hot key spreads over as many
-tasks as it has chunks; the join and the final window share one partitioning.
+The input is written to the shared folder first, as steps 1 and 3 both read it.  Only step 3
+shuffles the rows, by ``(key, chunk)``, so a hot key spreads over as many tasks as it has
+chunks; the join and the final window share that partitioning.
 ``chunk`` must be monotone in the leading ``order`` column (the day of the time the
 rows are ordered by).  With ``chunk=None`` plain windows over the key are used.
 A row with a null key or chunk keeps its place in the result, but carries nothing over from other chunks.
@@ -26,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterwise.session import materialize
+
 _UNB = Window.unboundedPreceding
 _UNF = Window.unboundedFollowing
 
@@ -75,9 +78,9 @@ def chunked_window(
         return tmp.select(*base_cols, *out)
 
     part = [*keys, "__chunk"]
-    # Explicit: an input already hash-partitioned by the key alone would satisfy the
-    # (key, chunk) windows below and silently keep a hot key in one task.
-    tmp = tmp.withColumn("__chunk", chunk).repartition(*part)
+    # Two branches read the rows: the summaries, combined before their shuffle, and the finishing windows.
+    # Written once, the input is computed once, whatever columns either branch needs.
+    tmp = materialize(tmp.withColumn("__chunk", chunk))
     summaries = []
     if lags:
         summaries.append(F.max_by(F.struct(*lags), F.struct(*order_cols)).alias("__last"))
@@ -93,7 +96,10 @@ def chunked_window(
         carry_cols.append(_agg(kind)(f"__t_{n}").over(wf).alias(f"__o_{n}"))
     carry = totals.select(*part, *carry_cols)
 
-    joined = tmp.join(carry, on=part, how="left")  # left: a row with a null key or time has no carry, but stays
+    # Explicit: an input already hash-partitioned by the key alone would satisfy the (key, chunk) windows
+    # below and silently keep a hot key in one task.
+    rows = tmp.repartition(*part)
+    joined = rows.join(carry, on=part, how="left")  # left: a row with a null key or time has no carry, but stays
     w = Window.partitionBy(*part).orderBy(*order_cols)
     out = []
     if lags:

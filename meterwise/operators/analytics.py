@@ -170,3 +170,19 @@ def budget_crossings(daily: DataFrame, budgets: DataFrame, dims: Sequence[str],
     x = d.select(*dims, "month", "day", "mtd", "budget", th)
     hit = x.filter(F.col("mtd") >= F.col("budget") * F.col("threshold"))
     return hit.groupBy(*dims, "month", "threshold").agg(F.min("day").alias("crossed_on"))
+
+
+def streaks(series: DataFrame, key: Sequence[str], factor: float, min_days: int) -> DataFrame:
+    """B-28: runs of at least ``min_days`` consecutive days over ``factor`` times the key's mean day.
+
+    ``series``: ``key + day, cost`` without missing days, so a key holds one row a day.
+    """
+    per_key = Window.partitionBy(*key)
+    mean = F.sum(F.col("cost").cast("double")).over(per_key) / F.count("*").over(per_key)
+    high = series.withColumn("__mean", mean).filter(F.col("cost").cast("double") > F.col("__mean") * F.lit(factor))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("day"))
+    runs = high.withColumn("__run", F.date_sub(F.to_date("day"), nth)).groupBy(*key, "__run").agg(
+        F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"),
+        F.sum("cost").cast(MONEY).alias("cost"),
+    )
+    return runs.filter(F.col("days") >= min_days).drop("__run")

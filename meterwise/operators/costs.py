@@ -58,7 +58,7 @@ def unified_costs(lines: DataFrame, as_of: str | None = None, azure_force_usd: b
     amount = F.when(provider == "aws", F.col("amount").try_cast("decimal(38,12)")).otherwise(
         F.col("amount").cast("decimal(38,12)")
     )
-    x = x.filter(~azure | (F.col("amount").isNotNull() & (F.col("amount") != 0)))
+    x = x.withColumn("amount", amount).filter(~azure | (F.col("amount").isNotNull() & (F.col("amount") != 0)))
     service = F.when(azure, F.coalesce("service_name", F.lit("Unknown"))).otherwise(F.col("service_name"))
     region = (
         F.when(azure, F.coalesce("region", F.lit("Unknown")))
@@ -69,7 +69,7 @@ def unified_costs(lines: DataFrame, as_of: str | None = None, azure_force_usd: b
     g = x.groupBy(
         "provider", "account_id", service.alias("service_name"), region.alias("region"),
         day_start(F.col("usage_start_time")).alias("usage_start_time"), currency.alias("currency"),
-    ).agg(F.sum(amount).alias("cost_amount"))
+    ).agg(F.sum("amount").alias("cost_amount"))
     g = g.filter(azure | (F.col("cost_amount") != 0))
     return g.select(
         "provider", "account_id", "service_name", "region", "usage_start_time",

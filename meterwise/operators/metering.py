@@ -36,7 +36,6 @@ from meterwise.functions.ids import canonical_uuid
 from meterwise.functions.prefix import chunked_window
 from meterwise.functions.text import go_trim, storage_node_id
 from meterwise.functions.time import minute_start
-from meterwise.session import materialize
 
 DELTA_KEYS = ("storage_node_id", "account_uuid")
 
@@ -162,8 +161,6 @@ def counter_deltas(
     reset = (F.col("raw_up") < 0) | (F.col("raw_down") < 0)
     valid = (F.col("is_seed") == 0) & ~F.col("is_late") & ~F.col("is_duplicate")
     step1 = step1.withColumn("is_reset", valid & reset)
-    if chunk is not None:
-        step1 = materialize(step1)
     contrib = F.when(F.col("is_seed") == 1, F.col("seed_epoch")).when(F.col("is_reset"), F.lit(1)).otherwise(F.lit(0))
     step2 = chunked_window(
         step1, keys, order, chunk, runs={"reset_epoch": (contrib.cast("long"), "sum", "incl")}

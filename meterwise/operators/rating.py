@@ -37,7 +37,6 @@ from meterwise.functions.prefix import chunked_window
 from meterwise.functions.time import rfc3339_seconds
 from meterwise.operators.metering import chunk_of
 from meterwise.operators.pricing import attach_pricing
-from meterwise.session import materialize
 
 RATE_ORDER = ("bucket_start", "node_id", "region", "line_code")
 BUCKET_KEY = ("bucket_start", "node_id", "account_uuid", "region", "line_code")
@@ -114,14 +113,7 @@ def rate_buckets(
     a = a.withColumn("balance_after", F.col("seed_balance") + (-charged_through) * F.col("price_per_byte") * F.col("multiplier") + F.lit(0.0))
 
     neg = F.col("balance_after") < 0
-    is_first = F.col("rows_before") == 0
-    start_at = F.when(is_first, F.coalesce(F.col("seed_arrears_since"), F.col("last_collected_at"))).otherwise(
-        F.col("last_collected_at")
-    )
-    marker = F.when(neg & (is_first | (F.col("balance_before") >= 0)), F.struct(*order, start_at.alias("at")))
-    if chunk is not None:
-        a = materialize(a)
-    c = chunked_window(a, keys, order, chunk, runs={"arrears_run": (marker, "max", "incl")})
+    c = arrears_runs(a, order, chunk)
 
     return c.select(
         *BUCKET_KEY,
@@ -150,6 +142,53 @@ def rate_buckets(
     )
 
 
+def arrears_runs(a: DataFrame, order: list[str], chunk) -> DataFrame:
+    """A-W6: ``arrears_run.at``, the start of the latest negative run of ``balance_after`` up to a row.
+
+    A run starts where the balance before was not negative, or at the account's first row,
+    which goes on from the stored ``arrears_since``.
+    """
+    is_first = F.col("rows_before") == 0
+    start_at = F.when(is_first, F.coalesce(F.col("seed_arrears_since"), F.col("last_collected_at"))).otherwise(
+        F.col("last_collected_at")
+    )
+    starts = (F.col("balance_after") < 0) & (is_first | (F.col("balance_before") >= 0))
+    marker = F.when(starts, F.struct(*order, start_at.alias("at")))
+    return chunked_window(a, ["account_uuid"], order, chunk, runs={"arrears_run": (marker, "max", "incl")})
+
+
+ENTRY_ORDER = ("entry_at", "entry_rank", "id")
+
+
+def run_balances(entries: DataFrame, quota_states: DataFrame | None, cfg: RatingConfig = RatingConfig()) -> DataFrame:
+    """A-W5 + A-W6 over ledger entries of any type: charges, credits, refunds.
+
+    ``entries``: ``id, account_uuid, entry_at, entry_rank, entry_type, amount_delta, last_collected_at``;
+    an account's entries count in the order of (entry_at, entry_rank, id).  The balance is the stored one (or
+    the initial one) plus the running sum of the amounts, so a credit can end an arrears episode and
+    a later charge can start the next.
+    """
+    seeded = seed_quota(entries.withColumn("included_quota_bytes", F.lit(0).cast("long")), quota_states, cfg)
+    order, chunk = list(ENTRY_ORDER), chunk_of(F.col("entry_at"), cfg.chunk)
+    a = chunked_window(
+        seeded, ["account_uuid"], order, chunk,
+        runs={
+            "sum_before": (F.col("amount_delta"), "sum", "excl"),
+            "rows_before": (F.lit(1).cast("long"), "sum", "excl"),
+        },
+    )
+    a = a.withColumn("balance_before", F.col("seed_balance") + F.col("sum_before"))
+    a = a.withColumn("balance_after", F.col("balance_before") + F.col("amount_delta"))
+    neg = F.col("balance_after") < 0
+    return arrears_runs(a, order, chunk).select(
+        *entries.columns,
+        "balance_after",
+        neg.alias("arrears"),
+        F.when(neg, F.col("arrears_run.at")).alias("arrears_since"),
+        F.when(neg, F.lit(THROTTLE_THROTTLED)).otherwise(F.lit(THROTTLE_NORMAL)).alias("throttle_state"),
+    )
+
+
 def ledger_rows(rated: DataFrame) -> DataFrame:
     """A-S9 row shape of the ledger."""
     return rated.select(

@@ -55,6 +55,11 @@ def identity_mismatch(snapshots: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def source_identity(snapshots: DataFrame, registry: DataFrame) -> DataFrame:
+    """Per enabled source: ``snapshots, mismatches, status, error``."""
+    return _per_source(snapshots, registry).drop("last_processed")
+
+
+def _per_source(snapshots: DataFrame, registry: DataFrame) -> DataFrame:
     """Per enabled source: snapshot count, mismatches and the first error (D9: a source
     with any mismatch is rejected as a whole)."""
     flagged = identity_mismatch(snapshots, registry)
@@ -62,6 +67,7 @@ def source_identity(snapshots: DataFrame, registry: DataFrame) -> DataFrame:
         F.count("*").alias("snapshots"),
         F.count("mismatch").alias("mismatches"),
         F.min_by("mismatch", F.when(F.col("mismatch").isNotNull(), F.struct("collected_at", "mismatch"))).alias("error"),
+        F.max("collected_at").alias("last_processed"),
     )
     reg = enabled_sources(registry).select("source_id")
     out = reg.join(per, on="source_id", how="left")
@@ -71,6 +77,7 @@ def source_identity(snapshots: DataFrame, registry: DataFrame) -> DataFrame:
         F.coalesce(F.col("mismatches"), F.lit(0)).cast("long").alias("mismatches"),
         F.when(F.col("mismatches") > 0, F.lit("error")).otherwise(F.lit("ok")).alias("status"),
         "error",
+        "last_processed",
     )
 
 
@@ -88,17 +95,11 @@ def advance_watermarks(windows: DataFrame, snapshots: DataFrame, registry: DataF
     ``until`` when nothing was processed, or for a no-op window); failed sources keep
     their previous mark and record the error.  The mark never moves back (D5).
     """
-    ident = source_identity(
-        snapshots.join(windows.select("source_id", "since", "until"), on="source_id", how="inner").filter(
-            F.col("collected_at").between(F.col("since"), F.col("until"))
-        ),
-        registry,
-    )
-    in_window = snapshots.join(windows.select("source_id", "since", "until"), on="source_id").filter(
+    in_window = snapshots.join(windows.select("source_id", "since", "until"), on="source_id", how="inner").filter(
         F.col("collected_at").between(F.col("since"), F.col("until"))
     )
-    last = in_window.groupBy("source_id").agg(F.max("collected_at").alias("last_processed"))
-    j = windows.join(last, on="source_id", how="left").join(ident.select("source_id", "status", "error"), on="source_id", how="left")
+    per = _per_source(in_window, registry).select("source_id", "status", "error", "last_processed")
+    j = windows.join(per, on="source_id", how="left")
     failed = F.col("status") == "error"
     moved = F.when(F.col("noop"), F.col("until")).otherwise(F.least(F.col("until"), F.coalesce(F.col("last_processed"), F.col("until"))))
     new_mark = F.when(failed, F.col("previous_until")).otherwise(F.greatest(F.col("previous_until"), moved))
@@ -108,3 +109,26 @@ def advance_watermarks(windows: DataFrame, snapshots: DataFrame, registry: DataF
         F.when(failed, F.col("error")).otherwise(F.lit("")).alias("last_error"),
         F.coalesce(failed, F.lit(False)).alias("failed"),
     )
+
+
+def sync_state_rows(state: DataFrame, marks: DataFrame, attempted_at: str) -> DataFrame:
+    """A-S16: the whole stored row of every source after a run, as the keyed overwrite leaves it.
+
+    ``state``: the stored rows; ``marks``: what ``advance_watermarks`` returned.  An attempted source gets the
+    time of the attempt, its mark and its error; the time of the last success moves only without an error.
+    A source that was not attempted keeps its row.
+    """
+    now = F.lit(attempted_at).cast("timestamp_ntz")
+    stored = state.select(
+        "source_id", *[F.col(c).alias(f"o_{c}") for c in ("last_completed_until", "last_attempted_at", "last_succeeded_at", "last_error")]
+    )
+    new = marks.select("source_id", "last_completed_until", "last_error", "failed", F.lit(True).alias("attempted"))
+    j = stored.join(new, on="source_id", how="full")
+    tried, failed = F.col("attempted").isNotNull(), F.col("failed")
+    return j.select(
+        "source_id",
+        F.when(tried, F.col("last_completed_until")).otherwise(F.col("o_last_completed_until")).alias("last_completed_until"),
+        F.when(tried, now).otherwise(F.col("o_last_attempted_at")).alias("last_attempted_at"),
+        F.when(tried & ~failed, now).otherwise(F.col("o_last_succeeded_at")).alias("last_succeeded_at"),
+        F.when(tried, F.col("last_error")).otherwise(F.col("o_last_error")).alias("last_error"),
+    )

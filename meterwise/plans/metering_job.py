@@ -8,6 +8,7 @@ combined), one on (node, account, day) for deltas, one on (account, day) for rat
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -17,11 +18,27 @@ from meterwise.operators import metering, rating
 
 @dataclass
 class MeterResult:
-    quarantine: DataFrame
+    """The outputs of one run.  Each step is planned when it is first asked for, since the two-level windows write
+    their input: who reads only the buckets pays for no rating."""
+
+    quarantine: DataFrame | None
     samples: DataFrame
-    deltas: DataFrame
-    buckets: DataFrame
-    rated: DataFrame
+    profiles: DataFrame | None
+    stored_quota: DataFrame | None
+    stored_checkpoints: DataFrame | None
+    cfg: RatingConfig
+
+    @cached_property
+    def deltas(self) -> DataFrame:
+        return metering.counter_deltas(self.samples, self.stored_checkpoints, self.cfg)
+
+    @cached_property
+    def buckets(self) -> DataFrame:
+        return metering.minute_buckets(self.deltas, self.cfg)
+
+    @cached_property
+    def rated(self) -> DataFrame:
+        return rating.rate_buckets(self.buckets, self.profiles, self.stored_quota, self.cfg)
 
     @property
     def ledger(self) -> DataFrame:
@@ -44,10 +61,7 @@ def meter_samples(
     cfg: RatingConfig = RatingConfig(),
     quarantine: DataFrame | None = None,
 ) -> MeterResult:
-    deltas = metering.counter_deltas(samples, checkpoints, cfg)
-    buckets = metering.minute_buckets(deltas, cfg)
-    rated = rating.rate_buckets(buckets, profiles, quota_states, cfg)
-    return MeterResult(quarantine, samples, deltas, buckets, rated)
+    return MeterResult(quarantine, samples, profiles, quota_states, checkpoints, cfg)
 
 
 def meter_inbound(

@@ -167,11 +167,24 @@ FROM orders
 """)
 
 view("v_utilisation", (), """
-SELECT s_suppkey AS resource_id, 'svc-' || (p_partkey % 4) AS service,
-       CAST(sum(p_size) AS BIGINT) AS cpu, CAST(sum(p_size % 7) AS BIGINT) AS mem,
-       CAST(sum(p_partkey % 5) AS BIGINT) AS disk, CAST(0 AS BIGINT) AS net
-FROM supplier JOIN part ON p_partkey % 10 = s_suppkey % 10
-GROUP BY 1, 2
+SELECT l_suppkey AS resource_id, 'svc-' || (l_partkey % 4) AS service, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS day,
+       CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE 0 END) AS BIGINT) AS cpu,
+       CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey % 7 ELSE 0 END) AS BIGINT) AS mem,
+       CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey % 5 ELSE 0 END) AS BIGINT) AS disk, CAST(0 AS BIGINT) AS net
+FROM lineitem GROUP BY 1, 2, 3
+""")
+
+view("v_assets", ("v_cost_lines",), """
+SELECT resource_id, window_start, currency, amount, 0 AS arrival FROM (
+  SELECT CASE WHEN resource_id % 4 = 0 THEN resource_id + 1000000 ELSE resource_id END AS resource_id,
+         CAST(date_trunc('day', usage_start_time) AS TIMESTAMP) AS window_start, currency, sum(amount) AS amount
+  FROM v_cost_lines WHERE kind = 'modern' GROUP BY 1, 2, 3)
+""")
+
+view("v_credits", ("v_samples",), """
+SELECT 'credit-' || event_id AS id, account_uuid, CAST(date_trunc('minute', collected_at) AS TIMESTAMP) AS entry_at, 1 AS entry_rank,
+       'credit' AS entry_type, 100.0::DOUBLE AS amount_delta, collected_at AS last_collected_at
+FROM v_samples WHERE event_id % 40 = 0
 """)
 
 # ---- metering chain over v_inbound (same steps as meterwise.plans.metering_job) ----

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meterwise.operators import allocation, analytics, costs, rating, upsert
+from meterwise.operators.entitlements import failures_since_paid
 from meterwise.operators.pricing import attach_pricing
 from meterwise.plans.catalog import register
 from meterwise.plans.oracle import with_views
@@ -188,29 +189,36 @@ def q_refund_eligibility(spark, sf):
     return priced.select("account_id", "subscription_start", "request_at", "usage_bytes", "included_quota_bytes", eligible.alias("eligible"))
 
 
-@register("amount_due", with_views(["m_rated"], """
-SELECT account_uuid, CAST(date_trunc('month', bucket_start) AS TIMESTAMP) AS month, CAST(sum(total_bytes) AS BIGINT) AS used_bytes,
-       any_value(included_quota_bytes) AS included_quota_bytes,
-       10.0 + CAST(greatest(sum(total_bytes) - any_value(included_quota_bytes), 0) AS DOUBLE) * any_value(price_per_byte) * any_value(multiplier) AS amount_due
+MONTHLY_FEE = 10.0
+
+
+@register("amount_due", with_views(["m_rated", "v_credits"], f"""
+WITH c AS (SELECT account_uuid, CAST(date_trunc('month', entry_at) AS TIMESTAMP) AS month, sum(amount_delta) AS credits FROM v_credits GROUP BY 1, 2),
+d AS (SELECT account_uuid, CAST(date_trunc('month', bucket_start) AS TIMESTAMP) AS month, CAST(sum(total_bytes) AS BIGINT) AS used_bytes,
+       any_value(included_quota_bytes) AS included_quota_bytes, any_value(price_per_byte) AS price, any_value(multiplier) AS mult
 FROM (SELECT r.*, coalesce(p.included_quota_bytes, 50000) AS included_quota_bytes FROM m_rated r LEFT JOIN m_pricing p USING (account_uuid))
-GROUP BY 1, 2"""))
+GROUP BY 1, 2)
+SELECT account_uuid, month, used_bytes, included_quota_bytes, coalesce(credits, 0.0) AS credits,
+       {MONTHLY_FEE} + CAST(greatest(used_bytes - included_quota_bytes, 0) AS DOUBLE) * price * mult - coalesce(credits, 0.0) AS amount_due
+FROM d LEFT JOIN c USING (account_uuid, month)"""))
 def q_amount_due(spark, sf):
-    """B-7: fixed fee 10 + max(0, use - included) x price x multiplier - refunds, per
-    account and month (no refund rows exist in the fixtures: adjustments are 0)."""
+    """B-7: monthly fee + max(0, use - included) x price x multiplier - credits and refunds of the month, per
+    account and month with use."""
     r = metered(spark, sf).rated
-    accounts = r.select("account_uuid").distinct()
-    pricing = attach_pricing(accounts, fx.profiles(spark, sf), FIXTURE_CFG).select("account_uuid", "included_quota_bytes")
-    g = r.join(pricing, "account_uuid", "left").groupBy(
-        "account_uuid", F.date_trunc("month", "bucket_start").cast("timestamp_ntz").alias("month")
-    ).agg(
+    g = r.groupBy("account_uuid", F.date_trunc("month", "bucket_start").cast("timestamp_ntz").alias("month")).agg(
         F.sum("total_bytes").cast("long").alias("used_bytes"),
-        F.first("included_quota_bytes").alias("included_quota_bytes"),
         F.first("price_per_byte").alias("price"),
         F.first("multiplier").alias("mult"),
     )
+    g = attach_pricing(g, fx.profiles(spark, sf), FIXTURE_CFG).select(*g.columns, "included_quota_bytes")
+    credits = fx.credits(spark, sf).groupBy(
+        "account_uuid", F.date_trunc("month", "entry_at").cast("timestamp_ntz").alias("month")
+    ).agg(F.sum("amount_delta").alias("credits"))
+    g = g.join(credits, ["account_uuid", "month"], "left")
     over = F.greatest(F.col("used_bytes") - F.col("included_quota_bytes"), F.lit(0)).cast("double")
-    return g.select("account_uuid", "month", "used_bytes", "included_quota_bytes",
-                    (F.lit(10.0) + over * F.col("price") * F.col("mult")).alias("amount_due"))
+    back = F.coalesce("credits", F.lit(0.0))
+    return g.select("account_uuid", "month", "used_bytes", "included_quota_bytes", back.alias("credits"),
+                    (F.lit(MONTHLY_FEE) + over * F.col("price") * F.col("mult") - back).alias("amount_due"))
 
 
 @register("dunning_ladder", with_views(["v_payments"], f"""
@@ -226,18 +234,12 @@ SELECT lp.account_id, lp.last_paid_at, CAST(coalesce(f.failures, 0) AS BIGINT) A
 FROM lp LEFT JOIN f USING (account_id)"""))
 def q_dunning_ladder(spark, sf):
     """B-8: failures since the last paid invoice; 1 -> arrears, 3 or 7 days -> throttled,
-    14 days -> suspended, a payment clears.  Two partial aggregates and a join on the
-    account (AQE splits a hot account's partition), no per-account ordered window."""
-    p = fx.payments(spark, sf)
-    lp = p.groupBy("account_id").agg(F.max(F.when(F.col("event_type") == "invoice_paid", F.col("occurred_at"))).alias("last_paid_at"))
-    fails = p.join(lp, "account_id").filter(
-        (F.col("event_type") == "payment_failed") & (F.col("last_paid_at").isNull() | (F.col("occurred_at") > F.col("last_paid_at")))
-    ).groupBy("account_id").agg(F.count("*").alias("failures"), F.min("occurred_at").alias("first_failure_at"))
-    j = lp.join(fails, "account_id", "left")
+    14 days -> suspended, a payment clears."""
+    j = failures_since_paid(fx.payments(spark, sf))
     days = F.datediff(F.lit(DUNNING_AS_OF).cast("timestamp_ntz"), F.col("first_failure_at"))
-    n = F.coalesce(F.col("failures"), F.lit(0)).cast("long")
+    n = F.col("failures")
     state = (F.when(n == 0, "current").when(days >= 14, "suspended").when((n >= 3) | (days >= 7), "throttled").otherwise("arrears"))
-    return j.select("account_id", "last_paid_at", n.alias("failures"), "first_failure_at", state.alias("state"))
+    return j.select("account_id", "last_paid_at", "failures", "first_failure_at", state.alias("state"))
 
 
 @register("event_dedup", with_views(["v_payments"], "SELECT event_id, account_id, occurred_at, event_type, amount FROM v_payments"))
@@ -606,22 +608,52 @@ def q_estimate_variance(spark, sf):
     ).withColumn("variance", (F.col("latest_estimate") - F.col("first_estimate")).cast("decimal(18,2)"))
 
 
-@register("policy_checks", with_views(["v_estimates"], """
+# The policy table: rule -> (environment or None for all, limit, decision).  A decision of ``deny`` outranks ``warn``.
+POLICY_VERSION = "policy-v2"
+POLICY = {
+    "increase_limit": (None, Decimal("500"), "deny"),
+    "prod_growth": ("prod", Decimal("0.2"), "warn"),
+    "dev_growth": ("dev", Decimal("0.5"), "warn"),
+    "gpu_unapproved": (None, None, "deny"),
+    "no_cost_center": (None, None, "deny"),
+}
+
+
+def policy_conditions() -> dict[str, str]:
+    """SQL text of each rule over an estimate row; both engines read it alike."""
+    texts = {}
+    for rule, (env, limit, _) in POLICY.items():
+        if rule == "increase_limit":
+            text = f"cost_after - cost_before > {limit}"
+        elif rule.endswith("_growth"):
+            text = f"cost_after - cost_before > cost_before * CAST('{limit}' AS DECIMAL(3,1))"
+        elif rule == "gpu_unapproved":
+            text = "(pr_id + version) % 23 = 0 AND version % 2 = 1"
+        else:
+            text = "pr_id % 10 = 0"
+        texts[rule] = f"{text} AND environment = '{env}'" if env else text
+    return texts
+
+
+RULE_SQL = policy_conditions()
+ANY_OF = {d: " OR ".join(f"({RULE_SQL[r]})" for r, v in POLICY.items() if v[2] == d) for d in ("deny", "warn")}
+
+
+@register("policy_checks", with_views(["v_estimates"], f"""
 SELECT pr_id, version, environment, CAST(cost_after - cost_before AS DECIMAL(18,2)) AS delta,
-       cost_after - cost_before > 500 AS over_limit,
-       environment = 'prod' AND cost_after - cost_before > cost_before * 0.2 AS prod_jump,
-       CASE WHEN cost_after - cost_before > 500 THEN 'deny'
-            WHEN environment = 'prod' AND cost_after - cost_before > cost_before * 0.2 THEN 'warn' ELSE 'pass' END AS decision
+       concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{r}' END" for r, c in RULE_SQL.items())}) AS violations,
+       CASE WHEN {ANY_OF['deny']} THEN 'deny' WHEN {ANY_OF['warn']} THEN 'warn' ELSE 'pass' END AS decision,
+       '{POLICY_VERSION}' AS policy_version
 FROM v_estimates"""))
 def q_policy_checks(spark, sf):
-    """B-26: deny an increase over 500 per change; warn on +20 % in production."""
-    e = fx.estimates(spark, sf)
-    delta = F.col("cost_after") - F.col("cost_before")
-    over = delta > 500
-    jump = (F.col("environment") == "prod") & (delta > F.col("cost_before") * F.lit(Decimal("0.2")))
-    return e.select(
-        "pr_id", "version", "environment", delta.cast("decimal(18,2)").alias("delta"), over.alias("over_limit"),
-        jump.alias("prod_jump"), F.when(over, "deny").when(jump, "warn").otherwise("pass").alias("decision"),
+    """B-26: each estimate against the policy table: increase per change, growth by environment, GPU without approval
+    (fixture: (pr + version) % 23 = 0 needs one, odd versions have none), no cost centre (fixture: pr % 10 = 0)."""
+    hits = [F.when(F.expr(c), F.lit(r)) for r, c in RULE_SQL.items()]
+    return fx.estimates(spark, sf).select(
+        "pr_id", "version", "environment", (F.col("cost_after") - F.col("cost_before")).cast("decimal(18,2)").alias("delta"),
+        F.concat_ws(",", *hits).alias("violations"),
+        F.when(F.expr(ANY_OF["deny"]), "deny").when(F.expr(ANY_OF["warn"]), "warn").otherwise("pass").alias("decision"),
+        F.lit(POLICY_VERSION).alias("policy_version"),
     )
 
 
@@ -753,27 +785,42 @@ def q_budget_alerts(spark, sf):
 
 
 # ---------------------------------------------------------------- B-31, B-34, B-35
-@register("tag_coverage", with_views(["v_cost_lines"], """
-SELECT provider, count(*) AS lines,
-       count(*) FILTER (WHERE cost_center IS NULL) AS missing_cost_center,
-       count(*) FILTER (WHERE team IS NULL OR cost_center IS NULL) AS missing_key_tags,
-       CAST(count(*) FILTER (WHERE team IS NOT NULL AND cost_center IS NOT NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS key_tag_coverage
-FROM v_cost_lines GROUP BY 1"""))
+# The base tags and the key tags among them.
+TAGS = ("managed_by", "repository", "service", "product", "team", "environment", "cost_center", "owner")
+KEY_TAGS = ("team", "environment", "cost_center")
+TAG_SQL = {
+    "managed_by": "CASE WHEN resource_id % 6 = 0 THEN NULL ELSE 'terraform' END",
+    "repository": "'repo-' || (resource_id % 9)",
+    "service": "service_name",
+    "product": "product",
+    "team": "team",
+    "environment": "CASE WHEN resource_id % 14 = 0 THEN '' WHEN kind = 'modern' THEN 'prod' ELSE 'dev' END",
+    "cost_center": "cost_center",
+    "owner": "CASE WHEN resource_id % 4 = 0 THEN NULL ELSE team || '-lead' END",
+}
+
+
+@register("tag_coverage", with_views(["v_cost_lines"], f"""
+WITH t AS (SELECT provider, {', '.join(f"nullif({TAG_SQL[x]}, '') AS t_{x}" for x in TAGS)} FROM v_cost_lines)
+SELECT provider, count(*) AS lines, {', '.join(f'count(*) FILTER (WHERE t_{x} IS NULL) AS missing_{x}' for x in TAGS)},
+       count(*) FILTER (WHERE {' OR '.join(f't_{x} IS NULL' for x in KEY_TAGS)}) AS missing_key_tags,
+       CAST(count(*) FILTER (WHERE {' AND '.join(f't_{x} IS NOT NULL' for x in KEY_TAGS)}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS key_tag_coverage
+FROM t GROUP BY 1"""))
 def q_tag_coverage(spark, sf):
-    """B-31: tags as a map (team, product, cost_center); key tags team and cost_center;
-    coverage per provider."""
+    """B-31: the eight base tags as a map per line (a blank tag is a missing one); how many lines lack each tag and
+    any of the key tags, per provider."""
     l = fx.cost_lines(spark, sf)
-    tags = F.map_filter(
-        F.create_map(F.lit("team"), F.col("team"), F.lit("product"), F.col("product"), F.lit("cost_center"), F.col("cost_center")),
-        lambda k, v: v.isNotNull(),
-    )
-    missing = F.array_except(F.array(F.lit("team"), F.lit("cost_center")), F.map_keys(tags))
-    l = l.select("provider", tags.alias("tags"), F.size(missing).alias("n_missing"))
+    tags = F.create_map(*[c for x in TAGS for c in (F.lit(x), F.expr(f"nullif({TAG_SQL[x]}, '')"))])
+    l = l.select("provider", F.map_filter(tags, lambda k, v: v.isNotNull()).alias("tags"))
+    missing = {x: ~F.map_contains_key("tags", x) for x in TAGS}
+    lacks_key = missing[KEY_TAGS[0]]
+    for x in KEY_TAGS[1:]:
+        lacks_key = lacks_key | missing[x]
     return l.groupBy("provider").agg(
         F.count("*").alias("lines"),
-        F.count(F.when(~F.map_contains_key("tags", "cost_center"), 1)).alias("missing_cost_center"),
-        F.count(F.when(F.col("n_missing") > 0, 1)).alias("missing_key_tags"),
-        (F.count(F.when(F.col("n_missing") == 0, 1)).cast("double") / F.count("*").cast("double")).alias("key_tag_coverage"),
+        *[F.count(F.when(missing[x], 1)).alias(f"missing_{x}") for x in TAGS],
+        F.count(F.when(lacks_key, 1)).alias("missing_key_tags"),
+        (F.count(F.when(~lacks_key, 1)).cast("double") / F.count("*").cast("double")).alias("key_tag_coverage"),
     )
 
 
