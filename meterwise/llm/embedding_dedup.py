@@ -67,27 +67,29 @@ def _order_key(seed: int):
             p = v @ planes
             code = ((p[:, :32] > 0).astype(np.uint64) << np.arange(32, dtype=np.uint64)[::-1]).sum(1, dtype=np.uint64)
             fine = np.clip((p[:, 32] + 6) / 12 * (1 << 30), 0, (1 << 30) - 1).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((code << np.uint64(30)) | fine).view(np.int64))], ["c", "unit", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(((code << np.uint64(30)) | fine).view(np.int64))], ["c", "unit", "g", "place"])
     return run
 
 
 def _along(batches):
-    """The best neighbours of each vector among those beside it in a sorted partition."""
+    """The best neighbours of each vector, outside its own group, among those beside it in a sorted partition."""
     rest = None
     for batch in batches:
-        c = batch.column(0).to_numpy(zero_copy_only=False)
+        c, g = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
         v = _vectors(batch.column(1)).astype(np.float32)
         if rest is not None:  # the end of the last batch meets the start of this one
-            c, v = np.concatenate([rest[0], c]), np.concatenate([rest[1], v])
+            c, v, g = (np.concatenate(x) for x in zip(rest, (c, v, g)))
         for a in range(0, len(c), LEAF // 2):
-            x, ids = v[a:a + LEAF], c[a:a + LEAF]
+            x, ids, own = v[a:a + LEAF], c[a:a + LEAF], g[a:a + LEAF]
             if len(ids) < 2:
                 continue
             sims = x @ x.T
-            np.fill_diagonal(sims, -2)
+            sims[own[:, None] == own[None, :]] = -2
             i, j = _top(sims, NEIGHBOURS)
+            real = sims[i, j] > -2
+            i, j = i[real], j[real]
             yield _edges(ids[i], ids[j], sims[i, j])
-        rest = (c[-LEAF // 2:], v[-LEAF // 2:])
+        rest = (c[-LEAF // 2:], v[-LEAF // 2:], g[-LEAF // 2:])
 
 
 def _first_graph(vectors: DataFrame, seeds: range) -> DataFrame:
@@ -95,8 +97,8 @@ def _first_graph(vectors: DataFrame, seeds: range) -> DataFrame:
     dense group spreads over partitions and no bucket can overflow."""
     out = None
     for seed in seeds:
-        placed = vectors.mapInArrow(_order_key(seed), "c long, unit binary, place long")
-        own = (placed.repartitionByRange("place", "c").sortWithinPartitions("place", "c").select("c", "unit")
+        placed = vectors.mapInArrow(_order_key(seed), "c long, unit binary, g long, place long")
+        own = (placed.repartitionByRange("place", "c").sortWithinPartitions("place", "c").select("c", "unit", "g")
                .mapInArrow(_along, "a long, b long, s float"))
         out = own if out is None else out.unionByName(own)
     return out
@@ -110,7 +112,7 @@ def _best(edges: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
 
 def _local_join(batches):
-    """Among the neighbours of each vector: pairs that are nearer than the farthest neighbour either has."""
+    """Among the neighbours of each vector: pairs of two groups that are nearer than the farthest neighbour either has."""
     for batch in batches:
         centre = batch.column(0)
         for k in range(0, len(centre), 512):
@@ -119,14 +121,14 @@ def _local_join(batches):
             flat = lists.flatten()
             ids = flat.field("b").to_numpy(zero_copy_only=False)
             bar = flat.field("bar").to_numpy(zero_copy_only=False)
+            g = flat.field("g").to_numpy(zero_copy_only=False)
             fresh = flat.field("fresh").to_numpy(zero_copy_only=False).astype(bool)
             v = _vectors(flat.field("unit")).astype(np.float32)
             ends = np.cumsum(sizes)
             a, b, s = [], [], []
             for lo, hi in zip(ends - sizes, ends):
                 sims = v[lo:hi] @ v[lo:hi].T
-                np.fill_diagonal(sims, -2)
-                good = (sims > bar[lo:hi, None]) & (fresh[lo:hi, None] | fresh[None, lo:hi])
+                good = (sims > bar[lo:hi, None]) & (g[lo:hi, None] != g[None, lo:hi]) & (fresh[lo:hi, None] | fresh[None, lo:hi])
                 i, j = np.nonzero(good)
                 a.append(ids[lo + i])
                 b.append(ids[lo + j])
@@ -135,17 +137,22 @@ def _local_join(batches):
                 yield _edges(np.concatenate(a), np.concatenate(b), np.concatenate(s))
 
 
-def _refine(graph: DataFrame, vectors: DataFrame, total: int) -> DataFrame:
-    """Neighbours of neighbours, until hardly a list changes.  ``old`` marks entries that have been joined already."""
+def _refine(graph: DataFrame, vectors: DataFrame, total: int, near: DataFrame | None = None) -> DataFrame:
+    """Neighbours of neighbours, until hardly a list changes.  ``old`` marks entries that have been joined already.
+
+    ``near``: links that lead to more candidates and are no entries themselves.
+    """
     for _ in range(ROUNDS):
         bars = graph.groupBy("a").agg(F.min("s").alias("bar"), F.count(F.lit(1)).alias("n"))
         bars = bars.select("a", F.when(F.col("n") >= NEIGHBOURS, F.col("bar")).otherwise(F.lit(-2.0)).cast("float").alias("bar"))
         back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "old")
-        near = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-        back = back.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= NEIGHBOURS).drop("rank")
-        both = graph.unionByName(back).groupBy("a", "b").agg(F.min("old").alias("old"))
-        members = both.join(vectors.withColumnRenamed("c", "b").join(bars.withColumnRenamed("a", "b"), "b"), "b")
-        groups = members.groupBy("a").agg(F.collect_list(F.struct("b", "bar", (F.col("old") == 0).alias("fresh"), "unit")).alias("near"))
+        nearest = Window.partitionBy("a").orderBy(F.desc("s"), "b")
+        back = back.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= NEIGHBOURS).drop("rank")
+        both = graph.unionByName(back) if near is None else graph.unionByName(back).unionByName(near)
+        both = both.groupBy("a", "b").agg(F.min("old").alias("old"))
+        barred = vectors.withColumnRenamed("c", "b").join(bars.withColumnRenamed("a", "b"), "b", "left")
+        members = both.join(barred.withColumn("bar", F.coalesce("bar", F.lit(-2.0).cast("float"))), "b")
+        groups = members.groupBy("a").agg(F.collect_list(F.struct("b", "bar", "g", (F.col("old") == 0).alias("fresh"), "unit")).alias("near"))
         nearer = groups.where(F.exists("near", lambda x: x["fresh"])).select("a", "near").mapInArrow(_local_join, "a long, b long, s float")
         seen = graph.withColumn("old", F.lit(1))
         graph = cut(_best(seen.unionByName(nearer.withColumn("old", F.lit(0)))))
@@ -154,6 +161,35 @@ def _refine(graph: DataFrame, vectors: DataFrame, total: int) -> DataFrame:
     return graph
 
 
+def _across(graph: DataFrame, groups: DataFrame, vectors: DataFrame, loose: float) -> DataFrame:
+    """``groups`` joined where a link leads from one to another that no list of ``NEIGHBOURS`` entries has room for.
+
+    Such a link has a saturated list (links only) at both ends.  The vectors with saturated lists get lists of their
+    nearest neighbours outside their own group, refined like the graph; groups that are linked become one, and the
+    lists are made anew outside it, until no link leads out of a group.
+    """
+    linked = graph.where(F.col("s") >= loose)
+    full = linked.groupBy("a").count().where(F.col("count") >= NEIGHBOURS).select(F.col("a").alias("c"))
+    own = cut(vectors.select("c", "unit").join(full, "c").join(groups, "c"))
+    total, seeds = own.count(), 1 << 20
+    if own.select("g").distinct().limit(2).count() < 2:
+        return groups
+    near = cut(linked.join(own.select(F.col("c").alias("a")), "a").select("a", "b", "s", F.lit(1).alias("old")))
+    far = None
+    while True:
+        edges = _first_graph(own, range(seeds, seeds + TREES)).withColumn("old", F.lit(0))
+        seeds += TREES
+        ends = own.select(F.col("c").alias("a"), F.col("g").alias("ga")), own.select(F.col("c").alias("b"), F.col("g").alias("gb"))
+        if far is not None:
+            edges = edges.unionByName(far.join(ends[0], "a").join(ends[1], "b").where("ga != gb").select("a", "b", "s", F.lit(0).alias("old")))
+        far = _refine(cut(_best(edges)), own, total, near)
+        met = cut(far.where(F.col("s") >= loose).join(ends[0], "a").join(ends[1], "b").select("ga", "gb").distinct())
+        if met.isEmpty():
+            return groups
+        one = cut(connected_components(met, "ga", "gb").select(F.col("node").alias("g"), F.col("component").alias("into")))
+        own, groups = (cut(x.join(one, "g", "left").withColumn("g", F.coalesce("into", "g")).select(*x.columns)) for x in (own, groups))
+
+
 def _audit(sample: list, threshold: float):
     ids = np.array([r[0] for r in sample], np.int64)
     v = np.frombuffer(b"".join(bytes(r[1]) for r in sample), np.float64).reshape(len(ids), -1)
@@ -206,8 +242,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
     NN-descent: the first graph joins neighbours in several random orders; each round compares the neighbours of
     every vector with each other.  A list whose entries are all links is saturated: it is enlarged to its whole
-    group of linked vectors, whose blocks are compared exactly, counting links without writing pairs.  An audit
-    compares a bounded sample with all rows; if too few of its links were found, further orders are added and the
+    group of linked vectors, and its nearest neighbours outside that group are found the same way, which joins groups
+    until none is linked with another.  A group's blocks are compared exactly, counting links without writing pairs.
+    An audit compares a bounded sample with all rows; if too few of its links were found, further orders are added and the
     graph is refined again.  Links are then recomputed in double precision, and components follow them.
 
     Rows with a null id are compared and counted; ``component_id`` passes nulls over.  Repeated ids are rows of
@@ -237,7 +274,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
 def _links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(links that span all groups, number of linked rows ``n`` of each class) of classes of one length."""
-    vectors = cut(classes.select("c", "unit"))
+    vectors = cut(classes.select("c", "unit", F.col("c").alias("g")))
     total = vectors.count()
     loose = threshold - 1e-4  # single precision in the graph; links are recomputed
     graph = cut(_best(_first_graph(vectors, range(TREES)).withColumn("old", F.lit(0))))
@@ -249,6 +286,7 @@ def _links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         both = graph.where(F.col("s") >= loose).select("a", "b")
         links = cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
         groups = cut(connected_components(links).select(F.col("node").alias("c"), F.col("component").alias("g")))
+        groups = _across(graph, groups, vectors, loose)
         if true is None or k == REPAIRS:
             break
         # a link is found if both ends are in one group: the group's blocks are compared exactly

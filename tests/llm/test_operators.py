@@ -259,3 +259,26 @@ def test_substring_dedup(spark, odd, hot, monkeypatch):
         monkeypatch.setattr(S, "HOT_LEAST", 3)  # the passage's anchors take the way of hot ones
     docs = [(NO_ID if i is None else i, words(t)) for i, t in rows_of(spark, odd, "documents", "doc_id", "text")]
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in result(spark, odd, "op10_substring_dedup")) == brute_substrings(docs)
+
+
+def test_embedding_link_between_dense_groups(spark):
+    from meterwise.llm.embedding_dedup import near_duplicate_vectors
+
+    # near copies of x and of y stand off to other sides, so x and y are the only linked pair of the two groups
+    rng, n, dims = np.random.default_rng(3), 30, 128
+    x, y = np.eye(dims)[0], 0.92 * np.eye(dims)[0] + np.sqrt(1 - 0.92**2) * np.eye(dims)[1]
+    rows = [x, y]
+    for centre, other in ((x, y), (y, x)):
+        away = centre - other * (centre @ other)
+        for _ in range(n):
+            side = np.concatenate([[0, 0], rng.normal(size=dims - 2)])
+            side = 0.12 * side / np.linalg.norm(side) + 0.25 * away / np.linalg.norm(away)
+            rows.append(centre + side)
+    rows = np.array([r / np.linalg.norm(r) for r in rows])
+    links = (rows @ rows.T >= 0.9) & ~np.eye(len(rows), dtype=bool)
+    across = links[np.ix_([0, *range(2, 2 + n)], [1, *range(2 + n, 2 + 2 * n)])]
+    assert across.sum() == 1 and links[0, 1] and links.sum(1).min() >= n - 1
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in near_duplicate_vectors(table).collect()}
+    assert [got[i]["n_links"] for i in range(len(rows))] == links.sum(1).tolist()
+    assert {r["component_id"] for r in got.values()} == {0} and [i for i in got if got[i]["kept"]] == [0]
