@@ -14,9 +14,9 @@ TREES = 10  # random orders that the first graph is taken from
 LEAF = 48  # neighbours in such an order that are compared
 ROUNDS = 6  # of refinement at most; a round that improves under SETTLED of the lists is the last
 SETTLED = 0.01
-AUDIT = 400  # vectors whose links are also found by comparing them with all rows, at most
-RECALL = 0.99  # below it, more random orders are added and the graph is refined again
-REPAIRS = 3
+AUDIT = 400  # vectors whose links are also found by comparing them with all rows, and as many with a list that holds a non-link
+RECALL = 0.99  # mean over the audited vectors; below it, more random orders are added and the graph is refined again
+REPAIRS = 5  # each adds twice the orders of the one before; after the last the job fails with the measured recall
 SMALL = 64  # members of a group that is compared in one go, with others
 TILE = 1024  # members of a dense group that one task compares with as many others
 
@@ -191,19 +191,50 @@ def _across(graph: DataFrame, groups: DataFrame, vectors: DataFrame, loose: floa
 
 
 def _audit(sample: list, threshold: float):
-    ids = np.array([r[0] for r in sample], np.int64)
+    """For each sampled vector: its links in a batch, and how many of them are in its group."""
+    ids, own = (np.array([r[k] for r in sample], np.int64) for k in (0, 2))
     v = np.frombuffer(b"".join(bytes(r[1]) for r in sample), np.float64).reshape(len(ids), -1)
 
     def run(batches):
         for batch in batches:
-            c, x = batch.column(0).to_numpy(zero_copy_only=False), _vectors(batch.column(1))
+            c, g, x = *(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2)), _vectors(batch.column(1))
+            n, hit = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             for k in range(0, len(c), 2048):
                 i, j = np.nonzero(v @ x[k:k + 2048].T >= threshold)
                 other = ids[i] != c[k + j]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i][other]), pa.array(c[k + j][other])], ["a", "b"])
+                i, j = i[other], j[other]
+                n += np.bincount(i, minlength=len(ids))
+                hit += np.bincount(i[own[i] == g[k + j]], minlength=len(ids))
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), pa.array(hit[some])], ["a", "n", "hit"])
     return run
 
 
+def _recalls(found: list) -> tuple[float, float]:
+    """Mean recall over the vectors of ``(links, links found)``: of all, and of those with ``NEIGHBOURS`` links at most."""
+    mean = lambda x: float(np.mean(x)) if x else 1.0
+    return mean([hit / n for n, hit in found if n]), mean([hit / n for n, hit in found if 0 < n <= NEIGHBOURS])
+
+
+def _recall(graph: DataFrame, groups: DataFrame, vectors: DataFrame, total: int, threshold: float) -> float:
+    """The lower of both recalls, by comparing a bounded sample with all rows.
+
+    A link is found if both ends are in one group, as a group's blocks are compared exactly.  Half of the sample is
+    taken from the vectors whose list holds a non-link, so that a dense group cannot fill it.
+    """
+    placed = vectors.select("c", "unit").join(groups, "c", "left").select("c", "unit", F.coalesce("g", "c").alias("g"))
+    linked = graph.where(F.col("s") >= threshold).groupBy("a").count().where(F.col("count") >= NEIGHBOURS).select(F.col("a").alias("c"))
+    sample = {}
+    for seed, of in enumerate((placed, placed.join(linked, "c", "left_anti"))):
+        share = int(min(1.0, AUDIT / max(1, of.count() if seed else total)) * (1 << 24))
+        for r in of.where(F.pmod(F.xxhash64("c", F.lit(seed)), F.lit(1 << 24)) < share).limit(2 * AUDIT).collect():
+            sample[r[0]] = r
+    if not sample:
+        return 1.0
+    seen = placed.mapInArrow(_audit(list(sample.values()), threshold), "a long, n long, hit long")
+    return min(_recalls([(r[1], r[2]) for r in seen.groupBy("a").agg(F.sum("n"), F.sum("hit")).collect()]))
+
+
 def _compared(c, w, v, other_c, other_w, other_v, threshold):
     """How many rows each member links with, and links that join all that these links join."""
     i, j = np.nonzero(v @ other_v.T >= threshold)
@@ -244,8 +275,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     every vector with each other.  A list whose entries are all links is saturated: it is enlarged to its whole
     group of linked vectors, and its nearest neighbours outside that group are found the same way, which joins groups
     until none is linked with another.  A group's blocks are compared exactly, counting links without writing pairs.
-    An audit compares a bounded sample with all rows; if too few of its links were found, further orders are added and the
-    graph is refined again.  Links are then recomputed in double precision, and components follow them.
+    An audit compares a bounded sample with all rows; if the recall of the mean vector, or of the mean sparsely linked
+    one, is too low, further orders are added and the graph is refined again; if that does not help, the job fails.
+    Links are then recomputed in double precision, and components follow them.
 
     Rows with a null id are compared and counted; ``component_id`` passes nulls over.  Repeated ids are rows of
     their own that share an id.
@@ -278,25 +310,21 @@ def _links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     total = vectors.count()
     loose = threshold - 1e-4  # single precision in the graph; links are recomputed
     graph = cut(_best(_first_graph(vectors, range(TREES)).withColumn("old", F.lit(0))))
-    graph = _refine(graph, vectors, total)
-    share = int(min(1.0, AUDIT / max(1, total)) * (1 << 24))
-    sample = vectors.where(F.pmod(F.xxhash64("c"), F.lit(1 << 24)) < share).limit(2 * AUDIT).collect()
-    true = cut(vectors.mapInArrow(_audit(sample, threshold), "a long, b long")) if sample else None
+    graph, orders = _refine(graph, vectors, total), TREES
     for k in range(REPAIRS + 1):
         both = graph.where(F.col("s") >= loose).select("a", "b")
         links = cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
         groups = cut(connected_components(links).select(F.col("node").alias("c"), F.col("component").alias("g")))
         groups = _across(graph, groups, vectors, loose)
-        if true is None or k == REPAIRS:
-            break
-        # a link is found if both ends are in one group: the group's blocks are compared exactly
-        g = groups.select(F.col("c").alias("a"), F.col("g").alias("ga")), groups.select(F.col("c").alias("b"), F.col("g").alias("gb"))
-        seen = true.join(g[0], "a", "left").join(g[1], "b", "left")
-        n, hit = seen.agg(F.count(F.lit(1)), F.count(F.when(F.col("ga") == F.col("gb"), 1))).first()
-        if n == 0 or hit >= RECALL * n:
+        recall = _recall(graph, groups, vectors, total, threshold)
+        if recall >= RECALL:
             break
-        extra = _first_graph(vectors, range(TREES * (k + 1), TREES * (k + 2))).withColumn("old", F.lit(0))
-        graph = _refine(cut(_best(graph.unionByName(extra))), vectors, total)
+        if k == REPAIRS:
+            raise RuntimeError(f"near_duplicate_vectors: recall {recall:.4f} of the audited links after {orders} random orders, below {RECALL}")
+        for _ in range(2 ** k):
+            extra = _first_graph(vectors, range(orders, orders + TREES)).withColumn("old", F.lit(0))
+            graph, orders = cut(_best(graph.unionByName(extra))), orders + TREES
+        graph = _refine(graph, vectors, total)
     blocks = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")).withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
     members = groups.join(blocks.where("m > 1"), "g").join(classes.select("c", "unit", "w"), "c")
     few = members.where(F.col("m") <= SMALL)

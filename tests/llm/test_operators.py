@@ -282,3 +282,18 @@ def test_embedding_link_between_dense_groups(spark):
     got = {r["vec_id"]: r for r in near_duplicate_vectors(table).collect()}
     assert [got[i]["n_links"] for i in range(len(rows))] == links.sum(1).tolist()
     assert {r["component_id"] for r in got.values()} == {0} and [i for i in got if got[i]["kept"]] == [0]
+
+
+def test_embedding_audit_is_by_vector_and_enforced(spark, monkeypatch):
+    from meterwise.llm import embedding_dedup as E
+
+    # 133 vectors of a dense group bring all their links, 10 sparse pairs are missed
+    low, sparse = E._recalls([(1000, 1000)] * 133 + [(1, 0)] * 10)
+    assert low < E.RECALL and sparse == 0
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.repeat(rng.normal(size=(20, 16)), 2, axis=0) + rng.normal(size=(40, 16)) * 0.01)], "vec_id long, embedding array<double>")
+    none = spark.createDataFrame([], "a long, b long, s float")
+    monkeypatch.setattr(E, "_first_graph", lambda vectors, seeds: none)
+    monkeypatch.setattr(E, "REPAIRS", 1)
+    with pytest.raises(RuntimeError, match="recall 0.0000"):
+        E.near_duplicate_vectors(rows).collect()
