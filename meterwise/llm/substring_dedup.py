@@ -66,6 +66,14 @@ def _anchors(window: int):
     return run
 
 
+def _context(whole: np.ndarray, head: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit value of the windows of every run, in their order."""
+    place = np.arange(len(whole)) - np.repeat(head, n)
+    factor = np.array(MULT, np.uint64)
+    out = np.add.reduceat((whole ^ (whole >> np.uint64(32))) * factor[place % 64] * np.uint64(3) ** (place // 64).astype(np.uint64), head)
+    return out + n.astype(np.uint64) * np.uint64(MULT[9])
+
+
 def _sums(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """A 64-bit value of the whole window at each of some places."""
     out = np.zeros(len(at), np.uint64)
@@ -84,7 +92,7 @@ def _halves(both: str, high: str) -> list:
 
 
 def _runs_of(window: int, hot: np.ndarray, want_hot: bool):
-    """Runs of neighbouring windows with one anchor: (anchor, context, document, text, first window, windows).
+    """Runs of neighbouring windows with one anchor: (anchor, two contexts, document, text, first window, windows).
 
     Either those of the hot anchors, or all others.
     """
@@ -98,21 +106,18 @@ def _runs_of(window: int, hot: np.ndarray, want_hot: bool):
                     owner, at, low = owner[found], at[found], low[found]
                 if not len(low):
                     continue
-                whole = _sums(parts[2], at, window)
+                second = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in parts[1]), np.uint64, len(parts[1]))[parts[0]]
                 new = np.ones(len(at), bool)
                 new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
                 new[at % ((1 << LONGEST) - 1) == 0] = True
                 head = np.flatnonzero(new)
                 n = np.diff(np.append(head, len(at)))
-                place = np.arange(len(at)) - np.repeat(head, n)
-                factor = np.array(MULT, np.uint64)
-                context = np.add.reduceat((whole ^ (whole >> np.uint64(32))) * factor[place % 64] * np.uint64(3) ** (place // 64).astype(np.uint64), head)
-                context += n.astype(np.uint64) * np.uint64(MULT[9])
+                c1, c2 = (_context(_sums(x, at, window), head, n) for x in (parts[2], second))
                 who = owner[head]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(low[head].view(np.int64)), pa.array(_joined(context, ths[first + who])), pa.array(ids[first + who]),
+                    [pa.array(low[head].view(np.int64)), pa.array(c1.view(np.int64)), pa.array(_joined(c2, ths[first + who])), pa.array(ids[first + who]),
                      pa.array(((at[head] - parts[3][who]) << LONGEST) + n)],
-                    ["h", "ct", "did", "sn"])
+                    ["h", "c", "ct", "did", "sn"])
     return run
 
 
@@ -182,7 +187,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Seeds: of each window, the lowest of its short word runs is its anchor (winnowing), so two equal windows have
     equal anchors.  Documents are joined on the anchors that at least two of them hold.  Extension both ways: the
-    windows around one anchor are a run, compared whole by its hashes (80 bits and more); a run that an earlier document also has
+    windows around one anchor are a run, compared whole by 96 bits of two hashes beside the anchor; a run that an earlier document also has
     goes at once.  Only the first holders of different runs around one anchor are then compared window by window.
     Overlapping repeats merge to maximal ones.  No pairs of documents are made: anchors, runs and windows keep their
     smallest document, so a passage that a third of all documents share costs a row for each occurrence; the runs
@@ -203,18 +208,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # At most HOT anchors can each have over a HOT-th of all rows, so this set is small however large the corpus is.
     frequent = shared.where(F.col("n") > max(HOT_LEAST, total // HOT)).select("h").collect()
     hot = np.array(sorted(r[0] for r in frequent), np.int64).view(np.uint64)
-    schema = "h long, ct long, did long, sn long"
-    parts = ["h", "did", *_halves("ct", "c"), F.shiftright("sn", LONGEST).cast("int").alias("start"), F.col("sn").bitwiseAND((1 << LONGEST) - 1).cast("int").alias("n")]
+    schema = "h long, c long, ct long, did long, sn long"
+    parts = ["h", "did", "c", *_halves("ct", "d"), F.shiftright("sn", LONGEST).cast("int").alias("start"), F.col("sn").bitwiseAND((1 << LONGEST) - 1).cast("int").alias("n")]
     plain = keyed.mapInArrow(_runs_of(window, hot, False), schema).join(shared.select("h"), "h").select(*parts)
-    same, near = Window.partitionBy("h", "c"), Window.partitionBy("h")
+    same, near = Window.partitionBy("h", "c", "d"), Window.partitionBy("h")
     plain = plain.withColumn("first", F.min("did").over(same))
     plain = plain.withColumn("various", F.min("first").over(near) < F.max("first").over(near))
     lists = plain.select("did", "th", "start", "n", "first", "various")
     if len(hot):  # their runs are combined before the shuffle and joined back, which splits
         runs = keyed.mapInArrow(_runs_of(window, hot, True), schema).select(*parts)
-        contexts = cut(runs.groupBy("h", "c").agg(F.min("did").alias("first")))
+        contexts = cut(runs.groupBy("h", "c", "d").agg(F.min("did").alias("first")))
         various = contexts.groupBy("h").agg((F.min("first") < F.max("first")).alias("various"))
-        told = runs.join(contexts.join(various, "h"), ["h", "c"])
+        told = runs.join(contexts.join(various, "h"), ["h", "c", "d"])
         lists = lists.unionByName(told.select("did", "th", "start", "n", "first", "various"))
     lists = cut(lists.where("did > first or various").groupBy("did").agg(*_lists(F.col("did") > F.col("first"))))
     heads = lists.select("did", *[F.filter(F.arrays_zip("ths", "starts", "ns", "copies"), lambda x: ~x["copies"]).alias("r")])

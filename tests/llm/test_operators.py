@@ -297,3 +297,12 @@ def test_embedding_audit_is_by_vector_and_enforced(spark, monkeypatch):
     monkeypatch.setattr(E, "REPAIRS", 1)
     with pytest.raises(RuntimeError, match="recall 0.0000"):
         E.near_duplicate_vectors(rows).collect()
+
+
+def test_runs_with_half_a_context_hash_in_common_are_no_copies(spark):
+    from meterwise.llm.substring_dedup import dedup_substrings
+
+    # one anchor (the first four words), and contexts whose upper 32 bits agree
+    texts = ["w314 w166 w397 w846 w302 w316 w136 w975 w539 w923 w731 w456 w279", "w314 w166 w397 w846 w383 w998 w563 w278 w51 w326 w553 w897 w106"]
+    got = dedup_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_removed"], r["kept_text"]) for r in got} == {(i, 0, t) for i, t in enumerate(texts)}
