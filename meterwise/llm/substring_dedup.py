@@ -82,13 +82,9 @@ def _sums(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _joined(high: np.ndarray, th: np.ndarray) -> np.ndarray:
-    """The upper half of a hash and a text's 32-bit hash, as one long: a narrower row to shuffle."""
-    return ((high >> np.uint64(32) << np.uint64(32)) | th.view(np.uint32).astype(np.uint64)).view(np.int64)
-
-
-def _halves(both: str, high: str) -> list:
-    return [F.shiftright(both, 32).cast("int").alias(high), F.shiftright(F.shiftleft(both, 32), 32).cast("int").alias("th")]
+def _upper(x: np.ndarray) -> pa.Array:
+    """The upper half of a hash: a narrower row to shuffle."""
+    return pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
 def _runs_of(window: int, hot: np.ndarray, want_hot: bool):
@@ -115,9 +111,9 @@ def _runs_of(window: int, hot: np.ndarray, want_hot: bool):
                 c1, c2 = (_context(_sums(x, at, window), head, n) for x in (parts[2], second))
                 who = owner[head]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(low[head].view(np.int64)), pa.array(c1.view(np.int64)), pa.array(_joined(c2, ths[first + who])), pa.array(ids[first + who]),
+                    [pa.array(low[head].view(np.int64)), pa.array(c1.view(np.int64)), _upper(c2), pa.array(ids[first + who]), pa.array(ths[first + who]),
                      pa.array(((at[head] - parts[3][who]) << LONGEST) + n)],
-                    ["h", "c", "ct", "did", "sn"])
+                    ["h", "c", "d", "did", "th", "sn"])
     return run
 
 
@@ -126,6 +122,12 @@ def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def _places(sn: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """First windows and numbers of windows."""
+    sn = sn.to_numpy(zero_copy_only=False).astype(np.int64)
+    return sn >> LONGEST, sn & ((1 << LONGEST) - 1)
+
+
 def _whole(window: int):
     """Every window of some runs, as a 96-bit value with its document and place."""
     def run(batches):
@@ -134,18 +136,16 @@ def _whole(window: int):
             for first, texts in slices(batch.column(2)):
                 offsets, codes, words = word_codes(texts)
                 h1, h2 = (np.fromiter((xxhash.xxh64_intdigest(w, s) for w in words), np.uint64, len(words))[codes] for s in (7, 11))
-                lists = [batch.column(i).slice(first, len(texts)) for i in (3, 4, 5)]
-                of = np.repeat(np.arange(len(texts)), lists[0].value_lengths().to_numpy(zero_copy_only=False))
-                rth, start, n = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
-                mine = rth == ths[first + of]  # two texts under one id have their own runs
-                of, start, n = of[mine], start[mine].astype(np.int64), n[mine].astype(np.int64)
+                lists = batch.column(3).slice(first, len(texts))
+                of = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                start, n = _places(lists.flatten())
                 if not len(of):
                     continue
                 at, who = _spread(start + offsets[of], n), np.repeat(of, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_sums(h1, at, window).view(np.int64)), pa.array(_joined(_sums(h2, at, window), ths[first + who])),
-                     pa.array(ids[first + who]), pa.array((at - offsets[who]).astype(np.int32))],
-                    ["w1", "wt", "did", "start"])
+                    [pa.array(_sums(h1, at, window).view(np.int64)), _upper(_sums(h2, at, window)),
+                     pa.array(ids[first + who]), pa.array(ths[first + who]), pa.array(((at - offsets[who]) << LONGEST) + 1)],
+                    ["w1", "w2", "did", "th", "sn"])
     return run
 
 
@@ -154,15 +154,14 @@ def _cover(window: int):
         for batch in batches:
             ids = [None if x == NO_ID else x for x in batch.column(0).to_pylist()]
             n_words, n_gone, spans, kept = [], [], [], []
-            for th, text, ths, starts, n in zip(*(batch.column(i) for i in range(1, 6))):
+            for text, runs in zip(batch.column(1), batch.column(2)):
                 words = (text.as_py() or "").encode().split()
                 n_words.append(len(words))
-                mine = ths.values.to_numpy(zero_copy_only=False) == th.as_py() if ths.is_valid else np.zeros(0, bool)
-                if mine.any():
+                if runs.is_valid and len(runs):
                     step = np.zeros(len(words) + 1, np.int64)
-                    at = starts.values.to_numpy(zero_copy_only=False)[mine]
+                    at, n = _places(runs.values)
                     np.add.at(step, at, 1)
-                    np.add.at(step, at + n.values.to_numpy(zero_copy_only=False)[mine] + window - 1, -1)
+                    np.add.at(step, at + n + window - 1, -1)
                     gone = np.cumsum(step[:-1]) > 0
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                     spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
@@ -200,7 +199,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if window <= SEED_WORDS or window > 40:
         raise ValueError(f"window must be {SEED_WORDS + 1} to 40 words")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.col(text_col).alias("text"))
-    keyed = rows.select("did", F.hash(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    keyed = rows.select("did", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     anchors = rows.mapInArrow(_anchors(window), "h long, did long")
     shared = cut(anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b"), F.count(F.lit(1)).alias("n"))
                  .where("a < b").select("h", "n"))
@@ -208,38 +207,30 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # At most HOT anchors can each have over a HOT-th of all rows, so this set is small however large the corpus is.
     frequent = shared.where(F.col("n") > max(HOT_LEAST, total // HOT)).select("h").collect()
     hot = np.array(sorted(r[0] for r in frequent), np.int64).view(np.uint64)
-    schema = "h long, c long, ct long, did long, sn long"
-    parts = ["h", "did", "c", *_halves("ct", "d"), F.shiftright("sn", LONGEST).cast("int").alias("start"), F.col("sn").bitwiseAND((1 << LONGEST) - 1).cast("int").alias("n")]
-    plain = keyed.mapInArrow(_runs_of(window, hot, False), schema).join(shared.select("h"), "h").select(*parts)
+    schema = "h long, c long, d int, did long, th long, sn long"
+    plain = keyed.mapInArrow(_runs_of(window, hot, False), schema).join(shared.select("h"), "h")
     same, near = Window.partitionBy("h", "c", "d"), Window.partitionBy("h")
     plain = plain.withColumn("first", F.min("did").over(same))
     plain = plain.withColumn("various", F.min("first").over(near) < F.max("first").over(near))
-    lists = plain.select("did", "th", "start", "n", "first", "various")
+    lists = plain.select("did", "th", "sn", "first", "various")
     if len(hot):  # their runs are combined before the shuffle and joined back, which splits
-        runs = keyed.mapInArrow(_runs_of(window, hot, True), schema).select(*parts)
+        runs = keyed.mapInArrow(_runs_of(window, hot, True), schema)
         contexts = cut(runs.groupBy("h", "c", "d").agg(F.min("did").alias("first")))
         various = contexts.groupBy("h").agg((F.min("first") < F.max("first")).alias("various"))
         told = runs.join(contexts.join(various, "h"), ["h", "c", "d"])
-        lists = lists.unionByName(told.select("did", "th", "start", "n", "first", "various"))
-    lists = cut(lists.where("did > first or various").groupBy("did").agg(*_lists(F.col("did") > F.col("first"))))
-    heads = lists.select("did", *[F.filter(F.arrays_zip("ths", "starts", "ns", "copies"), lambda x: ~x["copies"]).alias("r")])
-    heads = heads.where(F.size("r") > 0).select("did", F.col("r.ths").alias("ths"), F.col("r.starts").alias("starts"), F.col("r.ns").alias("ns"))
-    windows = (keyed.join(heads, "did").select("did", "th", "text", "ths", "starts", "ns")
-               .mapInArrow(_whole(window), "w1 long, wt long, did long, start int"))
-    whole = windows.select("w1", "did", "start", *_halves("wt", "w2"))
-    firsts = (whole.groupBy("w1", "w2").agg(F.min("did").alias("first"), F.max("did").alias("last"))
-              .where("first < last").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "first"))
-    same = (windows["w1"] == firsts["v1"]) & (F.shiftright(windows["wt"], 32).cast("int") == firsts["v2"])
-    extended = windows.join(firsts, same).where("did > first").select("did", _halves("wt", "w2")[1], "start", F.lit(1).alias("n"))
-    copied = lists.select("did", F.explode(F.arrays_zip("ths", "starts", "ns", "copies")).alias("r")).where("r.copies")
-    copied = copied.select("did", F.col("r.ths").alias("th"), F.col("r.starts").alias("start"), F.col("r.ns").alias("n"))
-    hits = copied.union(extended).groupBy("did").agg(*_lists(F.lit(True)))
-    return (keyed.join(hits, "did", "left").select("did", "th", "text", "ths", "starts", "ns")
+        lists = lists.unionByName(told.select("did", "th", "sn", "first", "various"))
+    # one list for each text of an id, a set: repeated rows bring nothing new, and neither does another text without an id
+    lists = cut(lists.where("did > first or various").groupBy("did", "th")
+                .agg(F.collect_set(F.when(F.col("did") > F.col("first"), F.col("sn"))).alias("copied"),
+                     F.collect_set(F.when(F.col("did") <= F.col("first"), F.col("sn"))).alias("heads")))
+    heads = lists.where(F.size("heads") > 0).select("did", "th", "heads")
+    windows = (keyed.join(heads, ["did", "th"]).select("did", "th", "text", "heads")
+               .mapInArrow(_whole(window), "w1 long, w2 int, did long, th long, sn long"))
+    firsts = (windows.groupBy("w1", "w2").agg(F.min("did").alias("first"), F.max("did").alias("last"))
+              .where("first < last").select("w1", "w2", "first"))
+    extended = windows.join(firsts, ["w1", "w2"]).where("did > first").select("did", "th", "sn")
+    copied = lists.select("did", "th", F.explode("copied").alias("sn"))
+    hits = copied.union(extended).groupBy("did", "th").agg(F.collect_set("sn").alias("runs"))
+    return (keyed.join(hits, ["did", "th"], "left").select("did", "text", "runs")
             .mapInArrow(_cover(window), "doc_id long, n_words long, n_removed long, "
                                         "spans array<struct<start:int,end:int>>, kept_text string"))
-
-
-def _lists(copies) -> list:
-    """Runs of one document as lists in one order; ``copies``: an earlier document has the whole run."""
-    return [F.collect_list("th").alias("ths"), F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"),
-            F.collect_list(copies).alias("copies")]

@@ -306,3 +306,15 @@ def test_runs_with_half_a_context_hash_in_common_are_no_copies(spark):
     texts = ["w314 w166 w397 w846 w302 w316 w136 w975 w539 w923 w731 w456 w279", "w314 w166 w397 w846 w383 w998 w563 w278 w51 w326 w553 w897 w106"]
     got = dedup_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["n_removed"], r["kept_text"]) for r in got} == {(i, 0, t) for i, t in enumerate(texts)}
+
+
+def test_texts_without_id_keep_their_own_runs(spark):
+    from meterwise.llm.substring_dedup import dedup_substrings
+
+    # two texts without an id whose 32-bit hashes are equal; an earlier document has the first one's passage
+    p, q = (" ".join(f"{x}{i}" for i in range(13)) for x in "pq")
+    rows = [(1, p), (None, f"{p} 185754"), (None, f"{q} 893"), (None, f"{p} 185754")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert docs.selectExpr("hash(text)").distinct().count() == 2
+    got = Counter((r["doc_id"], r["n_removed"], r["kept_text"]) for r in dedup_substrings(docs).collect())
+    assert got == Counter([(1, 0, p), (None, 13, "185754"), (None, 13, "185754"), (None, 0, f"{q} 893")])
