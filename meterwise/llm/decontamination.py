@@ -17,6 +17,7 @@ RETRIEVE = 0.5  # of an item's score against itself
 OVERLAP, PART = 0.8, 0.5  # five-word shingles an item must share in all, and its question and its answer each
 SHINGLE = 5
 BLOCK = 32  # postings under one block maximum
+CELLS = 4 << 20  # words of passages that are sorted at once
 INDEX_BYTES = 8 << 20  # item text that one index holds; a larger benchmark becomes several
 WORD = re.compile(r"[^\W_]+")
 
@@ -82,7 +83,7 @@ class ItemIndex:
                 held = now
         self.held = held  # what the common terms can add to each item at most
         self.common = float(held.max()) if len(held) else 0.0
-        self.passage = int(min(2048, max(64, 2 * self.longest)))  # words; half of it is the step, so an item is whole in one
+        self.passage = int(max(64, 2 * self.longest))  # words; half of it is the step, so an item is whole in one
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """Items over the threshold for a passage's distinct terms, by block-max WAND."""
@@ -146,9 +147,11 @@ class ItemIndex:
     def _distinct_gain(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Sum of the rare terms' maxima in each passage, a repeated term once."""
         gain, out = np.where(self.rare, self.term_max, 0), []
-        for k in range(0, len(a), 2048):
-            at = a[k:k + 2048, None] + np.arange(self.passage)
-            terms = np.where(at < b[k:k + 2048, None], ids[np.minimum(at, len(ids) - 1)], 0)
+        wide = int((b - a).max(initial=1))
+        some = max(1, min(2048, CELLS // wide))
+        for k in range(0, len(a), some):
+            at = a[k:k + some, None] + np.arange(wide)
+            terms = np.where(at < b[k:k + some, None], ids[np.minimum(at, len(ids) - 1)], 0)
             terms.sort(axis=1)
             each = gain[terms]
             each[:, 1:][terms[:, 1:] == terms[:, :-1]] = 0

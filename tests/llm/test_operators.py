@@ -318,3 +318,16 @@ def test_texts_without_id_keep_their_own_runs(spark):
     assert docs.selectExpr("hash(text)").distinct().count() == 2
     got = Counter((r["doc_id"], r["n_removed"], r["kept_text"]) for r in dedup_substrings(docs).collect())
     assert got == Counter([(1, 0, p), (None, 13, "185754"), (None, 13, "185754"), (None, 0, f"{q} 893")])
+
+
+@pytest.mark.parametrize("size", [1100, 1600, 3000])
+def test_long_benchmark_items_are_found_at_every_offset(size):
+    import pyarrow as pa
+
+    from meterwise.llm.decontamination import ItemIndex
+
+    item = " ".join(f"i{k}" for k in range(size - 20)) + "? " + " ".join(f"a{k}" for k in range(20))
+    index = ItemIndex([(7, item), (8, "a short item? yes it is")])
+    offsets = range(0, 2 * size, 97)
+    texts = [" ".join(f"d{k}" for k in range(at)) + f" {item} " + " ".join(f"e{k}" for k in range(500)) for at in offsets]
+    assert [(text, k) for text, k, *_ in index.matches(pa.array(texts))] == [(n, 0) for n in range(len(texts))]
