@@ -79,8 +79,9 @@ def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
     documents that want the same gap are told apart by rank: the document of rank i takes the gap of rank
     i + min(G(l) - D(l)) over its own and smaller lengths l of the class (G and D: gaps and documents of at least l),
     which is the tightest gap that leaves one for every smaller document.  The largest documents beyond the number
-    of gaps wait.  Gaps are updated and the round repeats until no gap holds a document of the class; what is left
-    opens new sequences, in runs of as many neighbours as fit.  A gap that holds several documents of the class
+    of gaps wait.  Gaps are updated and the round repeats until no gap holds a document of the class; then the largest
+    (those of which equally many fit into a sequence, or up to an eighth more) open new sequences, in runs of as many
+    neighbours as fit, and the others are matched again.  A gap that holds several documents of the class
     offers that many seats at once.
 
     The number of rounds depends on ``capacity`` and not on the rows; every round is one keyed join of ranks.
@@ -128,9 +129,10 @@ def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
                     turn += 1
                     hi = lo + wait
                     continue
-            # no gap holds any: neighbours open new sequences, floor(capacity / length) of them in each
+            # no gap holds any: the largest open new sequences, floor(capacity / length) neighbours in each
             runs, start = [], lo
-            for fit in sorted({capacity // int(s) for s in sizes[D[sizes] > lo]}):
+            fitting = sorted({capacity // int(s) for s in sizes[D[sizes] > lo]})
+            for fit in [f for f in fitting if f <= fitting[0] + fitting[0] // 8]:
                 same = [int(s) for s in sizes if capacity // int(s) == fit]
                 stop = min(hi, int(D[min(same)]))
                 if stop > start:
@@ -139,13 +141,13 @@ def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
                     start = stop
             which = spark.createDataFrame(runs, "a long, b long, fit long, first long")
             fits = (F.lit(capacity) / F.col("size")).cast("long")
-            docs = order.where((F.col("rank") >= lo) & (F.col("rank") < hi)).withColumn("fit", fits).join(which, "fit")
+            docs = order.where((F.col("rank") >= lo) & (F.col("rank") < start)).withColumn("fit", fits).join(which, "fit")
             done = cut(docs.select("uid", "length", (F.col("first") + F.floor((F.col("rank") - F.col("a")) / F.col("fit"))).alias("sequence_id"), F.lit(turn).alias("turn")))
             placed.append(done)
             new = done.groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("gap")).where("gap > 0")
             gaps = cut(new if gaps is None else gaps.unionByName(new))
             turn += 1
-            lo = hi
+            lo = start  # the others are matched with the new gaps first
     everything = placed[0]
     for p in placed[1:]:
         everything = everything.unionByName(p)

@@ -331,3 +331,25 @@ def test_long_benchmark_items_are_found_at_every_offset(size):
     offsets = range(0, 2 * size, 97)
     texts = [" ".join(f"d{k}" for k in range(at)) + f" {item} " + " ".join(f"e{k}" for k in range(500)) for at in offsets]
     assert [(text, k) for text, k, *_ in index.matches(pa.array(texts))] == [(n, 0) for n in range(len(texts))]
+
+
+@pytest.mark.parametrize("low, high", [(1025, 1600), (1025, 2048), (513, 1024)])
+def test_smaller_documents_of_a_class_fill_the_gaps_of_its_larger_ones(spark, low, high):
+    from bisect import bisect_left, insort
+
+    from meterwise.llm.packing import best_fit
+
+    lengths = np.random.default_rng(1).integers(low, high + 1, 8000).tolist()
+    gaps, n = [], 0  # best-fit-decreasing
+    for length in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, length)
+        n += at == len(gaps)
+        gap = gaps.pop(at) if at < len(gaps) else 4096
+        if gap > length:
+            insort(gaps, gap - length)
+    packed = best_fit(spark.createDataFrame([(x,) for x in lengths], "length long")).collect()
+    load = Counter()
+    for r in packed:
+        load[r["sequence_id"]] += r["length"]
+    assert sorted(r["length"] for r in packed) == sorted(lengths) and max(load.values()) <= 4096
+    assert len(load) <= 1.01 * n
