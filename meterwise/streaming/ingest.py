@@ -1,59 +1,51 @@
-"""Push ingest as Structured Streaming (A-T5): landing JSON -> foreachBatch(meter and rate).
+"""Push ingest as Structured Streaming (A-T5): landing JSON -> de-duplication -> foreachBatch(meter and rate).
 
-Each micro-batch runs the batch operators of :mod:`meterwise.plans.metering_job`,
-seeded with the state the previous batch left (checkpoints, quota rows), and writes:
+Snapshots that arrive again within the overlap are dropped by the stream itself (A-T4: event-time watermark and
+``dropDuplicatesWithinWatermark``, whose state does not grow with history).  Each micro-batch then runs the batch
+operators of :mod:`meterwise.plans.metering_job`, seeded with the state that earlier batches left, and writes:
 
 * ``rated/batch_id=N`` -- the rated minutes, from which the ledger, buckets and quota rows are read;
-* ``ledger/batch_id=N`` -- ledger rows.  Replayed samples are late and give none.  More
-  usage of a minute that an earlier batch has charged gets a row of its own, under an id
-  made from the minute's id and the batch, so seed + sum(ledger) = balance;
+* ``ledger/batch_id=N`` -- ledger rows.  Replayed samples give none.  More usage of a minute that an earlier batch
+  has charged gets a row of its own, under an id made from the minute's id and the batch, so
+  seed + sum(ledger) = balance;
 * ``buckets/batch_id=N`` -- the batch's share of its minute buckets (:func:`current_buckets` adds them up);
 * ``quarantine/batch_id=N`` -- rejected entries and lines that are no JSON, with the reason;
-* ``late/batch_id=N`` -- samples at or before their checkpoint;
-* ``checkpoints/batch_id=N`` and ``quota_states/batch_id=N`` -- full state after N.
+* ``late/batch_id=N`` -- samples of snapshots older than the watermark, and samples at or before their checkpoint;
+* ``state/`` -- checkpoints and quota rows, as a :class:`~meterwise.streaming.statelog.StateLog`: a batch writes the
+  rows that it changed and reads those of the keys that it touches.
 
-Every output is a partition named by the micro-batch id and written with overwrite,
-so a retried batch replaces exactly its own files (the batch id is the retry unit)
-and earlier state is never rewritten in place.  The stream's own progress lives in
-``checkpointLocation``; all paths are expected on shared storage.
+Every output is a partition named by the micro-batch id and written with overwrite, so a retried batch replaces
+exactly its own files (the batch id is the retry unit); the state's pointer is written last.  The stream's own
+progress lives in ``checkpointLocation``; all paths are expected on shared storage.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterwise.config import REJECT_EXCERPT_LIMIT, RatingConfig
+from meterwise.config import REJECT_EXCERPT_LIMIT, SOURCE_WINDOW_OVERLAP_SECONDS, RatingConfig
 from meterwise.functions.ids import uuid5_oid
 from meterwise.functions.text import excerpt
-from meterwise.operators import rating, upsert
-from meterwise.plans.metering_job import meter_inbound
+from meterwise.operators import metering, rating
+from meterwise.plans.metering_job import meter_samples
+from meterwise.session import materialize
 from meterwise.sources.snapshots import REASON_MALFORMED, SNAPSHOT_SCHEMA, flatten
+from meterwise.streaming.statelog import StateLog
 
 CORRUPT = "_corrupt_record"
+ROUTE = "__route"  # "kept": passed the stream's de-duplication; "raw": as it arrived
+STATE_KEYS = {"checkpoints": ["node_id", "account_uuid"], "quota_states": ["account_uuid"]}
 
 
-def _earlier(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
-    """What batches before ``before_batch`` wrote to ``path``; None if nothing was ever written there."""
-    try:
-        return spark.read.parquet(path).filter(F.col("batch_id") < before_batch)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def state_log(spark: SparkSession, out_dir: str, **options) -> StateLog:
+    return StateLog(spark, f"{out_dir.rstrip('/')}/state", STATE_KEYS, **options)
 
 
-def latest_state(spark: SparkSession, root: str, name: str, before_batch: int) -> DataFrame | None:
-    """The state table ``name`` as written by the last batch before ``before_batch``."""
-    df = _earlier(spark, f"{root}/{name}", before_batch)
-    if df is None:
-        return None
-    last = df.agg(F.max("batch_id")).first()[0]  # one scalar
-    if last is None:
-        return None
-    return df.filter(F.col("batch_id") == last).drop("batch_id")
+def current_state(spark: SparkSession, out_dir: str, name: str) -> DataFrame | None:
+    """The state table ``name`` after the last committed batch."""
+    return state_log(spark, out_dir).read(name, 2**62)
 
 
 def current_buckets(spark: SparkSession, root: str) -> DataFrame:
@@ -67,52 +59,76 @@ def current_buckets(spark: SparkSession, root: str) -> DataFrame:
 class MeteringBatchWriter:
     """``foreachBatch`` function: meter, rate and persist one micro-batch."""
 
-    def __init__(self, out_dir: str, profiles: DataFrame | None = None, cfg: RatingConfig = RatingConfig()):
+    def __init__(self, out_dir: str, profiles: DataFrame | None = None, cfg: RatingConfig = RatingConfig(),
+                 overlap_seconds: int = SOURCE_WINDOW_OVERLAP_SECONDS, buckets: int = 8, compact_every: int = 16):
         self.out = out_dir.rstrip("/")
         self.profiles = profiles
         self.cfg = cfg
+        self.overlap = overlap_seconds
+        self.options = {"buckets": buckets, "compact_every": compact_every}
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ck = latest_state(spark, self.out, "checkpoints", batch_id)
-        qs = latest_state(spark, self.out, "quota_states", batch_id)
-        snapshots = batch.filter(F.col(CORRUPT).isNull()).drop(CORRUPT) if CORRUPT in batch.columns else batch
-        r = meter_inbound(flatten(snapshots), self.profiles, qs, ck, self.cfg)
-
-        rejects = r.quarantine.select(
+        log = state_log(spark, self.out, **self.options)
+        mark = log.pointer(batch_id).get("watermark_us")
+        if ROUTE in batch.columns:
+            batch = materialize(batch)
+            raw = batch.filter(F.col(ROUTE) == "raw").drop(ROUTE)
+            kept = batch.filter(F.col(ROUTE) == "kept").drop(ROUTE)
+        else:  # without the stream's de-duplication
+            raw = kept = batch
+        if CORRUPT not in raw.columns:
+            raw, kept = (x.withColumn(CORRUPT, F.lit(None).cast("string")) for x in (raw, kept))
+        well = F.col(CORRUPT).isNull()
+
+        refused, _ = _split(flatten(raw.filter(well).drop(CORRUPT)))
+        rejects = refused.select(
             "collected_at", "node_id", "env", "pos", "uuid", "reject_reason", F.lit(None).cast("string").alias("excerpt")
-        )
-        if CORRUPT in batch.columns:
-            rejects = rejects.unionByName(batch.filter(F.col(CORRUPT).isNotNull()).select(
-                F.col("collected_at").cast("timestamp_ntz").alias("collected_at"), "node_id", "env",
-                F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("uuid"),
-                F.lit(REASON_MALFORMED).alias("reject_reason"), excerpt(F.col(CORRUPT), REJECT_EXCERPT_LIMIT).alias("excerpt"),
-            ))
+        ).unionByName(raw.filter(~well).select(
+            F.col("collected_at").cast("timestamp_ntz").alias("collected_at"), "node_id", "env",
+            F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("uuid"),
+            F.lit(REASON_MALFORMED).alias("reject_reason"), excerpt(F.col(CORRUPT), REJECT_EXCERPT_LIMIT).alias("excerpt"),
+        ))
         self._write(rejects, "quarantine", batch_id)
-        self._write(r.deltas.filter("is_late"), "late", batch_id)
+
+        _, good = _split(flatten(kept.filter(well).drop(CORRUPT)))
+        samples = materialize(metering.aggregate_inbounds(good))
+        nodes = samples.select(F.col("storage_node_id").alias("node_id"), "account_uuid")
+        ck = log.read("checkpoints", batch_id, touched=nodes)
+        qs = log.read("quota_states", batch_id, touched=samples)
+        seeds = ck.drop("last_charged_at") if ck is not None else None
+        r = meter_samples(samples, self.profiles, qs, seeds, self.cfg)
+
+        late = r.deltas.filter("is_late").select(*samples.columns, F.lit("checkpoint").alias("late_reason"))
+        if mark is not None and ROUTE in batch.columns:  # the stream dropped what is not after its watermark
+            old = raw.filter(well & (F.unix_micros("collected_at") <= mark)).drop(CORRUPT)
+            _, old = _split(flatten(old))
+            late = late.unionByName(metering.aggregate_inbounds(old).select(*samples.columns, F.lit("watermark").alias("late_reason")))
+        self._write(late, "late", batch_id)
+
         rated = self._write(r.rated, "rated", batch_id)
         ledger = rating.ledger_rows(rated)
-        earlier = _earlier(spark, f"{self.out}/ledger", batch_id)
-        if earlier is not None:
-            start = rated.agg(F.min("bucket_start")).first()[0]  # one scalar; bounds the read of earlier rows
-            if start is not None:
-                earlier = earlier.filter(F.col("bucket_start") >= F.lit(start).cast("timestamp_ntz"))
-            charged = earlier.select("id", F.lit(True).alias("charged")).distinct()
+        if ck is not None:
+            charged = ck.select("node_id", "account_uuid", F.col("last_charged_at").alias("charged_at"))
+            before = rated.select("id", "node_id", "account_uuid").join(charged, ["node_id", "account_uuid"]).select("id", "charged_at")
             again = uuid5_oid(F.concat_ws("|", "id", F.lit(str(batch_id))))
-            ledger = ledger.join(charged, "id", "left").withColumn("id", F.when(F.col("charged"), again).otherwise(F.col("id")))
-            ledger = ledger.drop("charged")
+            own = F.when(F.col("bucket_start") <= F.col("charged_at"), again).otherwise(F.col("id"))
+            ledger = ledger.join(before, "id", "left").withColumn("id", own).drop("charged_at")
         self._write(ledger, "ledger", batch_id)
         self._write(rating.bucket_rows(rated), "buckets", batch_id)
 
-        new_ck = r.checkpoints
+        charges = rated.groupBy("node_id", "account_uuid").agg(F.max("bucket_start").alias("new_charged"))
+        new_ck = r.checkpoints.join(charges, ["node_id", "account_uuid"], "left")
         if ck is not None:
-            new_ck = upsert.keyed_upsert(ck, new_ck, ["node_id", "account_uuid"])
-        self._write(new_ck, "checkpoints", batch_id)
-
-        new_qs = rating.final_quota_states(rated)
-        if qs is not None:
-            new_qs = upsert.keyed_upsert(qs, new_qs, ["account_uuid"])
-        self._write(new_qs, "quota_states", batch_id)
+            new_ck = new_ck.join(ck.select("node_id", "account_uuid", F.col("last_charged_at").alias("old_charged")), ["node_id", "account_uuid"], "left")
+        else:
+            new_ck = new_ck.withColumn("old_charged", F.lit(None).cast("timestamp_ntz"))
+        new_ck = new_ck.withColumn("last_charged_at", F.coalesce("new_charged", "old_charged")).drop("new_charged", "old_charged")
+        log.write("checkpoints", new_ck, batch_id)
+        log.write("quota_states", rating.final_quota_states(rated), batch_id)
+        newest = raw.filter(well).agg(F.max(F.unix_micros("collected_at"))).first()[0]  # one scalar
+        marks = [m for m in (mark, None if newest is None else newest - self.overlap * 1_000_000) if m is not None]
+        log.commit(batch_id, watermark_us=max(marks) if marks else None)
 
     def _write(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
         path = f"{self.out}/{name}/batch_id={batch_id}"
@@ -120,6 +136,27 @@ class MeteringBatchWriter:
         return df.sparkSession.read.parquet(path)
 
 
+def _split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    good, bad = metering.validate_samples(entries)
+    return bad, good
+
+
+def deduplicated(snapshots: DataFrame, overlap_seconds: int = SOURCE_WINDOW_OVERLAP_SECONDS) -> DataFrame:
+    """A-T4 in a stream: snapshots whose equal came within the overlap are dropped, and so are those that are older
+    than the newest one by more than the overlap.  The state holds the snapshots of twice the overlap at most."""
+    seen = snapshots.withColumn("__body", F.xxhash64(F.to_json("samples"))).withColumn("__body2", F.xxhash64(F.lit(1), F.to_json("samples")))
+    return (seen.withWatermark("collected_at", f"{overlap_seconds} seconds")
+            .dropDuplicatesWithinWatermark(["collected_at", "node_id", "env", "__body", "__body2"]).drop("__body", "__body2"))
+
+
+def landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Snapshots of a landing folder; a line that is no JSON has only its text in ``CORRUPT``."""
+    reader = spark.readStream.schema(T.StructType([*SNAPSHOT_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())]))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    return reader.json(landing_dir)
+
+
 def start_metering_stream(
     spark: SparkSession,
     landing_dir: str,
@@ -129,14 +166,19 @@ def start_metering_stream(
     cfg: RatingConfig = RatingConfig(),
     max_files_per_trigger: int | None = None,
     available_now: bool = True,
+    overlap_seconds: int = SOURCE_WINDOW_OVERLAP_SECONDS,
+    compact_every: int = 16,
 ):
-    """Start the ingest stream over a landing folder of snapshot JSON files."""
-    reader = spark.readStream.schema(T.StructType([*SNAPSHOT_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())]))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    stream = reader.json(landing_dir)
-    writer = stream.writeStream.foreachBatch(MeteringBatchWriter(out_dir, profiles, cfg)).option(
-        "checkpointLocation", checkpoint_location
-    )
+    """Start the ingest stream over a landing folder of snapshot JSON files.
+
+    A micro-batch holds each snapshot as it arrived and, if the de-duplication lets it pass, once more: so nothing that
+    the watermark drops is lost from sight.
+    """
+    raw = landing_stream(spark, landing_dir, max_files_per_trigger)
+    valid = raw.filter(F.col(CORRUPT).isNull() & F.col("collected_at").isNotNull())
+    stream = deduplicated(valid, overlap_seconds).withColumn(ROUTE, F.lit("kept")).unionByName(raw.withColumn(ROUTE, F.lit("raw")))
+    writer = stream.writeStream.foreachBatch(
+        MeteringBatchWriter(out_dir, profiles, cfg, overlap_seconds, compact_every=compact_every)
+    ).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="60 seconds")
     return writer.start()
