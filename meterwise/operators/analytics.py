@@ -186,3 +186,56 @@ def streaks(series: DataFrame, key: Sequence[str], factor: float, min_days: int)
         F.sum("cost").cast(MONEY).alias("cost"),
     )
     return runs.filter(F.col("days") >= min_days).drop("__run")
+
+
+# ------------------------------------------------------------------ price book by scope, cost by grain
+GLOBAL = "global"
+
+
+def price_asof_scoped(usage: DataFrame, book: DataFrame, time_col: str = "day") -> DataFrame:
+    """B-21 by region and currency: the price version of the usage's own region in force at its time, else that of
+    ``global``; prices of another currency never apply.
+
+    ``usage``: ``service_name, region, currency``, the time and a quantity, one row per key; ``book``: ``service_name, region,
+    currency, effective_from, unit_price``.  A version holds until the next of its scope (of two with one date, the dearest).
+    A usage row asks for at most two scopes, each an equi-join with a date range.
+    """
+    scope = ["service_name", "region", "currency"]
+    w = Window.partitionBy(*scope).orderBy("effective_from", "unit_price")
+    b = book.select(F.col("service_name"), F.col("region").alias("__scope"), "currency", "unit_price", F.col("effective_from").alias("__from"),
+                    F.lead("effective_from").over(w).alias("__until"))
+    asked = usage.withColumn("__scope", F.explode(F.array_distinct(F.array(F.coalesce("region", F.lit(GLOBAL)), F.lit(GLOBAL)))))
+    at = F.col(time_col)
+    found = asked.join(b, ["service_name", "currency", "__scope"]).filter((F.col("__from") <= at) & (F.col("__until").isNull() | (at < F.col("__until"))))
+    key = [*scope, time_col]
+    best = found.groupBy(*key).agg(F.min_by(
+        F.struct(F.col("__scope").alias("s"), F.col("__from").alias("f"), F.col("unit_price").alias("p")), F.when(F.col("__scope") == GLOBAL, 1).otherwise(0)).alias("__b"))
+    named = best.withColumnsRenamed({k: f"__r_{k}" for k in key})
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in key]
+    return usage.join(named, same[0] & same[1] & same[2] & same[3], "left").select(*usage.columns, F.col("__b.s").alias("price_scope"), F.col("__b.f").alias("price_effective_from"),
+                    F.col("__b.p").alias("unit_price"), F.col("__b.p").isNotNull().alias("priced"))
+
+
+def cost_grains(lines: DataFrame, dims: Sequence[str], time_col: str = "usage_start_time", amount_col: str = "amount") -> DataFrame:
+    """B-24: ``grain, period, dims, cost, lines, adds_up`` for hours, days, months and the whole, from one read.
+
+    Lines are summed by hour first (combined map-side); the coarser grains are grouping sets over those sums.  ``adds_up``:
+    the grain's periods sum to the whole of their dimensions.
+    """
+    at = F.col(time_col)
+    hours = lines.groupBy(*dims, F.date_trunc("hour", at).cast("timestamp_ntz").alias("hour")).agg(
+        F.sum(F.col(amount_col).cast("decimal(38,12)")).alias("cost"), F.count(F.lit(1)).alias("lines"))
+    starts = {g: F.date_trunc(g, "hour").cast("timestamp_ntz") for g in ("day", "month")}
+    hours = hours.withColumns(starts)
+    d = [F.col(c) for c in dims]
+    sets = hours.groupingSets([[*d, F.col(g)] for g in ("hour", "day", "month")] + [d], *d, "hour", "day", "month").agg(
+        F.sum("cost").alias("cost"), F.sum("lines").cast("long").alias("lines"),
+        F.grouping("hour").alias("no_hour"), F.grouping("day").alias("no_day"), F.grouping("month").alias("no_month"))
+    grain = F.when(F.col("no_hour") == 0, "hour").when(F.col("no_day") == 0, "day").when(F.col("no_month") == 0, "month").otherwise("all")
+    period = F.coalesce("hour", "day", "month")
+    x = sets.select(grain.alias("grain"), period.alias("period"), *dims, "cost", "lines")
+    # one row per hour of history and dimension at most, whatever the number of lines
+    mine, all_ = Window.partitionBy("grain", *dims), Window.partitionBy(*dims)
+    whole = {c: F.max(F.when(F.col("grain") == "all", F.col(c))).over(all_) for c in ("cost", "lines")}
+    good = (F.sum("cost").over(mine) == whole["cost"]) & (F.sum("lines").over(mine) == whole["lines"])
+    return x.withColumn("adds_up", good).select("grain", "period", *dims, F.col("cost").cast(MONEY).alias("cost"), "lines", "adds_up")

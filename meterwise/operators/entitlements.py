@@ -55,13 +55,15 @@ def sync_entitlements(
 
     * the latest ``subscription_updated`` names the plan, a later ``subscription_deleted`` puts the account on
       ``free_plan``; without either the account keeps what it had (null plan);
-    * a paid invoice refills the included quota to the plan's and clears arrears, throttling and suspension;
+    * a paid invoice that is later than the row's ``entitled_at`` refills the included quota to the plan's and clears
+      arrears, throttling and suspension, and becomes its ``entitled_at``: a second run over the same events, or over
+      more without a payment, leaves what has been used since as it is;
     * failed payments after it set arrears; from ``throttle_after`` on the account is throttled, from
       ``suspend_after`` on suspended (a state is raised, never lowered).
 
     ``events``: ``event_id, account_id, occurred_at, event_type, plan_id``; replays of an event change nothing.
     ``plans``: ``plan_id, plan_quota_bytes, plan_price_per_byte`` (a price list).  ``states``: stored quota rows,
-    one per ``account_uuid``.
+    one per ``account_uuid``; without an ``entitled_at`` no payment has been applied yet.
     """
     kind = F.col("event_type")
     plan = F.when(kind == "subscription_updated", F.col("plan_id")).when(kind == "subscription_deleted", F.lit(free_plan))
@@ -71,9 +73,11 @@ def sync_entitlements(
     subscribed = subscribed.select("account_id", F.col("s.plan_id").alias("plan_id"))
     dunning = failures_since_paid(events.dropDuplicates(["event_id"]))
     accounts = subscribed.join(dunning, "account_id").join(plans, "plan_id", "left").withColumn("account_uuid", account_uuid)
+    if "entitled_at" not in states.columns:
+        states = states.withColumn("entitled_at", F.lit(None).cast("timestamp_ntz"))
     j = states.join(accounts, "account_uuid", "left")
 
-    paid = F.col("last_paid_at").isNotNull()
+    paid = F.coalesce(F.col("last_paid_at") > F.coalesce("entitled_at", F.lit("0001-01-01").cast("timestamp_ntz")), F.lit(False))
     n = F.coalesce(F.col("failures"), F.lit(0))
 
     def after(stored: str, cleared) -> Column:
@@ -91,4 +95,5 @@ def sync_entitlements(
         .otherwise(F.when(~paid, F.col("arrears_since"))).alias("arrears_since"),
         F.when(n >= throttle_after, F.lit("throttled")).otherwise(after("throttle_state", "normal")).alias("throttle_state"),
         F.when(n >= suspend_after, F.lit("suspended")).otherwise(after("suspend_state", "active")).alias("suspend_state"),
+        F.greatest("entitled_at", "last_paid_at").alias("entitled_at"),
     )

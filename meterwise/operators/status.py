@@ -51,3 +51,17 @@ def worst_status(results: DataFrame, group_cols: list[str] | None = None) -> Dat
     sev = F.create_map(*[x for k, v in SEVERITY.items() for x in (F.lit(k), F.lit(v))])
     g = results.groupBy(*(group_cols or []))
     return g.agg(F.max_by("status", sev[F.col("status")]).alias("status"), F.count("*").alias("results"))
+
+
+def push_batches(flagged: DataFrame, batch_col: str, snapshot_col: str) -> DataFrame:
+    """A-A6 over the entries of pushed snapshots (``refused``: the snapshot's check failed; ``reject_reason``: the entry's).
+
+    A refused snapshot is an ``error``, one with a rejected entry ``partial``.  Per batch: the worst status, how many
+    snapshots had each, and the first refused one.  Two aggregates, both combined before their shuffle.
+    """
+    each = flagged.groupBy(batch_col, snapshot_col).agg(
+        F.when(F.max("refused"), F.lit("error")).when(F.count("reject_reason") > 0, F.lit("partial")).otherwise(F.lit("ok")).alias("status"))
+    counts = each.groupBy(batch_col).agg(
+        *[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("ok", "partial", "error")],
+        F.min(F.when(F.col("status") == "error", F.col(snapshot_col))).alias("first_error"))
+    return worst_status(each, [batch_col]).join(counts, batch_col)

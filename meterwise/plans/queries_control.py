@@ -19,6 +19,7 @@ from meterwise.plans.oracle import with_views
 from meterwise.plans.queries_metering import FIXTURE_CFG, metered
 from meterwise.plans.queries_tier_a import WINDOW_AS_OF, cols, sourced, sync_state
 from meterwise.plans.queries_tier_b import BUDGET, SERVICE, SVC_DAILY_SQL, money, service_daily
+from meterwise.session import materialize
 from meterwise.sources import fixtures as fx
 from meterwise.sources.tables import table
 
@@ -93,7 +94,7 @@ PLAN_OF = "CASE event_id % 3 WHEN 0 THEN 'starter' WHEN 1 THEN 'pro' ELSE 'scale
 KIND_OF = "CASE WHEN event_type = 'subscription_updated' AND event_id % 29 = 0 THEN 'subscription_deleted' ELSE event_type END"
 
 
-@register("entitlement_sync", with_views(["v_payments", "v_quota_states"], f"""
+ENTITLEMENT_SQL = f"""
 WITH ev AS (SELECT event_id, account_id, occurred_at, {KIND_OF} AS event_type, {PLAN_OF} AS plan_id FROM v_payments),
 plans AS (SELECT * FROM (VALUES {', '.join(f"('{a}', {b}::BIGINT, {c!r}::DOUBLE)" for a, b, c in PLANS)}) p(plan_id, quota, price)),
 acc AS (SELECT account_id, max(occurred_at) FILTER (WHERE event_type = 'invoice_paid') AS paid_at FROM ev GROUP BY 1),
@@ -111,16 +112,35 @@ SELECT account_uuid, plan_id, quota AS included_quota_bytes, price AS base_price
        CASE WHEN n > 0 AND paid_at IS NOT NULL THEN first_at WHEN n > 0 THEN coalesce(arrears_since, first_at)
             WHEN paid_at IS NULL THEN arrears_since END AS arrears_since,
        CASE WHEN n >= 3 THEN 'throttled' WHEN paid_at IS NOT NULL THEN 'normal' ELSE throttle_state END AS throttle_state,
-       CASE WHEN n >= 5 THEN 'suspended' WHEN paid_at IS NOT NULL THEN 'active' ELSE suspend_state END AS suspend_state
-FROM j"""))
+       CASE WHEN n >= 5 THEN 'suspended' WHEN paid_at IS NOT NULL THEN 'active' ELSE suspend_state END AS suspend_state,
+       paid_at AS entitled_at
+FROM j"""
+
+
+@register("entitlement_sync", with_views(["v_payments", "v_quota_states"], ENTITLEMENT_SQL))
 def q_entitlement_sync(spark, sf):
     """B-10: plan and quota row of every account after its billing events, each third event delivered twice."""
+    return entitled(spark, sf, fx.quota_states(spark, sf))
+
+
+def entitled(spark, sf, states):
     p = fx.payments(spark, sf).select(
         "event_id", "account_id", "occurred_at", F.expr(KIND_OF).alias("event_type"), F.expr(PLAN_OF).alias("plan_id")
     )
     plans = spark.createDataFrame(list(PLANS), "plan_id string, plan_quota_bytes long, plan_price_per_byte double")
     events = p.unionByName(p.filter(F.col("event_id") % 3 == 0))
-    return sync_entitlements(events, plans, fx.quota_states(spark, sf), fx.account_uuid(F.col("account_id")))
+    return sync_entitlements(events, plans, states, fx.account_uuid(F.col("account_id")))
+
+
+@register("entitlement_resync", with_views(["v_payments", "v_quota_states"], f"""
+WITH {ENTITLEMENT_SQL.strip()[5:].rsplit("SELECT account_uuid, plan_id", 1)[0].rstrip()},
+once AS (SELECT account_uuid, plan_id{ENTITLEMENT_SQL.rsplit("SELECT account_uuid, plan_id", 1)[1]})
+SELECT * REPLACE (CAST(remaining_included_quota // 2 AS BIGINT) AS remaining_included_quota) FROM once"""))
+def q_entitlement_resync(spark, sf):
+    """B-10 run again over the same events after half of each quota has been used: nothing is refilled."""
+    first = entitled(spark, sf, fx.quota_states(spark, sf))
+    used = first.withColumn("remaining_included_quota", F.expr("remaining_included_quota div 2")).drop("plan_id", "included_quota_bytes", "base_price_per_byte")
+    return entitled(spark, sf, materialize(used))
 
 
 # ---------------------------------------------------------------- B-19, B-30, B-32

@@ -12,7 +12,9 @@ from meterwise.plans.catalog import register
 from meterwise.plans.metering_job import meter_samples
 from meterwise.plans.oracle import DEFAULT_QUOTA, PREFIX_CUT, canonical, t, with_views
 from meterwise.plans.queries_metering import FIXTURE_CFG, metered
+from meterwise.session import materialize
 from meterwise.sources import fixtures as fx
+from meterwise.sources import landing
 
 # Parameters of the fixture runs (FIXTURES.md).
 CHECKPOINT_CUT = "2024-01-11 00:00:00"
@@ -343,9 +345,9 @@ def q_node_identity(spark, sf):
 
 
 # ---------------------------------------------------------------- A-S1, A-P3, A-P4, A-J5, A-T1..A-T3, A-S15, A-S16
-def sourced(spark, sf):
+def sourced(spark, sf, since=None, until=None):
     """Snapshots with the source they were pulled from (source ``sN`` serves ``node-N``)."""
-    return fx.samples(spark, sf).withColumn("source_id", F.concat(F.lit("s"), F.substring("node_id", 6, 10)))
+    return fx.samples(spark, sf, since, until).withColumn("source_id", F.concat(F.lit("s"), F.substring("node_id", 6, 10)))
 
 
 SOURCED_SQL = "SELECT *, 's' || substr(node_id, 6) AS source_id FROM v_samples"
@@ -401,10 +403,9 @@ WITH src AS ({SOURCED_SQL}), {WINDOW_SQL}
 SELECT s.event_id, s.source_id, s.collected_at FROM src s JOIN win w ON s.source_id = w.source_id
 WHERE s.collected_at BETWEEN w.since AND w.until"""))
 def q_window_scan(spark, sf):
-    w = sync.source_windows(sync_state(spark, sf), fx.registry(spark), WINDOW_AS_OF)
-    s = sourced(spark, sf)
-    j = s.join(w.select("source_id", "since", "until"), on="source_id")
-    return j.filter(F.col("collected_at").between(F.col("since"), F.col("until"))).select("event_id", "source_id", "collected_at")
+    """A-S1: the bounds of all windows are folded into literals, so the scan reads no week outside of them."""
+    w = materialize(sync.source_windows(sync_state(spark, sf), fx.registry(spark), WINDOW_AS_OF))
+    return landing.in_windows(sourced(spark, sf, *landing.bounds(w)), w).select("event_id", "source_id", "collected_at")
 
 
 @register("source_watermark", with_views(["v_samples", "v_registry"], f"""
@@ -421,8 +422,8 @@ SELECT w.source_id,
 FROM win w LEFT JOIN last l USING (source_id) LEFT JOIN ident i USING (source_id)"""))
 def q_source_watermark(spark, sf):
     reg = fx.registry(spark)
-    w = sync.source_windows(sync_state(spark, sf), reg, WINDOW_AS_OF)
-    return sync.advance_watermarks(w, sourced(spark, sf), reg)
+    w = materialize(sync.source_windows(sync_state(spark, sf), reg, WINDOW_AS_OF))
+    return sync.advance_watermarks(w, sourced(spark, sf, *landing.bounds(w)), reg)
 
 
 # ---------------------------------------------------------------- A-A5

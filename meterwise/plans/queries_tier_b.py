@@ -281,7 +281,7 @@ def q_gross_margin(spark, sf):
     rl = lines.join(fx.rates(spark, sf), ["currency", "month"], "left")
     usable = F.coalesce(F.col("rate_to_usd") > 0, F.lit(False))
     cost = rl.groupBy("month").agg(
-        F.sum(F.when(usable, F.col("amount").cast("decimal(18,2)") * F.col("rate_to_usd"))).alias("cost_usd"),
+        F.sum(F.when(usable, F.col("amount").cast("decimal(19,6)") * F.col("rate_to_usd"))).alias("cost_usd"),
         F.count(F.when(~usable, 1)).alias("unconverted_lines"),
     )
     j = rev.join(cost, "month", "full")
@@ -429,16 +429,16 @@ SHARED = "cost_center IS NULL"
 
 def alloc_inputs(spark, sf):
     l = fx.cost_lines(spark, sf).withColumn("month", F.date_trunc("month", "usage_start_time").cast("timestamp_ntz"))
-    l = l.withColumn("cents", (F.col("amount") * 100).cast("long"))
+    amount = F.col("amount").cast("decimal(38,12)")  # sub-cent lines count: sums are rounded, not lines
     # one aggregate over the lines; the pool of a month is a window over its few rows
     shared = F.col("cost_center").isNull()
     g = l.groupBy("month", "currency", "team").agg(
-        F.sum(F.when(shared, F.col("cents"))).cast("long").alias("shared_cents"),
-        F.sum(F.when(~shared, F.col("cents"))).cast("long").alias("direct_cents"),
+        F.sum(F.when(shared, amount)).alias("shared"),
+        allocation.cents(F.sum(F.when(~shared, amount))).alias("direct_cents"),
         F.sum(F.when(~shared, F.col("usage_quantity"))).cast("long").alias("usage_units"),
     )
-    pool = F.sum("shared_cents").over(Window.partitionBy("month", "currency")).cast("long")
-    return g.withColumn("pool_cents", pool).filter(F.col("direct_cents").isNotNull()).drop("shared_cents")
+    pool = allocation.cents(F.sum("shared").over(Window.partitionBy("month", "currency")))
+    return g.withColumn("pool_cents", pool).filter(F.col("direct_cents").isNotNull()).drop("shared")
 
 
 ALLOC_BASE = """l AS (SELECT *, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month, CAST(amount * 100 AS BIGINT) AS cents FROM v_cost_lines),

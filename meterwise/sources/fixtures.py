@@ -11,6 +11,7 @@ so they grow with the data and Catalyst prunes the parquet columns they do not u
 
 from __future__ import annotations
 
+from datetime import timedelta
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,12 +33,16 @@ def cents_to_money(cents: Column) -> Column:
     return (cents.cast("decimal(18,0)") / F.lit(100)).cast("decimal(18,2)")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
     """``v_samples``: one cumulative-counter sample per (node, account, time).
 
-    Counters restart every week, which gives natural counter resets.
+    Counters restart every week, which gives natural counter resets.  With ``since`` and ``until`` (times) only the
+    weeks that they touch are read: literal bounds that reach the scan and cut no counter.
     """
     ev = table(spark, sf_dir, "events")
+    if since is not None:
+        first, last = (x.replace(hour=0, minute=0, second=0, microsecond=0) - timedelta(days=x.weekday()) for x in (since, until))
+        ev = ev.filter((F.col("ts") >= F.lit(first).cast("timestamp_ntz")) & (F.col("ts") < F.lit(last + timedelta(days=7)).cast("timestamp_ntz")))
     e = ev.select(
         "event_id",
         F.col("ts").alias("collected_at"),
