@@ -25,6 +25,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _ends_a_word(stem: str) -> bool:
+    """Whether marks after ``stem`` start a piece of their own: its last character, composed and lower-cased as the
+    tokenizer sees it, is a letter or digit.  (U+0130 is a letter whose lower case ends in a combining mark.)"""
+    return unicodedata.category(unicodedata.normalize("NFC", stem).lower()[-1])[0] in "LN"
+
+
 class ChunkIds(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit bytes."""
 
@@ -42,7 +48,7 @@ class ChunkIds(dict):
             out = self[low] if low != chunk else self._word(chunk)
         else:
             stem = chunk.rstrip(string.punctuation)  # the marks after a word are a piece of their own
-            if stem and stem != chunk and stem[-1].isalnum():
+            if stem and stem != chunk and _ends_a_word(stem):
                 out = self[stem] + self[chunk[len(stem):]]
             else:
                 out = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
