@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from meterwise.session import materialize
+
 from .words import ragged, slices, word_codes
 
 K1, B = 1.2, 0.75  # BM25
@@ -20,6 +26,10 @@ BLOCK = 32  # postings under one block maximum
 CELLS = 4 << 20  # words of passages that are sorted at once
 INDEX_BYTES = 8 << 20  # item text that one index holds; a larger benchmark becomes several
 WORD = re.compile(r"[^\W_]+")
+LEAST_WORDS = SHINGLE  # of an item; shorter ones are found in any text and prove nothing
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+KNOWN = 400_000  # chunks a worker remembers for one index; beyond it, it starts anew
+_KNOWN: dict[str, dict[bytes, bytes]] = {}  # by index, for as long as a worker lives
 
 
 def normal_words(text: str) -> list[str]:
@@ -44,15 +54,28 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if words else set()
 
 
+@dataclass(frozen=True)
+class Stats:
+    """What BM25 knows of all items: how many, their words in all, the longest one's, and in how many each term is."""
+
+    items: int
+    words: int
+    longest: int
+    df: Mapping[str, int]
+
+
 class ItemIndex:
     """Inverted index of items; a posting's impact is its BM25 part of the item's score against itself (0 to 1)."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t) for i, t in items if t and normal_words(t)]
+    def __init__(self, items: list[tuple[int, str]], stats: Stats | None = None):
+        """``stats``: of all items, where these are a part of them."""
+        self.items = [(i, t) for i, t in items if t and len(normal_words(t)) >= LEAST_WORDS]
         words = [normal_words(t) for _, t in self.items]
-        self.longest = max(map(len, words), default=1)
+        stats = stats or Stats(len(words), sum(map(len, words)), max(map(len, words), default=1), Counter(t for w in words for t in set(w)))
+        self.name = uuid.uuid4().hex
+        self.longest = stats.longest
         self.parts = [tuple(map(shingles, (w, *_question_and_answer(t)))) for w, (_, t) in zip(words, self.items)]
-        mean = max(1.0, sum(map(len, words)) / max(1, len(words)))
+        mean = max(1.0, stats.words / max(1, stats.items))
         lists: dict[str, list[tuple[int, int]]] = {}
         for k, w in enumerate(words):
             for t in sorted(set(w)):
@@ -60,7 +83,8 @@ class ItemIndex:
         whole = np.zeros(len(words))
         impact = {}
         for t, posts in lists.items():
-            idf = np.log(1 + (len(words) - len(posts) + 0.5) / (len(posts) + 0.5))
+            df = stats.df[t]
+            idf = np.log(1 + (stats.items - df + 0.5) / (df + 0.5))
             impact[t] = [idf * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words[k]) / mean)) for k, n in posts]
             for (k, _), x in zip(posts, impact[t]):
                 whole[k] += x
@@ -70,6 +94,7 @@ class ItemIndex:
             self.docs.append(np.array([k for k, _ in lists[t]]))
             self.impacts.append(np.array([x / whole[k] for (k, _), x in zip(lists[t], impact[t])]))
             self.maxima.append(np.array([self.impacts[-1][a:a + BLOCK].max() for a in range(0, len(lists[t]), BLOCK)]))
+        self.postings = [d.tolist() for d in self.docs]
         self.term_max = np.array([m.max() if len(m) else 0.0 for m in self.maxima])
         # Common terms cannot carry an item over the threshold alone: no item gets 0.7 of it from them.
         held = np.zeros(len(words))
@@ -87,48 +112,62 @@ class ItemIndex:
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """Items over the threshold for a passage's distinct terms, by block-max WAND."""
-        lists = [[j, 0] for j in terms.tolist() if j]
-        found, slack = [], 1e-9
+        docs, over = self.postings, RETRIEVE - 1e-9
+        lists = [(docs[j][0], j, 0) for j in terms.tolist() if j and docs[j]]  # (item at the cursor, term, cursor)
+        found = []
+
+        def moved(cursors, to):  # cursors set to the first item from ``to`` on; those at their end go
+            out = []
+            for _, j, at in cursors:
+                at = bisect_left(docs[j], to, at)
+                if at < len(docs[j]):
+                    out.append((docs[j][at], j, at))
+            return out
+
         while True:
-            lists = sorted((x for x in lists if x[1] < len(self.docs[x[0]])), key=lambda x: self.docs[x[0]][x[1]])
+            lists.sort()
             bound, pivot = 0.0, None
-            for n, (j, at) in enumerate(lists):  # the first item that the lists' maxima let over the threshold
+            for n, (_, j, _) in enumerate(lists):  # the first item that the lists' maxima let over the threshold
                 bound += self.term_max[j]
-                if bound >= RETRIEVE - slack:
+                if bound >= over:
                     pivot = n
                     break
             if pivot is None:
                 return found
-            item = int(self.docs[lists[pivot][0]][lists[pivot][1]])
-            tied = [x for x in lists if self.docs[x[0]][x[1]] <= item]
-            for x in tied:
-                x[1] += int(np.searchsorted(self.docs[x[0]][x[1]:], item))
-            tied = [x for x in tied if x[1] < len(self.docs[x[0]])]
-            if sum(self.maxima[j][at // BLOCK] for j, at in tied) < RETRIEVE - slack:
-                # no item of these blocks gets there: go on behind the first block that ends
-                behind = min([int(self.docs[j][min(len(self.docs[j]), (at // BLOCK + 1) * BLOCK) - 1]) + 1 for j, at in tied]
-                             + [int(self.docs[j][at]) for j, at in lists if self.docs[j][min(at, len(self.docs[j]) - 1)] > item and [j, at] not in tied])
-                behind = max(behind, item + 1)
-                for x in tied:
-                    x[1] += int(np.searchsorted(self.docs[x[0]][x[1]:], behind))
+            item = lists[pivot][0]
+            end = next((n for n in range(pivot, len(lists)) if lists[n][0] > item), len(lists))
+            behind = lists[end:]
+            tied = moved(lists[:end], item)
+            if sum(self.maxima[j][at // BLOCK] for _, j, at in tied) < over:
+                # no item of these blocks gets there: go on behind the first block that ends, or at the next list's item
+                ends = [docs[j][min(len(docs[j]), (at // BLOCK + 1) * BLOCK) - 1] + 1 for _, j, at in tied] + [x[0] for x in behind[:1]]
+                lists = moved(tied, max(min(ends), item + 1)) + behind
                 continue
-            score = 0.0
-            for x in tied:
-                if self.docs[x[0]][x[1]] == item:
-                    score += self.impacts[x[0]][x[1]]
-                    x[1] += 1
-            if score >= RETRIEVE - slack:
+            score = sum(self.impacts[j][at] for x, j, at in tied if x == item)
+            lists = moved(tied, item + 1) + behind
+            if score >= over:
                 found.append((item, score))
 
-    def possible(self, terms: np.ndarray) -> bool:
-        """False if no item can reach the threshold: its rare terms in the passage and all of its common ones are too few."""
-        rare = terms[self.rare[terms]]
-        if self.term_max[rare].sum() < RETRIEVE - self.common - 1e-9:
-            return False
-        if not len(rare):
-            return True
-        score = np.bincount(np.concatenate([self.docs[j] for j in rare]), np.concatenate([self.impacts[j] for j in rare]), minlength=len(self.items))
-        return bool((score + self.held >= RETRIEVE - 1e-9).any())
+    def possible(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which passages ``ids[a:b]`` may hold an item: some item's rare terms in the passage and all of its common ones
+        reach the threshold.  A dense table of passages by items, some passages at a time."""
+        items, out = len(self.items), np.zeros(len(a), bool)
+        sizes = np.array([len(d) for d in self.docs])
+        starts = np.cumsum(sizes) - sizes
+        docs, impacts = np.concatenate(self.docs).astype(np.int64), np.concatenate(self.impacts)
+        some = max(1, min(CELLS // max(1, items), CELLS // int((b - a).max(initial=1))))
+        for k in range(0, len(a), some):
+            n = b[k:k + some] - a[k:k + some]
+            who = np.repeat(np.arange(len(n)), n)
+            terms = ids[np.repeat(a[k:k + some] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
+            rare = self.rare[terms]
+            pair = np.unique(who[rare] * len(sizes) + terms[rare])  # a repeated term counts once
+            who, terms = pair // len(sizes), pair % len(sizes)
+            m = sizes[terms]
+            post = np.repeat(starts[terms] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            score = np.bincount(np.repeat(who, m) * items + docs[post], impacts[post], minlength=len(n) * items).reshape(len(n), items)
+            out[k:k + some] = (score + self.held >= RETRIEVE - 1e-9).any(axis=1)
+        return out
 
     def verified(self, item: int, words: list[str]) -> tuple[float, float, float]:
         """Share of the item's, its question's and its answer's shingles that a passage has."""
@@ -162,16 +201,27 @@ class ItemIndex:
         """(text, item, score, overlap, question overlap, answer overlap) of all verified matches of whole texts."""
         if not self.items:
             return
-        known: dict[bytes, bytes] = {}
+        if self.name not in _KNOWN:
+            _KNOWN.clear()  # one index at work in a worker
+            _KNOWN[self.name] = {}
+        known = _KNOWN[self.name]
+        ids_of = {t.encode(): j.to_bytes(4, "little") for t, j in self.terms.items()}
+        none = (0).to_bytes(4, "little")
         size, step = self.passage, self.passage // 2
         for first, part in slices(texts):
             offsets, codes, chunks = word_codes(part)
             pieces = []
             for c in chunks:
-                if c not in known:
-                    known[c] = b"".join([self.terms.get(w, 0).to_bytes(4, "little") for w in normal_words(c.decode())])
-                pieces.append(known[c])
-            if len(known) > 400_000:
+                piece = known.get(c)
+                if piece is None:
+                    word = c.strip(MARKS)
+                    if word.isalnum():  # one ASCII word, between marks
+                        piece = ids_of.get(word.lower(), none)
+                    else:
+                        piece = b"".join([ids_of.get(w.encode(), none) for w in normal_words(c.decode())])
+                    known[c] = piece
+                pieces.append(piece)
+            if len(known) > KNOWN:
                 known.clear()
             offsets, ids = ragged(offsets, codes, pieces)
             gain = np.where(self.rare[ids], self.term_max[ids], 0)
@@ -183,12 +233,11 @@ class ItemIndex:
             b = np.minimum(a + size, offsets[who + 1])
             hopeful = np.flatnonzero(before[b] - before[a] >= RETRIEVE - self.common - 1e-9)
             hopeful = hopeful[self._distinct_gain(ids, a[hopeful], b[hopeful]) >= RETRIEVE - self.common - 1e-9]
+            hopeful = hopeful[self.possible(ids, a[hopeful], b[hopeful])]
             best: dict[tuple[int, int], tuple] = {}
             words_of: dict[int, list[str]] = {}
             for k in hopeful.tolist():
                 text, terms = int(who[k]), np.unique(ids[a[k]:b[k]])
-                if not self.possible(terms):
-                    continue
                 for item, score in self.search(terms):
                     if text not in words_of:
                         words_of = {text: normal_words(" ".join(part[text].as_py().split()))}
@@ -200,14 +249,34 @@ class ItemIndex:
                 yield (first + text, item, *told)
 
 
+def _item_terms(batches):
+    for batch in batches:
+        words = [(p, normal_words(t)) for p, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+        rows = [(p, w, len(ws), int(k == 0)) for p, ws in words if len(ws) >= LEAST_WORDS for k, w in enumerate(sorted(set(ws)))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["part", "term", "words", "first"])
+
+
 def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[ItemIndex]:
-    """Indexes of at most about ``INDEX_BYTES`` of item text each: one for the usual benchmark, more for a large one."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    """Indexes of at most about ``INDEX_BYTES`` of item text each: one for the usual benchmark, more for a large one.
+
+    Scores do not depend on the parts: document frequencies, the number of items and their mean length are taken over
+    all items by Spark, and a part's index gets those of its own terms.
+    """
+    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-total // INDEX_BYTES))
+    if parts == 1:
+        yield ItemIndex(sorted((r[0], r[1]) for r in items.collect()))
+        return
+    items = items.select(F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int").alias("part"), "i", "t")
+    terms = materialize(items.mapInArrow(_item_terms, "part long, term string, words long, first long"))
+    whole = terms.where("first = 1").agg(F.count(F.lit(1)), F.sum("words"), F.max("words")).first()
+    df = materialize(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     for p in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p)
-        yield ItemIndex(sorted({(r[0], r[1]) for r in mine.collect()}))
+        own = df.join(terms.where(F.col("part") == p).select("term").distinct(), "term", "left_semi").collect()
+        yield ItemIndex(sorted((r[0], r[1]) for r in items.where(F.col("part") == p).select("i", "t").collect()),
+                        Stats(whole[0], whole[1] or 0, whole[2] or 1, {r[0]: r[1] for r in own}))
 
 
 def _matching(index: ItemIndex):
@@ -231,16 +300,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     by that bound, which loses nothing.  A match holds if the passage has ``OVERLAP`` of the item's five-word
     shingles, and ``PART`` of its question's and of its answer's.  Words are compared without case and punctuation.
 
-    Null or empty texts match nothing; null or wordless items are no items; a null id stays null.  The items are a
-    query set of checked size: beyond ``INDEX_BYTES`` they are indexed in several parts, each of which reads all rows.
+    Null or empty texts match nothing; null items and those of fewer than ``LEAST_WORDS`` words are no items; a null id
+    stays null, repeated rows are found each, equal items once, and an empty table gives no rows.  Long texts are read whole; other
+    columns are not looked at.  The items are a query set of checked size: beyond ``INDEX_BYTES`` they are indexed in
+    several parts, one after the other, each of which reads all rows and writes what it found; scores do not depend on
+    the parts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = [rows.mapInArrow(_matching(x), "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
-             for x in build_indexes(benchmark)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+    out = last = None
+    for index in build_indexes(benchmark):
+        if last is not None:  # of several parts, each one's matches are written, so that its index can go
+            written = materialize(last)
+            out = written if out is None else out.unionByName(written)
+        last = rows.mapInArrow(_matching(index), schema)
+    return last if out is None else out.unionByName(last)
 
 
 def is_clean(text: Column, index: ItemIndex) -> Column:
@@ -255,6 +329,8 @@ def is_clean(text: Column, index: ItemIndex) -> Column:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in which a test item was found."""
+    first = True
     for index in build_indexes(benchmark):
-        docs = docs.where(is_clean(F.col(text_col), index))
+        docs = (docs if first else materialize(docs)).where(is_clean(F.col(text_col), index))
+        first = False
     return docs
