@@ -1,18 +1,20 @@
-"""Best-fit packing of token sequences, in rounds over all documents and gaps at once."""
+"""Best-fit packing of token sequences, in rounds over all documents of a size and all gaps at once."""
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+
+from meterwise.session import materialize
 
-from .scratch import cut
 from .tokens import encode
 from .words import slices
 
-SPREAD = 16  # parts that rows of one size are ranked in, so that a size that many rows share is no single task
+PART = 200_000  # rows of one size that are ranked in one group
 
 
 def _pieces(path: str, end_id: int, capacity: int):
@@ -46,114 +48,108 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                            "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _ranked(rows: DataFrame, size: str, key: str, capacity: int) -> tuple[DataFrame, np.ndarray]:
-    """``rows`` with ``rank`` from 0, largest ``size`` first; and the number of rows of each size.
+def match_classes(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best fit of whole size classes: ``(first rank, size, in each sequence, first sequence, offset)``, by rank.
+
+    ``counts``: documents of each size.  Documents are ranked by size, largest first, so a class is a run of ranks; gaps
+    are runs of sequences with equal room, sorted by that room.  A round matches one class: its documents ask for their
+    successor, the smallest gap that holds them; those that want the same run of gaps are told apart by rank, as many
+    to a sequence as fit; the gaps are updated, and what found none opens sequences.  That is what best-fit-decreasing
+    does one document at a time.
 
-    Range-sorted by counting: the driver sees the counts of at most ``capacity * SPREAD`` (size, part) cells, however
-    many rows there are; ranks within a cell are a window, and a cell holds a fraction of its size's rows.
+    A round splits at most one run of gaps and opens at most two, and a gap that is matched loses more than half of its
+    room, so there are at most about 2 * capacity * log2(capacity) matches, however many documents there are.
     """
-    parted = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("int"))
-    cells = {(r[0], r[1]): r[2] for r in parted.groupBy(size, "part").count().collect()}
-    counts, at, before = np.zeros(capacity + 2, np.int64), 0, []
-    for (s, p), n in sorted(cells.items(), key=lambda x: (-x[0][0], x[0][1])):
-        before.append((int(s), p, at))
-        at += n
-        counts[s] += n
-    spark = rows.sparkSession
-    base = spark.createDataFrame(before or [(0, 0, 0)], f"{size} long, part int, base long")
-    within = F.row_number().over(Window.partitionBy(size, "part").orderBy(key)) - 1
-    ranked = parted.withColumn("within", within).join(base, [size, "part"]).withColumn("rank", F.col("base") + F.col("within"))
-    return ranked.drop("part", "within", "base"), counts
+    rooms: list[int] = []  # that some gap has, ascending
+    runs: dict[int, list[tuple[int, int]]] = {}  # room -> runs of sequences (first, how many)
+    out, rank, opened = [], 0, 0
+
+    def give(room: int, first: int, n: int) -> None:
+        if room and n:
+            if room not in runs:
+                runs[room] = []
+                insort(rooms, room)
+            runs[room].append((first, n))
+
+    def fill(room: int, size: int, first: int, n: int, left: int) -> int:
+        """Documents that go to a run of ``n`` gaps; ``left`` of the class still wait."""
+        nonlocal rank
+        each = room // size
+        whole = min(n, left // each)
+        if whole:
+            out.append((rank, size, each, first, capacity - room))
+            give(room - each * size, first, whole)
+        some = left - whole * each if whole < n else 0
+        if some:  # the last ones share a sequence that keeps room for one more of them
+            out.append((rank + whole * each, size, each, first + whole, capacity - room))
+            give(room - some * size, first + whole, 1)
+        give(room, first + whole + (some > 0), n - whole - (some > 0))
+        rank += whole * each + some
+        return whole * each + some
+
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left and (at := bisect_left(rooms, size)) < len(rooms):
+            room = rooms[at]
+            first, n = runs[room].pop()
+            if not runs[room]:
+                del runs[room], rooms[at]
+            left -= fill(room, size, first, n, left)
+        if left:
+            n = -(-left // (capacity // size))
+            fill(capacity, size, opened, n, left)
+            opened += n
+    return out
+
+
+def _places(matches: list[tuple[int, int, int, int, int]]):
+    first, size, each, sequence, offset = (np.array(c, np.int64) for c in zip(*matches))
+
+    def run(batches):
+        for batch in batches:
+            rank = batch.column("rank").to_numpy(zero_copy_only=False)
+            m = np.searchsorted(first, rank, side="right") - 1
+            turn, place = np.divmod(rank - first[m], each[m])
+            names = [c for c in batch.schema.names if c != "rank"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence[m] + turn), pa.array(offset[m] + place * size[m])],
+                                             [*names, "sequence_id", "offset"])
+    return run
 
 
-def _above(counts: np.ndarray) -> np.ndarray:
-    """Entry s: how many rows have a size of s or more."""
-    return np.cumsum(counts[::-1])[::-1]
+def _ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``rows`` (length, uid) with ``rank`` from 0, largest first.  A size that many rows share is ranked in parts of about
+    ``PART`` rows, whose first ranks come from their counts."""
+    parts = rows.sparkSession.createDataFrame([(s, max(1, -(-n // PART))) for s, n in counts.items()], "length long, parts long")
+    rows = rows.join(parts, "length").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts"))).drop("parts")
+    larger, at = [], 0
+    for s in sorted(counts, reverse=True):
+        larger.append((s, at))
+        at += counts[s]
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).join(rows.sparkSession.createDataFrame(larger, "length long, larger long"), "length")
+    cells = cells.select("length", "part", (F.col("larger") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("base"))
+    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("uid")) - 1
+    return rows.withColumn("within", within).join(cells, ["length", "part"]).withColumn("rank", F.col("base") + F.col("within")).drop("part", "within", "base")
 
 
 def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
     """``items`` (with a ``length`` of 1 to ``capacity``) and, for each row, ``sequence_id`` and ``offset``.
 
-    Bulk-synchronous: documents and gaps are range-sorted by size, largest first.  Size classes halve from
-    ``capacity`` down.  In a round, every document of the class finds its successor, the smallest gap that holds it;
-    documents that want the same gap are told apart by rank: the document of rank i takes the gap of rank
-    i + min(G(l) - D(l)) over its own and smaller lengths l of the class (G and D: gaps and documents of at least l),
-    which is the tightest gap that leaves one for every smaller document.  The largest documents beyond the number
-    of gaps wait.  Gaps are updated and the round repeats until no gap holds a document of the class; then the largest
-    (those of which equally many fit into a sequence, or up to an eighth more) open new sequences, in runs of as many
-    neighbours as fit, and the others are matched again.  A gap that holds several documents of the class
-    offers that many seats at once.
-
-    The number of rounds depends on ``capacity`` and not on the rows; every round is one keyed join of ranks.
-    Repeated rows are packed as often as they occur.
+    Rows are written once and counted by length; the rounds of :func:`match_classes` run on these counts (at most
+    ``capacity`` of them, whatever the rows); every row is ranked by one window over parts of its length and finds its
+    sequence and place from the match that holds its rank.  The result has as many sequences as best-fit-decreasing.
+
+    Repeated rows are packed as often as they occur; ties of length are ranked by where the row was written.  Other
+    columns are carried along.
     """
-    key = F.xxhash64(*items.columns)
-    rows = cut(items.withColumn("uid", F.monotonically_increasing_id()).withColumn("mix", key))
-    ranked, counts = _ranked(rows.withColumn("size", F.col("length").cast("long")), "size", "uid", capacity)
-    order = cut(ranked.drop("mix"))
-    spark = items.sparkSession
-    D = _above(counts)  # documents of at least a length, and so the first rank of the next smaller length
-    n_full = int(counts[capacity])
-    placed = [order.where(F.col("rank") < n_full).select("uid", "length", F.col("rank").alias("sequence_id"), F.lit(0).alias("turn"))]
-    gaps, opened, turn, top = None, n_full, 1, capacity
-    while top > 1:
-        low = top // 2 if top > 64 else 0  # lengths low + 1 to top (but for capacity itself, which is full)
-        most = min(top, capacity - 1)
-        top = low
-        lo, hi = int(D[most + 1]), int(D[low + 1])  # ranks of the class
-        while lo < hi:
-            sizes = np.arange(low + 1, most + 1)
-            sizes = sizes[counts[sizes] > 0]
-            longest = int(sizes[D[sizes] > lo].max())  # of those that wait
-            shortest = int(sizes.min())
-            if gaps is not None:
-                seats = F.greatest(F.lit(1), F.floor(F.col("gap") / longest)).cast("long")
-                offered = (gaps.where(F.col("gap") >= shortest).withColumn("seats", seats)
-                           .withColumn("seat", F.explode(F.sequence(F.lit(1).cast("long"), F.col("seats"))))
-                           .select("sequence_id", F.floor(F.col("gap") / F.col("seats")).cast("long").alias("size"),
-                                   F.xxhash64("sequence_id", "seat").alias("tie")))
-                offered, seat_counts = _ranked(offered, "size", "tie", capacity)
-                G = _above(seat_counts)
-                asc = sizes[D[sizes] > lo]
-                # least room over own and smaller lengths; ranks are counted from 0 and documents from lo
-                room = np.minimum.accumulate(G[asc] - (np.minimum(D[asc], hi) - lo))
-                wait = max(0, -int(room[-1]))  # the largest ones, for which no seat is left
-                if hi - lo - wait > 0:
-                    shift = spark.createDataFrame([(int(s), int(r)) for s, r in zip(asc, room)], "size long, shift long")
-                    docs = order.where((F.col("rank") >= lo + wait) & (F.col("rank") < hi)).select("uid", "length", "size", "rank")
-                    asks = docs.join(shift, "size").select("uid", "length", (F.col("rank") - lo + F.col("shift")).alias("rank"))
-                    done = cut(asks.join(offered.select("rank", "sequence_id"), "rank").select("uid", "length", "sequence_id", F.lit(turn).alias("turn")))
-                    placed.append(done)
-                    gaps = cut(gaps.join(done.groupBy("sequence_id").agg(F.sum("length").alias("used")), "sequence_id", "left")
-                               .select("sequence_id", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"))
-                    turn += 1
-                    hi = lo + wait
-                    continue
-            # no gap holds any: the largest open new sequences, floor(capacity / length) neighbours in each
-            runs, start = [], lo
-            fitting = sorted({capacity // int(s) for s in sizes[D[sizes] > lo]})
-            for fit in [f for f in fitting if f <= fitting[0] + fitting[0] // 8]:
-                same = [int(s) for s in sizes if capacity // int(s) == fit]
-                stop = min(hi, int(D[min(same)]))
-                if stop > start:
-                    runs.append((start, stop, fit, opened))
-                    opened += -(-(stop - start) // fit)
-                    start = stop
-            which = spark.createDataFrame(runs, "a long, b long, fit long, first long")
-            fits = (F.lit(capacity) / F.col("size")).cast("long")
-            docs = order.where((F.col("rank") >= lo) & (F.col("rank") < start)).withColumn("fit", fits).join(which, "fit")
-            done = cut(docs.select("uid", "length", (F.col("first") + F.floor((F.col("rank") - F.col("a")) / F.col("fit"))).alias("sequence_id"), F.lit(turn).alias("turn")))
-            placed.append(done)
-            new = done.groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("gap")).where("gap > 0")
-            gaps = cut(new if gaps is None else gaps.unionByName(new))
-            turn += 1
-            lo = start  # the others are matched with the new gaps first
-    everything = placed[0]
-    for p in placed[1:]:
-        everything = everything.unionByName(p)
-    within = Window.partitionBy("sequence_id").orderBy("turn", F.desc("length"), "uid")
-    spot = everything.withColumn("offset", F.sum("length").over(within) - F.col("length"))
-    return rows.join(spot.select("uid", "sequence_id", "offset"), "uid").drop("uid", "mix")
+    rows = items.withColumns({"length": F.col("length").cast("long"), "uid": F.monotonically_increasing_id()})
+    rows = materialize(rows)
+    counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
+    schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    if not counts:
+        return items.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    ranked = _ranked(rows, counts).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in items.schema.fields], "rank")
+    return ranked.mapInArrow(_places(match_classes(counts, capacity)), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
@@ -161,6 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A null or empty text is the end id alone.  Repeated rows and null ids are packed like any other.  An empty table
-    gives no rows.
+    gives no rows.  Texts of any length are read whole, and only pieces over ``capacity`` are cut; other columns of
+    ``docs`` are not looked at.
     """
     return best_fit(token_pieces(docs, tokenizer, id_col, text_col, end_id, capacity), capacity)

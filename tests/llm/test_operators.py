@@ -81,7 +81,7 @@ def test_token_counts_and_packing(spark, odd):
             assert offset == at
             at += length
         assert at <= 4096
-    assert len(by) <= -(-sum(len(x) for _, x in ids) // 4096) + 2  # a size class may leave a sequence part empty
+    assert len(by) <= -(-sum(len(x) for _, x in ids) // 4096) + 2  # the bound and what no packing can fill
 
 
 def test_best_fit_is_close_to_the_bound(spark):
@@ -352,4 +352,72 @@ def test_smaller_documents_of_a_class_fill_the_gaps_of_its_larger_ones(spark, lo
     for r in packed:
         load[r["sequence_id"]] += r["length"]
     assert sorted(r["length"] for r in packed) == sorted(lengths) and max(load.values()) <= 4096
-    assert len(load) <= 1.01 * n
+    assert len(load) == n
+
+
+def test_class_matches_are_best_fit_decreasing_and_few():
+    from bisect import bisect_left, insort
+
+    from meterwise.llm.packing import match_classes
+
+    rng = np.random.default_rng(3)
+    for capacity, lengths in [(16, rng.integers(1, 17, 200)), (64, rng.integers(1, 30, 500)), (4096, np.minimum(4096, rng.lognormal(6, 1, 3000).astype(int) + 1)),
+                              (100, [34] * 7 + [33] * 5 + [1] * 9), (10, [10] * 4), (7, [1])]:
+        sizes = sorted((int(x) for x in lengths), reverse=True)
+        gaps, n = [], 0
+        for length in sizes:
+            at = bisect_left(gaps, length)
+            n += at == len(gaps)
+            gap = gaps.pop(at) if at < len(gaps) else capacity
+            if gap > length:
+                insort(gaps, gap - length)
+        matches = match_classes(Counter(sizes), capacity)
+        assert [m[0] for m in matches] == sorted({m[0] for m in matches})
+        used = defaultdict(list)
+        for rank, size in enumerate(sizes):
+            first, of, each, sequence, offset = matches[max(i for i, m in enumerate(matches) if m[0] <= rank)]
+            assert of == size
+            used[sequence + (rank - first) // each].append((offset + (rank - first) % each * size, size))
+        assert len(used) == n
+        for spots in used.values():
+            at = 0
+            for offset, size in sorted(spots):
+                assert offset == at
+                at += size
+            assert at <= capacity
+    many = match_classes({s: 10**9 + s for s in range(1, 4097)}, 4096)
+    assert len(many) < 2 * 4096 * 12
+
+
+def test_every_reported_item_is_in_the_document(spark):
+    from meterwise.llm.decontamination import OVERLAP, normal_words, shingles
+
+    folder = "/root/testdata/sf0.001"
+    items = defaultdict(list)
+    for i, t in rows_of(spark, folder, "benchmark", "item_id", "text"):
+        items[i].append(t)
+    docs = dict(rows_of(spark, folder, "documents", "doc_id", "text"))
+    found = result(spark, folder, "op7_benchmark_decontamination")
+    assert found
+    for r in found:
+        held = shingles(normal_words(docs[r["doc_id"]]))
+        assert any(len(shingles(normal_words(t)) & held) >= OVERLAP * len(shingles(normal_words(t))) for t in items[r["item_id"]])
+
+
+def test_scores_do_not_depend_on_the_parts_of_the_benchmark(spark, monkeypatch):
+    from meterwise.llm import decontamination as D
+
+    folder = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    one = Counter((r[0], r[1], *(round(x, 9) for x in r[2:])) for r in D.contaminated(docs, items).collect())
+    monkeypatch.setattr(D, "INDEX_BYTES", 4000)
+    several = Counter((r[0], r[1], *(round(x, 9) for x in r[2:])) for r in D.contaminated(docs, items).collect())
+    assert len(list(D.build_indexes(items))) > 1 and several == one
+
+
+def test_short_items_prove_nothing(spark):
+    from meterwise.llm.decontamination import contaminated
+
+    docs = spark.createDataFrame([(1, "the man said is it raining today"), (2, "we add 2 2 apples")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Is it?"), (2, "2 + 2 = ?"), (3, "")], "item_id long, text string")
+    assert contaminated(docs, items).collect() == []
