@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -28,8 +27,7 @@ INDEX_BYTES = 8 << 20  # item text that one index holds; a larger benchmark beco
 WORD = re.compile(r"[^\W_]+")
 LEAST_WORDS = SHINGLE  # of an item; shorter ones are found in any text and prove nothing
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-KNOWN = 400_000  # chunks a worker remembers for one index; beyond it, it starts anew
-_KNOWN: dict[str, dict[bytes, bytes]] = {}  # by index, for as long as a worker lives
+KNOWN = 200_000  # chunks that an index remembers while a task lasts; beyond it, it starts anew
 
 
 def normal_words(text: str) -> list[str]:
@@ -72,7 +70,6 @@ class ItemIndex:
         self.items = [(i, t) for i, t in items if t and len(normal_words(t)) >= LEAST_WORDS]
         words = [normal_words(t) for _, t in self.items]
         stats = stats or Stats(len(words), sum(map(len, words)), max(map(len, words), default=1), Counter(t for w in words for t in set(w)))
-        self.name = uuid.uuid4().hex
         self.longest = stats.longest
         self.parts = [tuple(map(shingles, (w, *_question_and_answer(t)))) for w, (_, t) in zip(words, self.items)]
         mean = max(1.0, stats.words / max(1, stats.items))
@@ -201,10 +198,7 @@ class ItemIndex:
         """(text, item, score, overlap, question overlap, answer overlap) of all verified matches of whole texts."""
         if not self.items:
             return
-        if self.name not in _KNOWN:
-            _KNOWN.clear()  # one index at work in a worker
-            _KNOWN[self.name] = {}
-        known = _KNOWN[self.name]
+        known: dict[bytes, bytes] = self.__dict__.setdefault("known", {})
         ids_of = {t.encode(): j.to_bytes(4, "little") for t, j in self.terms.items()}
         none = (0).to_bytes(4, "little")
         size, step = self.passage, self.passage // 2
