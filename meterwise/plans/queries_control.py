@@ -112,15 +112,14 @@ SELECT account_uuid, plan_id, quota AS included_quota_bytes, price AS base_price
        CASE WHEN n > 0 AND paid_at IS NOT NULL THEN first_at WHEN n > 0 THEN coalesce(arrears_since, first_at)
             WHEN paid_at IS NULL THEN arrears_since END AS arrears_since,
        CASE WHEN n >= 3 THEN 'throttled' WHEN paid_at IS NOT NULL THEN 'normal' ELSE throttle_state END AS throttle_state,
-       CASE WHEN n >= 5 THEN 'suspended' WHEN paid_at IS NOT NULL THEN 'active' ELSE suspend_state END AS suspend_state,
-       paid_at AS entitled_at
+       CASE WHEN n >= 5 THEN 'suspended' WHEN paid_at IS NOT NULL THEN 'active' ELSE suspend_state END AS suspend_state
 FROM j"""
 
 
 @register("entitlement_sync", with_views(["v_payments", "v_quota_states"], ENTITLEMENT_SQL))
 def q_entitlement_sync(spark, sf):
     """B-10: plan and quota row of every account after its billing events, each third event delivered twice."""
-    return entitled(spark, sf, fx.quota_states(spark, sf))
+    return entitled(spark, sf, fx.quota_states(spark, sf)).drop("entitled_at")
 
 
 def entitled(spark, sf, states):
@@ -140,7 +139,7 @@ def q_entitlement_resync(spark, sf):
     """B-10 run again over the same events after half of each quota has been used: nothing is refilled."""
     first = entitled(spark, sf, fx.quota_states(spark, sf))
     used = first.withColumn("remaining_included_quota", F.expr("remaining_included_quota div 2")).drop("plan_id", "included_quota_bytes", "base_price_per_byte")
-    return entitled(spark, sf, materialize(used))
+    return entitled(spark, sf, materialize(used)).drop("entitled_at")
 
 
 # ---------------------------------------------------------------- B-19, B-30, B-32

@@ -63,13 +63,29 @@ def test_entitlements_follow_the_events_and_replays_change_nothing(spark):
     once = sync_entitlements(events(spark), plans, states, uuid).collect()
     twice = sync_entitlements(events(spark).unionByName(events(spark)), plans, states, uuid).collect()
     assert sorted(once) == sorted(twice)
-    got = {r.account_uuid: tuple(r)[1:] for r in once}
+    got = {r.account_uuid: tuple(r)[1:9] for r in once}  # and entitled_at
     assert got["1"] == ("pro", 100, 0.5, 100, True, ts("2026-01-02 10:00:00"), "normal", "active")
     assert got["2"] == ("free", 10, 0.0, 10, False, None, "normal", "active")
     assert got["3"] == (None, None, None, 7, True, ts("2025-12-01 00:00:00"), "throttled", "suspended")
     assert got["4"] == (None, None, None, 7, True, ts("2025-12-01 00:00:00"), "throttled", "active")
 
 
+def test_a_second_sync_refills_nothing_until_the_next_payment(spark):
+    plans = spark.createDataFrame([("free", 10, 0.0), ("pro", 100, 0.5)], "plan_id string, plan_quota_bytes long, plan_price_per_byte double")
+    states = spark.createDataFrame([("1", 7, False, None, "normal", "active")], "account_uuid string, remaining_included_quota long, arrears boolean, "
+                                   "arrears_since timestamp_ntz, throttle_state string, suspend_state string")
+    uuid = F.col("account_id").cast("string")
+    stored = ["account_uuid", *states.columns[1:], "entitled_at"]
+    first = sync_entitlements(events(spark), plans, states, uuid)
+    assert (first.first().remaining_included_quota, first.first().entitled_at) == (100, ts("2026-01-02 09:00:00"))
+    used = first.select(*stored).withColumn("remaining_included_quota", F.lit(40).cast("long"))
+    again = sync_entitlements(events(spark), plans, used, uuid)
+    assert again.select(*stored).collect() == used.collect()
+    paid = spark.createDataFrame([(90, 1, ts("2026-03-01 09:00:00"), "invoice_paid", None)], EVENT)
+    refilled = sync_entitlements(events(spark).unionByName(paid), plans, used, uuid).first()
+    assert (refilled.remaining_included_quota, refilled.arrears, refilled.entitled_at) == (100, False, ts("2026-03-01 09:00:00"))
+
+
 def test_raw_zone_is_written_once_and_replayed_whole(spark, tmp_path):
     rows = [("aws", ts("2026-01-01 05:00:00"), "x"), ("gcp", ts("2026-01-02 05:00:00"), "y"), (None, None, None)]
     feed = spark.createDataFrame(rows, "provider string, at timestamp_ntz, body string")
