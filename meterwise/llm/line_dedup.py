@@ -22,13 +22,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one, drop the lines of hashes over the threshold outside that one, and join what stays by position.
 
     A null or empty text is one empty line.  A null id counts as the largest id.  Repeated rows are one document;
-    two texts under one id are too.  Only hashes, ids and positions are shuffled by line; a hot line is combined
+    two texts under one id are too.  Very long texts and lines are taken whole.  Other columns are not read, whatever
+    their names.  An empty table gives no rows.  Only hashes, ids and positions are shuffled by line; a hot line is combined
     before its shuffle, and its occurrences only meet the one row of its hash (an inner join that adaptive
     execution splits).  Texts are shuffled once, by id.
     """
-    full = _kept(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_chars, min_docs)
+    full = _kept(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).alias("given")), min_chars, min_docs)
     return full.select(
-        F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"),
+        F.col("given").cast("long").alias("doc_id"),
         F.col("th").alias("text_hash"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_dropped"),
@@ -39,11 +40,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars",
                      min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """``docs`` with the texts that ``dedup_lines`` leaves; ``chars_col``, if there, counts their characters anew.
-    A null text stays null."""
-    full = _kept(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                             F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("no text")).alias("row")),
+    A null text stays null; the other columns stay as they are, whatever their names."""
+    full = _kept(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(text_col).isNull().alias("no_text"),
+                             F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")),
                  min_chars, min_docs)
-    text = F.when(~F.col("row.`no text`"), F.col("kept_text"))
+    text = F.when(~F.col("no_text"), F.col("kept_text"))
     new = {text_col: text, chars_col: F.char_length(text).cast(docs.schema[chars_col].dataType) if chars_col in docs.columns else None}
     return full.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

@@ -1,6 +1,7 @@
 """Every numbered query against plain Python over the same odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -140,6 +141,41 @@ def test_sharding(spark, odd):
     assert max(load.values()) <= sum(load.values()) / 40 + max(r["size"] for r in got)
 
 
+def test_sharding_keeps_small_groups_whole_and_cuts_large_ones(spark):
+    from meterwise.llm.sharding import SLACK, shard_by_bytes
+
+    rng = random.Random(4)
+    rows = [(i, f"text {i // 3} " + "x" * (i // 3 % 50)) for i in range(6000)]  # groups of three
+    rows += [(None, "the same text of a third of all bytes, without an id") for _ in range(3000)]
+    rows += [(2**63 - 1, "largest id"), (None, "largest id"), (None, None)]
+    rng.shuffle(rows)
+    got = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), shards=10).collect()
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == Counter((i, zlib.crc32((t or "").encode())) for i, t in rows)
+    load, spread, size, slots = Counter(), defaultdict(set), Counter(), defaultdict(list)
+    for r in got:
+        load[r["shard"]] += r["size"]
+        size[r["text_crc32"]] += r["size"]
+        spread[r["text_crc32"]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+    mean = sum(load.values()) / 10
+    assert all(len(spread[c]) == 1 for c in size if size[c] <= mean / SLACK)
+    assert all(abs(load[s] - mean) <= mean / SLACK + 200 for s in range(10))
+    assert len(spread[zlib.crc32(rows_text(rows))]) >= 3
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def rows_text(rows) -> bytes:
+    """The commonest text."""
+    return Counter(t for _, t in rows).most_common(1)[0][0].encode()
+
+
+def test_line_dedup_gives_the_largest_id_back(spark):
+    from meterwise.llm.line_dedup import dedup_lines
+
+    rows = [(2**63 - 1, "a line that no other document holds"), (1, "another line that stands alone")]
+    assert {r[0] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2**63 - 1}
+
+
 def test_contaminated(spark, odd):
     found = {(r["doc_id"], r["item_id"]) for r in result(spark, odd, "op7_benchmark_decontamination")}
     assert found == {(d, i) for d in (2, 400) for i in (1, 4)}
