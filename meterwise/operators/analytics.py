@@ -89,7 +89,7 @@ def convert_currency(costs: DataFrame, rates: DataFrame, target: str = "USD") ->
     r = rates.select("currency", "month", "rate_to_usd")
     j = costs.withColumn("month", month_start(F.col("usage_start_time"))).join(r, ["currency", "month"], "left")
     ok = F.coalesce(F.col("rate_to_usd") > 0, F.lit(False))
-    amount = (F.col("cost_amount").cast("decimal(18,2)") * F.col("rate_to_usd")).cast("decimal(38,10)")
+    amount = (F.col("cost_amount").cast("decimal(24,10)") * F.col("rate_to_usd").cast("decimal(12,8)")).cast("decimal(38,10)")
     return j.select(
         *costs.columns,
         "rate_to_usd",
@@ -239,3 +239,30 @@ def cost_grains(lines: DataFrame, dims: Sequence[str], time_col: str = "usage_st
     whole = {c: F.max(F.when(F.col("grain") == "all", F.col(c))).over(all_) for c in ("cost", "lines")}
     good = (F.sum("cost").over(mine) == whole["cost"]) & (F.sum("lines").over(mine) == whole["lines"])
     return x.withColumn("adds_up", good).select("grain", "period", *dims, F.col("cost").cast(MONEY).alias("cost"), "lines", "adds_up")
+
+
+def cost_overview(daily: DataFrame, budgets: DataFrame) -> DataFrame:
+    """B-27: one row per currency and month with cost -- cost to the last day seen, linear forecast, budget use, change
+    against the month before through the same day of the month, and the dearest service.
+
+    ``daily``: ``currency, service_name, day, cost``.  Everything is made of rows by day and service; the month
+    before is an equi-join on (currency, month) of rows by day.
+    """
+    d = daily.withColumn("month", month_start(F.col("day")))
+    by_service = d.groupBy("currency", "month", "service_name").agg(F.sum("cost").alias("cost"), F.max("day").alias("as_of"))
+    m = by_service.groupBy("currency", "month").agg(
+        F.max("as_of").alias("as_of"), F.sum("cost").cast(MONEY).alias("cost"), F.count("*").alias("services"),
+        F.min_by(F.struct("service_name", "cost"), F.struct(-F.col("cost"), "service_name")).alias("top"))
+    by_day = d.groupBy("currency", "month", "day").agg(F.sum("cost").alias("p"))
+    earlier = by_day.select(F.col("currency").alias("c"), F.add_months("month", 1).cast("timestamp_ntz").alias("m"), F.dayofmonth("day").alias("dom"), "p")
+    same = (F.col("currency") == F.col("c")) & (F.col("month") == F.col("m")) & (F.col("dom") <= F.dayofmonth("as_of"))
+    before = m.select("currency", "month", "as_of").join(earlier, same).groupBy("currency", "month").agg(F.sum("p").cast(MONEY).alias("previous_cost"))
+    x = m.join(before, ["currency", "month"], "left").join(budgets.select("currency", "budget"), "currency", "left")
+    forecast = F.col("cost").cast("double") / F.dayofmonth("as_of") * F.dayofmonth(F.last_day("as_of"))
+    change = (F.col("cost") - F.col("previous_cost")).cast(MONEY)
+    return x.select(
+        "currency", "month", "as_of", "cost", forecast.alias("forecast"), "budget",
+        ratio(F.col("cost"), F.col("budget")).alias("budget_used"), ratio(forecast, F.col("budget")).alias("budget_forecast"),
+        "previous_cost", change.alias("change"), ratio(change, F.col("previous_cost")).alias("change_ratio"),
+        F.col("top.service_name").alias("top_service"), F.col("top.cost").cast(MONEY).alias("top_cost"), "services",
+    )

@@ -5,7 +5,7 @@ usage_start_time, amount, currency``; ``flatten_gcp`` and ``flatten_azure`` make
 vendors' nested rows.
 
 Output (common schema): ``provider, account_id, service_name, region,
-usage_start_time, usage_end_time, cost_amount DECIMAL(38,2), currency``, one row per
+usage_start_time, usage_end_time, cost_amount DECIMAL(38,12), currency``, one row per
 day and key.  Every normaliser is a filter + hash aggregate (partial, map-side).
 
 Provider rules kept from the importer:
@@ -31,7 +31,7 @@ from meterwise.functions.time import day_start
 
 COST_KEY = ("provider", "account_id", "service_name", "region", "usage_start_time", "currency")
 COST_COLS = ("provider", "account_id", "service_name", "region", "usage_start_time", "usage_end_time", "cost_amount", "currency")
-MONEY = "decimal(38,2)"
+MONEY = "decimal(38,12)"  # the stored sum keeps sub-cent amounts; views round once, after their own sums
 
 
 def t_minus_2_bounds(as_of: str) -> tuple[Column, Column]:
@@ -54,7 +54,7 @@ def unified_costs(lines: DataFrame, as_of: str | None = None, azure_force_usd: b
         start, end = t_minus_2_bounds(as_of)
         x = x.filter((F.col("usage_start_time") >= start) & (F.col("usage_start_time") < end))
         x = x.filter(~azure | (usage_end <= end))
-    # sub-cent lines count: the sum is taken at full precision and only its result is rounded
+    # sub-cent lines count: sums, and the test for zero, are at full precision
     amount = F.when(provider == "aws", F.col("amount").try_cast("decimal(38,12)")).otherwise(
         F.col("amount").cast("decimal(38,12)")
     )

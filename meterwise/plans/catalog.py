@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from meterwise.plans import queries_control, queries_metering, queries_rules, queries_tier_a, queries_tier_b  # noqa: F401
+    from meterwise.plans import queries_control, queries_metering, queries_reads, queries_rules, queries_tier_a, queries_tier_b  # noqa: F401

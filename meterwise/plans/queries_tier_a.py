@@ -500,19 +500,19 @@ def cost_sql(provider: str, as_of: str | None) -> str:
     if provider == "aws":
         return f"""
 SELECT 'aws' AS provider, account_id, service_name, region, {day} AS usage_start_time, {tail},
-       CAST(sum(TRY_CAST(amount AS DECIMAL(38,2))) AS DECIMAL(38,2)) AS cost_amount, currency
+       CAST(sum(TRY_CAST(amount AS DECIMAL(38,12))) AS DECIMAL(38,12)) AS cost_amount, currency
 FROM v_cost_lines WHERE provider = 'aws' {win}
-GROUP BY 2, 3, 4, 5, 6, 8 HAVING sum(TRY_CAST(amount AS DECIMAL(38,2))) <> 0"""
+GROUP BY 2, 3, 4, 5, 6, 8 HAVING sum(TRY_CAST(amount AS DECIMAL(38,12))) <> 0"""
     if provider == "gcp":
         return f"""
 SELECT 'gcp' AS provider, account_id, service_name, CASE WHEN coalesce(region, '') = '' THEN 'global' ELSE region END AS region,
-       {day} AS usage_start_time, {tail}, CAST(sum(amount) AS DECIMAL(38,2)) AS cost_amount, currency
+       {day} AS usage_start_time, {tail}, CAST(sum(amount) AS DECIMAL(38,12)) AS cost_amount, currency
 FROM v_cost_lines WHERE provider = 'gcp' {win}
 GROUP BY 2, 3, 4, 5, 6, 8 HAVING sum(amount) <> 0"""
     return f"""
 SELECT 'azure' AS provider, account_id, coalesce(service_name, 'Unknown') AS service_name,
        coalesce(region, 'Unknown') AS region, {day} AS usage_start_time, {tail},
-       CAST(sum(amount) AS DECIMAL(38,2)) AS cost_amount, currency
+       CAST(sum(amount) AS DECIMAL(38,12)) AS cost_amount, currency
 FROM v_cost_lines WHERE provider = 'azure' AND amount IS NOT NULL AND amount <> 0 {win}
 GROUP BY 2, 3, 4, 5, 6, 8"""
 

@@ -10,7 +10,7 @@ from decimal import Decimal
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from meterwise.operators import allocation, analytics, costs, rating, upsert
+from meterwise.operators import allocation, analytics, costs, periods, rating, upsert
 from meterwise.operators.entitlements import failures_since_paid
 from meterwise.operators.pricing import attach_pricing
 from meterwise.plans.catalog import register
@@ -57,9 +57,9 @@ SELECT account_uuid, total_bytes, uplink_bytes, downlink_bytes, included_quota_b
 FROM j"""))
 def q_usage_summary(spark, sf):
     r = metered(spark, sf)
-    accounts = r.rated.select("account_uuid").distinct()
+    accounts = r.buckets.select("account_uuid").distinct()
     pricing = attach_pricing(accounts, fx.profiles(spark, sf), FIXTURE_CFG)
-    return analytics.usage_summary(r.rated, r.quota_states, pricing).select(*cols(US))
+    return analytics.usage_summary(r.buckets, r.quota_states, pricing).select(*cols(US))
 
 
 @register("usage_buckets_latest", with_views(["m_buckets"], f"""
@@ -176,13 +176,11 @@ SELECT s2.account_id, s2.subscription_start, s2.request_at, u.usage_bytes,
 FROM s2 JOIN u USING (account_id) LEFT JOIN m_pricing p USING (account_uuid)"""))
 def q_refund_eligibility(spark, sf):
     """B-6: subscribed at most 7 days and used under 5 % of the included quota (quota 0:
-    never eligible).  Usage comes from a range join on (account, [start, request))."""
+    never eligible).  Usage between start and request comes from totals by day and the buckets of the two days
+    at its ends."""
     s = subscriptions(spark, sf)
     b = metered(spark, sf).buckets.select("account_uuid", "bucket_start", "total_bytes")
-    j = s.join(b, (s.account_uuid == b.account_uuid) & (b.bucket_start >= s.subscription_start) & (b.bucket_start < s.request_at), "left")
-    u = j.groupBy(s.account_id, s.account_uuid, "subscription_start", "request_at").agg(
-        F.coalesce(F.sum("total_bytes"), F.lit(0)).cast("long").alias("usage_bytes")
-    )
+    u = periods.usage_in_windows(b, s, "account_uuid", "subscription_start", "request_at", "usage_bytes")
     priced = attach_pricing(u, fx.profiles(spark, sf), FIXTURE_CFG)
     q = F.col("included_quota_bytes")
     eligible = (F.col("request_at") <= F.col("subscription_start") + F.expr("INTERVAL 7 DAYS")) & (q > 0) & (F.col("usage_bytes") * 20 < q)
@@ -371,7 +369,7 @@ CC = "provider, account_id, service_name, region, usage_start_time, currency, co
 @register("currency_convert", with_views(["v_cost_lines", "v_rates"], f"""
 WITH u AS ({UNIFIED_SQL})
 SELECT u.provider, u.account_id, u.service_name, u.region, u.usage_start_time, u.currency, u.cost_amount, r.rate_to_usd,
-       CASE WHEN r.rate_to_usd > 0 THEN CAST(CAST(u.cost_amount AS DECIMAL(18,2)) * r.rate_to_usd AS DECIMAL(38,10)) END AS amount_usd,
+       CASE WHEN r.rate_to_usd > 0 THEN CAST(CAST(u.cost_amount AS DECIMAL(24,10)) * CAST(r.rate_to_usd AS DECIMAL(12,8)) AS DECIMAL(38,10)) END AS amount_usd,
        coalesce(r.rate_to_usd > 0, false) AS rate_ok
 FROM u LEFT JOIN v_rates r ON r.currency = u.currency AND r.month = CAST(date_trunc('month', u.usage_start_time) AS TIMESTAMP)"""))
 def q_currency_convert(spark, sf):

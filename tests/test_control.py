@@ -1,6 +1,7 @@
 """Credits, entitlement sync, raw zone, host split, idle stretches, and how often the cost fact is read."""
 
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from helpers import A, ts
 from meterwise.config import RatingConfig
-from meterwise.operators import costs, rating, resources
+from meterwise.operators import analytics, costs, rating, resources
 from meterwise.operators.entitlements import failures_since_paid, sync_entitlements
 from meterwise.sources import raw_zone
 
@@ -127,8 +128,18 @@ def test_zero_lines_go_before_the_sum_for_azure_and_zero_sums_after_it_for_the_o
         ("other", "x", "r", "1.00"),
     ]]
     lines = spark.createDataFrame(rows, "provider string, account_id string, service_name string, region string, usage_start_time timestamp_ntz, amount string, currency string")
-    got = {(r.provider, r.service_name, r.region): str(r.cost_amount) for r in costs.unified_costs(lines).collect()}
-    assert got == {("aws", "tiny", "r"): "0.01", ("gcp", "kept", "global"): "5.00", ("azure", "Unknown", "Unknown"): "0.00"}
+    got = {(r.provider, r.service_name, r.region): r.cost_amount for r in costs.unified_costs(lines).collect()}
+    assert got == {("aws", "tiny", "r"): Decimal("0.008"), ("gcp", "kept", "global"): 5, ("azure", "Unknown", "Unknown"): 0}
+
+
+def test_sub_cent_costs_are_stored_converted_and_added_up_before_rounding(spark):
+    rows = [("aws", "acct", f"s{i}", "r", ts("2026-01-01 00:00:00"), "0.004", "EUR") for i in range(5)]
+    lines = spark.createDataFrame(rows, "provider string, account_id string, service_name string, region string, usage_start_time timestamp_ntz, amount string, currency string")
+    stored = costs.unified_costs(lines)
+    assert {r.cost_amount for r in stored.collect()} == {Decimal("0.004")}
+    assert [r.cost for r in analytics.cost_by_period(stored, "month", ["currency"]).collect()] == [Decimal("0.02")]
+    rates = spark.createDataFrame([("EUR", ts("2026-01-01 00:00:00"), Decimal("1.5"))], "currency string, month timestamp_ntz, rate_to_usd decimal(18,8)")
+    assert {r.amount_usd for r in analytics.convert_currency(stored, rates).collect()} == {Decimal("0.006")}
 
 
 def test_last_day_is_excluded_from_the_window(spark):
