@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import connected_components, local_forest
-from .line_dedup import NO_ID
 from .scratch import cut
+from .words import give_back
 
 LEAF = 2048  # fingerprints a leaf of the tree should own
 MAX_LEVELS = 14  # of the driver's tree; larger leaves are compared in blocks
@@ -41,9 +40,11 @@ def simhash(text: Column, shingle: int = 3) -> Column:
     A-Z lower-cased; words split at space and U+0009 to U+000D; repeats count.  Fewer words than ``shingle``: the
     whole sequence is one shingle; none, or a null text: 0.
     """
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_fingerprint((t or "").encode(), shingle) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        out = pa.array([_fingerprint(t.as_py() or b"", shingle) for t in texts.cast(pa.binary())], pa.int64())
+        give_back()
+        return out
 
     return of(text)
 
@@ -167,9 +168,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Of repeated rows with that id, one row of the smallest text hash stays.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    stay = (found.groupBy("component_fp").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("k"), F.col("text_hash").alias("h"))).alias("s"))
+    key = lambda i: F.struct(i.isNull().alias("none"), F.coalesce(i, F.lit(0)).alias("id"))
+    stay = (found.groupBy("component_fp").agg(F.min(F.struct(key(F.col("id")).alias("k"), F.col("text_hash").alias("h"))).alias("s"))
             .select(F.col("s.k").alias("k"), F.col("s.h").alias("h")).distinct())
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"),
+    rows = docs.select(F.struct("*").alias("row"), key(F.col(id_col).cast("long")).alias("k"),
                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
     rank = F.row_number().over(Window.partitionBy("k", "h").orderBy(F.lit(1)))
     return rows.join(stay, ["k", "h"]).withColumn("rank", rank).where("rank = 1").select("row.*")

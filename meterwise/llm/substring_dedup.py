@@ -152,7 +152,6 @@ def _whole(window: int):
 def _cover(window: int):
     def run(batches):
         for batch in batches:
-            ids = [None if x == NO_ID else x for x in batch.column(0).to_pylist()]
             n_words, n_gone, spans, kept = [], [], [], []
             for text, runs in zip(batch.column(1), batch.column(2)):
                 words = (text.as_py() or "").encode().split()
@@ -172,7 +171,7 @@ def _cover(window: int):
                     n_gone.append(0)
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()),
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())],
                 ["doc_id", "n_words", "n_removed", "spans", "kept_text"])
     return run
@@ -192,15 +191,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     smallest document, so a passage that a third of all documents share costs a row for each occurrence; the runs
     of such hot anchors are combined before their shuffle, all others meet by anchor.
 
-    A null or empty text has no words; a text under ``window`` words keeps all.  A null id counts as the largest.
+    A null or empty text has no words; a text under ``window`` words keeps all.  A null id counts as the largest (equal to 2^63-1).
     Rows with equal ids are one document.  Words are split at space and U+0009 to U+000D, and kept words are
     joined by one space.
     """
     if window <= SEED_WORDS or window > 40:
         raise ValueError(f"window must be {SEED_WORDS + 1} to 40 words")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.col(text_col).alias("text"))
-    keyed = rows.select("did", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    anchors = rows.mapInArrow(_anchors(window), "h long, did long")
+    given = F.col(id_col).cast("long")
+    rows = docs.select(given.alias("doc_id"), F.coalesce(given, F.lit(NO_ID)).alias("did"), F.col(text_col).alias("text"))
+    marked = rows.select("doc_id", "did", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    keyed = marked.drop("doc_id")
+    anchors = rows.drop("doc_id").mapInArrow(_anchors(window), "h long, did long")
     shared = cut(anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b"), F.count(F.lit(1)).alias("n"))
                  .where("a < b").select("h", "n"))
     total = shared.agg(F.sum("n")).first()[0] or 0
@@ -231,6 +232,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     extended = windows.join(firsts, ["w1", "w2"]).where("did > first").select("did", "th", "sn")
     copied = lists.select("did", "th", F.explode("copied").alias("sn"))
     hits = copied.union(extended).groupBy("did", "th").agg(F.collect_set("sn").alias("runs"))
-    return (keyed.join(hits, ["did", "th"], "left").select("did", "text", "runs")
+    return (marked.join(hits, ["did", "th"], "left").select("doc_id", "text", "runs")
             .mapInArrow(_cover(window), "doc_id long, n_words long, n_removed long, "
                                         "spans array<struct<start:int,end:int>>, kept_text string"))

@@ -5,6 +5,7 @@ Per-word Python work then happens once per distinct word of a batch; positions a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,16 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])  # the blanks of the contracts: space
 BATCH_BYTES = 4 << 20  # text bytes handled at once; one longer text is one batch
 
 
+def give_back() -> None:
+    """Returns freed memory to the system.  Python workers live on from stage to stage, and what an earlier stage's batches
+    took would else stay with them beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) in runs of about ``limit`` bytes; null texts become empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")

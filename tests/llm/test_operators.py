@@ -457,3 +457,93 @@ def test_short_items_prove_nothing(spark):
     docs = spark.createDataFrame([(1, "the man said is it raining today"), (2, "we add 2 2 apples")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "Is it?"), (2, "2 + 2 = ?"), (3, "")], "item_id long, text string")
     assert contaminated(docs, items).collect() == []
+
+
+def test_language_scores_are_those_of_a_plain_loop(spark):
+    """Every window and filter by itself: the filters' largest answers, softmax, and the mean by bytes."""
+    from meterwise.llm import language_id as L
+
+    rng = random.Random(3)
+    made = lambda s: " ".join("".join(rng.choice(s) for _ in range(rng.randint(2, 7))) for _ in range(60))
+    net = L.train([(made("abcde"), "x") for _ in range(30)] + [(made("vwxyz"), "y") for _ in range(30)] + [(made("äöüßé"), "z") for _ in range(30)])
+
+    def plain(text):
+        raw = text.lower().encode()
+        total, weight = np.zeros(len(net.langs)), 0
+        for a in range(0, max(1, len(raw)), L.WINDOW):
+            part = raw[a:a + L.WINDOW]
+            data = part.ljust(L.WINDOW + max(L.WIDTHS) - 1, b"\0")
+            top = np.full(net.conv.shape[1], -np.inf)
+            for place in range(L.WINDOW):
+                top = np.maximum(top, np.concatenate([net.embed[b] for b in data[place:place + max(L.WIDTHS)]]) @ net.conv)
+            z = np.maximum(top + net.bias, 0) @ net.dense + net.offset
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * len(part)
+            weight += len(part)
+        return total / max(1, weight)
+
+    texts = ["", "12 !", "a", made("abcde"), made("vwxyz") + " " + made("äöüßé"), made("äöüßé") * 5, "x" * L.WINDOW, "Y" * (L.WINDOW + 1), None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    for r in rows.select("t", L.predict(rows.t, net).alias("p")).collect():
+        if not any(map(str.isalpha, r.t or "")):
+            assert (r.p.lang_pred, r.p.score) == ("und", 0.0)
+            continue
+        want = plain(r.t)
+        assert r.p.lang_pred == net.langs[int(want.argmax())] and abs(r.p.score - want.max()) < 1e-4
+
+
+def test_license_scan_equals_plain_dictionaries(spark):
+    """Probabilities by words and pairs one at a time, and the confirmation by triples, over whole, cut and made-up notices."""
+    from meterwise.llm import license_scan as L
+
+    rng = random.Random(8)
+    corpus = [" ".join("".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(3, 40))) for _ in range(150)]
+    model = L.train(corpus)
+    notices = [t for f in L.FAMILIES for t in L.TEMPLATES[f]]
+    paragraphs = corpus[:20] + notices + ["noted: " + t + " (see below)" for t in notices] + [" ".join(t.split()[:len(t.split()) // 2]) for t in notices]
+    paragraphs += [t.format("Vanta Sol", 3) for t in L.OTHER_NOTICES] + ["we license this house for a fee", "", "   "]
+
+    def plain(text):
+        words = text.encode().split()
+        h = [int(L._word_hash(w)) for w in words]
+        features = [x % L.DIMS for x in h]
+        features += [((a * 0x9E3779B97F4A7C15 + b) % 2**64 >> 20) % L.DIMS for a, b in zip(h, h[1:])]
+        if not features:
+            return np.eye(len(L.CLASSES))[L.CLASSES.index(L.NONE)]
+        z = (sum(model.weights[f].astype(float) for f in features) / len(features) ** 0.5 + model.offset) / model.heat
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    import pyarrow as pa
+
+    p = model.probabilities(pa.array(paragraphs, pa.large_string()))
+    assert np.abs(p - np.array([plain(t) for t in paragraphs])).max() < 1e-5
+    docs = spark.createDataFrame([(i, "\n".join(paragraphs[i:i + 3])) for i in range(0, len(paragraphs), 3)], "doc_id long, text string")
+    got = {r[0]: r for r in docs.mapInArrow(L._scan(model), "doc_id long, n_paragraphs long, licenses array<string>, n_unknown long, score double").collect()}
+    families = set()
+    for i in range(0, len(paragraphs), 3):
+        sure, unknown, score = set(), 0, 0.0
+        for t in paragraphs[i:i + 3]:
+            q = plain(t)
+            if 1 - q[L.CLASSES.index(L.NONE)] < L.SURE:
+                continue
+            family, share = L.best_template(t)
+            if q.max() >= L.SURE and L.CLASSES[int(q.argmax())] == family and share >= L.CONFIRM:
+                sure.add(family)
+                score = max(score, q.max())
+            else:
+                unknown += 1
+        families |= sure
+        r = got[i]
+        assert (r.n_paragraphs, r.licenses, r.n_unknown) == (sum(bool(t.strip()) for t in paragraphs[i:i + 3]), sorted(sure), unknown)
+        assert abs(r.score - score) < 1e-4
+    assert families == set(L.FAMILIES)  # each family's own notice is found
+
+
+def test_the_largest_id_is_an_id(spark):
+    from meterwise.llm.simhash_dedup import keep_one
+    from meterwise.llm.substring_dedup import dedup_substrings
+
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(NO_ID, text), (None, text), (None, "some other words that nobody else has")], "doc_id long, text string")
+    assert sorted(r.doc_id is None for r in keep_one(docs).collect()) == [False, True]
+    assert {r.doc_id for r in keep_one(docs).collect()} == {NO_ID, None}
+    assert Counter(r.doc_id for r in dedup_substrings(docs).collect()) == {NO_ID: 1, None: 2}
