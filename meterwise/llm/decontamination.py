@@ -9,20 +9,19 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meterwise.session import materialize
 
-from .words import ragged, slices, word_codes
+from .words import give_back, ragged, slices, word_codes
 
 K1, B = 1.2, 0.75  # BM25
 RETRIEVE = 0.5  # of an item's score against itself
 OVERLAP, PART = 0.8, 0.5  # five-word shingles an item must share in all, and its question and its answer each
 SHINGLE = 5
 BLOCK = 32  # postings under one block maximum
-CELLS = 4 << 20  # words of passages that are sorted at once
+CELLS = 1 << 20  # words of passages, or passages by items, in one table; a worker holds a few such tables
 INDEX_BYTES = 8 << 20  # item text that one index holds; a larger benchmark becomes several
 WORD = re.compile(r"[^\W_]+")
 LEAST_WORDS = SHINGLE  # of an item; shorter ones are found in any text and prove nothing
@@ -312,11 +311,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def is_clean(text: Column, index: ItemIndex) -> Column:
-    @F.pandas_udf("boolean")
-    def of(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def of(texts: pa.Array) -> pa.Array:
         clean = np.ones(len(texts), bool)
-        clean[[m[0] for m in index.matches(pa.array(texts, pa.string(), from_pandas=True))]] = False
-        return pd.Series(clean)
+        clean[[m[0] for m in index.matches(texts)]] = False
+        give_back()
+        return pa.array(clean)
 
     return of(text)
 

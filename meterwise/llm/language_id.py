@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .words import give_back
+
 WINDOW = 256  # bytes the network reads at once
 EMBED, FILTERS, WIDTHS = 8, 24, (2, 3, 4)  # floats a byte; filters of each width, in bytes
 SAMPLE = 6000  # windows to learn from, shared equally among the languages
@@ -162,6 +164,7 @@ def predict(text: Column, net: ByteConvNet) -> Column:
                 probs = net.probabilities(windows)
                 np.add.at(total, who, probs * size[:, None])
                 np.add.at(weight, who, size)
+        give_back()
         mean = total / np.maximum(weight, 1)[:, None]
         best = mean.argmax(axis=1)
         lettered = np.array([bool(net.langs) and any(map(str.isalpha, t)) for t in texts], bool)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from meterwise.session import materialize
 
 from .tokens import encode
-from .words import slices
+from .words import give_back, slices
 
 PART = 200_000  # rows of one size that are ranked in one group
 
@@ -37,6 +37,7 @@ def _pieces(path: str, end_id: int, capacity: int):
                     [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
+            give_back()
     return run
 
 
