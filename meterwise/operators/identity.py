@@ -65,3 +65,30 @@ def cost_by_resource(lines: DataFrame, names: DataFrame, name_col: str, time_col
     resource = F.when(F.col("status") == "active", F.col("resource")).otherwise(F.lit(UNALLOCATED))
     return j.groupBy(*keys, resource.alias("resource"), "status").agg(
         F.sum("cost").cast("decimal(38,2)").alias("cost"), F.sum("lines").cast("long").alias("lines"), F.max("hops").alias("hops"))
+
+
+def cost_by_service(lines: DataFrame, mapping: DataFrame, resource_col: str, time_col: str, amount_col: str, keys: list[str]) -> DataFrame:
+    """``keys, service, allocated, line_parts``: each line's cost goes to the services that its resource maps to at that time.
+
+    ``mapping``: rows ``(resource_id, service, effective_from, effective_until)``, the end excluded and null if open; a
+    repeated row counts once.  Services that hold at once share evenly at 12 decimals, and the first by name takes what is
+    left, so totals are conserved; what maps to none (a null resource too) goes to ``Unallocated``.  Lines are summed per
+    resource and time first, so a resource with very many lines meets its services once for each time.
+    """
+    exact = "decimal(30,12)"
+    per = lines.groupBy(*keys, F.col(resource_col).alias("rid"), F.col(time_col).alias("at")).agg(
+        F.sum(F.col(amount_col).cast(exact)).cast(exact).alias("cost"), F.count(F.lit(1)).alias("lines"))
+    known = mapping.filter(F.col("service").isNotNull()).select(
+        F.col("resource_id").alias("of"), "service", F.col("effective_from").alias("born"), F.col("effective_until").alias("died")).distinct()
+    holds = (F.col("born") <= F.col("at")) & (F.col("died").isNull() | (F.col("at") < F.col("died")))
+    # A service's rows that overlap are one claim, so a service never gets two shares of a line.
+    j = per.join(known, (F.col("rid") == F.col("of")) & holds, "left").select(*keys, "rid", "at", "cost", "lines", "service").distinct()
+    line = Window.partitionBy(*keys, "rid", "at")
+    n = F.count("service").over(line).cast("decimal(7,0)")
+    j = j.withColumns({"n": n, "first": F.row_number().over(line.orderBy("service")) == 1})
+    base = (F.col("cost") / F.col("n")).cast(exact)
+    others = (base * (F.col("n") - 1).cast("decimal(7,0)")).cast(exact)  # cast back: a wider type would cost a decimal
+    share = (F.when(F.col("service").isNull(), F.col("cost"))
+             .when(F.col("first"), (F.col("cost") - others).cast(exact)).otherwise(base))
+    return j.groupBy(*keys, F.coalesce("service", F.lit(UNALLOCATED)).alias("service")).agg(
+        F.sum(share).cast("decimal(38,12)").alias("allocated"), F.sum("lines").cast("long").alias("line_parts"))

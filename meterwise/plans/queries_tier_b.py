@@ -10,7 +10,7 @@ from decimal import Decimal
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from meterwise.operators import allocation, analytics, costs, periods, rating, upsert
+from meterwise.operators import allocation, analytics, costs, identity, periods, rating, upsert
 from meterwise.operators.entitlements import failures_since_paid
 from meterwise.operators.pricing import attach_pricing
 from meterwise.plans.catalog import register
@@ -869,46 +869,36 @@ def q_ops_metrics(spark, sf):
 
 # ---------------------------------------------------------------- B-16
 def resource_map(spark, sf):
-    """Resource -> service mapping with lifecycle: suppliers ending 0/4/8 map to two
-    services from 1995-01-01, suppliers ending 1/5/9 to one from 1996-01-01, the rest are
-    unmapped.  ``n`` and ``rank`` are per resource (the map is resource-sized)."""
-    s = table(spark, sf, "supplier")
-    k = F.col("s_suppkey")
-    two = s.filter(k % 4 == 0).select(k.alias("resource_id"), F.explode(F.array(F.lit("svc-a"), F.lit("svc-b"))).alias("service"),
-                                      F.lit("1995-01-01 00:00:00").cast("timestamp_ntz").alias("effective_from"))
-    one = s.filter(k % 4 == 1).select(k.alias("resource_id"), F.concat(F.lit("svc-"), (k % 3).cast("string")).alias("service"),
-                                      F.lit("1996-01-01 00:00:00").cast("timestamp_ntz").alias("effective_from"))
-    m = two.unionByName(one)
-    w = Window.partitionBy("resource_id")
-    return m.withColumn("n", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("service")))
+    """Resource -> service mapping with lifecycle: suppliers ending 0/4/8 map to svc-a from 1995-01-01 and to svc-b as
+    well from 1996-06-01, suppliers ending 1/5/9 to one service from 1996-01-01 until 1997-07-01, the rest are unmapped."""
+    s, k, at = table(spark, sf, "supplier"), F.col("s_suppkey"), lambda day: F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
+    row = lambda service, since, until: F.struct(service.alias("service"), since.alias("effective_from"), until.alias("effective_until"))
+    open_end = F.lit(None).cast("timestamp_ntz")
+    two = F.array(row(F.lit("svc-a"), at("1995-01-01"), open_end), row(F.lit("svc-b"), at("1996-06-01"), open_end))
+    one = F.array(row(F.concat(F.lit("svc-"), (k % 3).cast("string")), at("1996-01-01"), at("1997-07-01")))
+    return s.filter(k % 4 < 2).select(k.alias("resource_id"), F.explode(F.when(k % 4 == 0, two).otherwise(one)).alias("m")).select("resource_id", "m.*")
 
 
 @register("resource_mapping", with_views(["v_cost_lines"], """
-WITH m0 AS (SELECT s_suppkey AS resource_id, unnest(['svc-a', 'svc-b']) AS service, TIMESTAMP '1995-01-01' AS effective_from
-            FROM supplier WHERE s_suppkey % 4 = 0
-            UNION ALL
-            SELECT s_suppkey, 'svc-' || (s_suppkey % 3), TIMESTAMP '1996-01-01' FROM supplier WHERE s_suppkey % 4 = 1),
-m AS (SELECT *, count(*) OVER (PARTITION BY resource_id) AS n, row_number() OVER (PARTITION BY resource_id ORDER BY service) AS rank FROM m0),
+WITH m AS (SELECT s_suppkey AS resource_id, 'svc-a' AS service, TIMESTAMP '1995-01-01' AS born, CAST(NULL AS TIMESTAMP) AS died
+           FROM supplier WHERE s_suppkey % 4 = 0
+           UNION ALL SELECT s_suppkey, 'svc-b', TIMESTAMP '1996-06-01', NULL FROM supplier WHERE s_suppkey % 4 = 0
+           UNION ALL SELECT s_suppkey, 'svc-' || (s_suppkey % 3), TIMESTAMP '1996-01-01', TIMESTAMP '1997-07-01'
+           FROM supplier WHERE s_suppkey % 4 = 1),
 l AS (SELECT resource_id, currency, usage_start_time, CAST(date_trunc('month', usage_start_time) AS TIMESTAMP) AS month,
-             CAST(amount * 100 AS BIGINT) AS cents FROM v_cost_lines),
-j AS (SELECT l.month, l.currency, coalesce(m.service, 'Unallocated') AS service,
-             CASE WHEN m.service IS NULL THEN l.cents
-                  ELSE l.cents // m.n + CASE WHEN m.rank = 1 THEN l.cents % m.n ELSE 0 END END AS share
-      FROM l LEFT JOIN m ON l.resource_id = m.resource_id AND l.usage_start_time >= m.effective_from)
-SELECT month, currency, service, CAST(sum(share) AS BIGINT) AS allocated_cents, count(*) AS line_parts FROM j GROUP BY 1, 2, 3"""))
+             CAST(sum(amount) * 1000 AS HUGEINT) AS mills, count(*) AS lines FROM v_cost_lines GROUP BY 1, 2, 3, 4),
+j AS (SELECT l.*, m.service, count(m.service) OVER w AS n, row_number() OVER (w ORDER BY m.service) AS rank
+      FROM l LEFT JOIN m ON l.resource_id = m.resource_id AND l.usage_start_time >= m.born AND (m.died IS NULL OR l.usage_start_time < m.died)
+      WINDOW w AS (PARTITION BY l.resource_id, l.currency, l.usage_start_time))
+SELECT month, currency, coalesce(service, 'Unallocated') AS service,
+       CAST(CAST(sum(CASE WHEN service IS NULL THEN mills WHEN rank = 1 THEN mills - mills // n * (n - 1) ELSE mills // n END) AS DECIMAL(27,0)) * 0.001
+            AS DECIMAL(38,12)) AS allocated,
+       CAST(sum(lines) AS BIGINT) AS line_parts
+FROM j GROUP BY 1, 2, 3"""))
 def q_resource_mapping(spark, sf):
-    """B-16: each cost line goes to the services its resource maps to on that day,
-    split evenly to the cent (remainder to the first service); unmapped -> Unallocated,
-    so totals are conserved.  The join fans out by at most the mappings of one resource."""
-    l = fx.cost_lines(spark, sf).select(
-        "resource_id", "currency", "usage_start_time",
-        F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month"),
-        (F.col("amount") * 100).cast("long").alias("cents"),
-    )
-    m = resource_map(spark, sf)
-    j = l.join(m, (l.resource_id == m.resource_id) & (l.usage_start_time >= m.effective_from), "left")
-    share = F.when(F.col("service").isNull(), F.col("cents")).otherwise(
-        F.expr("cents div n") + F.when(F.col("rank") == 1, F.col("cents") % F.col("n")).otherwise(F.lit(0))
-    )
-    out = j.select("month", "currency", F.coalesce(F.col("service"), F.lit("Unallocated")).alias("service"), share.alias("share"))
-    return out.groupBy("month", "currency", "service").agg(F.sum("share").cast("long").alias("allocated_cents"), F.count("*").alias("line_parts"))
+    """B-16: each cost line goes to the services its resource maps to at that time, split evenly at full precision;
+    unmapped -> Unallocated, so totals are conserved.  The join fans out by at most the mappings of one resource."""
+    lines = fx.cost_lines(spark, sf).select(
+        "resource_id", "currency", "usage_start_time", "amount",
+        F.date_trunc("month", "usage_start_time").cast("timestamp_ntz").alias("month"))
+    return identity.cost_by_service(lines, resource_map(spark, sf), "resource_id", "usage_start_time", "amount", ["month", "currency"])

@@ -17,6 +17,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meterwise.functions.prefix import chunked_running
 from meterwise.sources.tables import table
 
 # Fixture constants.
@@ -237,13 +238,14 @@ def price_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``v_estimates``: cost estimates, several versions per change request."""
-    o = table(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    """``v_estimates``: cost estimates, several versions per change request, numbered month by month in two levels, so
+    that a request with very many versions is no single task."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    o = chunked_running(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.date_trunc("month", "o_orderdate"), {"version": (F.lit(1), "sum", True)})
     price = F.col("o_totalprice").cast("decimal(18,2)")
     return o.select(
         F.col("o_custkey").alias("pr_id"),
-        F.row_number().over(w).cast("long").alias("version"),
+        F.col("version").cast("long").alias("version"),
         F.concat(F.lit("repo-"), (F.col("o_custkey") % 9).cast("string")).alias("repository"),
         F.when(F.col("o_custkey") % 2 == 0, "prod").otherwise("dev").alias("environment"),
         F.round(price * F.lit(Decimal("0.01")), 2).cast("decimal(18,2)").alias("cost_before"),

@@ -186,3 +186,36 @@ def test_window_bounds_reach_the_scan(spark, name):
 
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert any("ts" in x.split("]")[0] and "GreaterThanOrEqual(ts" in x.split("ReadSchema")[0] for x in plan.split("PushedFilters: [")[1:])
+
+
+def test_lines_go_to_the_services_that_hold_at_their_time(spark):
+    lines = spark.createDataFrame(
+        [("r1", datetime(2024, 1, d), Decimal(a), "USD") for d, a in ((1, "0.010000000001"), (5, "0.01"), (9, "0.01"), (9, "0.005"))]
+        + [("r2", datetime(2024, 1, 5), Decimal("-1"), "USD"), (None, datetime(2024, 1, 5), Decimal("2.5"), "EUR"), ("r9", datetime(2024, 1, 5), None, "EUR")],
+        "resource string, at timestamp_ntz, amount decimal(38,12), currency string")
+    day = lambda d: datetime(2024, 1, d)
+    mapping = spark.createDataFrame(
+        [("r1", "a", day(1), day(9)), ("r1", "b", day(1), None), ("r1", "b", day(2), None), ("r1", "c", day(5), None), ("r1", "c", day(5), None),
+         ("r1", None, day(1), None), ("r2", "b", day(6), None), (None, "z", day(1), None)],
+        "resource_id string, service string, effective_from timestamp_ntz, effective_until timestamp_ntz")
+    got = {(r.currency, r.service): (r.allocated, r.line_parts)
+           for r in identity.cost_by_service(lines, mapping, "resource", "at", "amount", ["currency"]).collect()}
+    # 1st: a, b, where half a unit is rounded up and a takes the rest; 5th: a, b, c, the odd unit to a; 9th, both lines: a has ended, so b and c
+    assert got == {("USD", "a"): (Decimal("0.008333333334"), 2), ("USD", "b"): (Decimal("0.015833333334"), 4),
+                   ("USD", "c"): (Decimal("0.010833333333"), 3), ("USD", "Unallocated"): (Decimal("-1"), 1), ("EUR", "Unallocated"): (Decimal("2.5"), 2)}
+    empty = identity.cost_by_service(lines, mapping.limit(0), "resource", "at", "amount", ["currency"])
+    assert {(r.service, r.line_parts) for r in empty.collect()} == {("Unallocated", 5), ("Unallocated", 2)}
+    assert identity.cost_by_service(lines.limit(0), mapping, "resource", "at", "amount", ["currency"]).count() == 0
+
+
+def test_versions_of_a_hot_request_are_numbered_in_order(spark, tmp_path):
+    from meterwise.sources import fixtures
+
+    rows = [(i, 1 if i % 3 else i, datetime(2024, 1 + i % 12, 1 + i % 5), 10.0 + i) for i in range(300)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    want, seen = {}, Counter()
+    for i, c, at, price in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        seen[c] += 1
+        want[c, seen[c]] = (Decimal(price) * Decimal("0.01")).quantize(Decimal("0.01"))
+    got = {(r.pr_id, r.version): r.cost_before for r in fixtures.estimates(spark, str(tmp_path)).collect()}
+    assert got == want and max(seen.values()) == 200
