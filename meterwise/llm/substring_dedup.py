@@ -152,8 +152,9 @@ def _whole(window: int):
 def _cover(window: int):
     def run(batches):
         for batch in batches:
+            ids = [None if x == NO_ID and th & 1 else x for x, th in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             n_words, n_gone, spans, kept = [], [], [], []
-            for text, runs in zip(batch.column(1), batch.column(2)):
+            for text, runs in zip(batch.column(2), batch.column(3)):
                 words = (text.as_py() or "").encode().split()
                 n_words.append(len(words))
                 if runs.is_valid and len(runs):
@@ -171,7 +172,7 @@ def _cover(window: int):
                     n_gone.append(0)
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()),
+                [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())],
                 ["doc_id", "n_words", "n_removed", "spans", "kept_text"])
     return run
@@ -198,10 +199,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if window <= SEED_WORDS or window > 40:
         raise ValueError(f"window must be {SEED_WORDS + 1} to 40 words")
     given = F.col(id_col).cast("long")
-    rows = docs.select(given.alias("doc_id"), F.coalesce(given, F.lit(NO_ID)).alias("did"), F.col(text_col).alias("text"))
-    marked = rows.select("doc_id", "did", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    keyed = marked.drop("doc_id")
-    anchors = rows.drop("doc_id").mapInArrow(_anchors(window), "h long, did long")
+    # The last bit of a text's hash says that it has no id, so both joins of texts below shuffle the same columns, once.
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(-2)).bitwiseOR(given.isNull().cast("long"))
+    keyed = docs.select(F.coalesce(given, F.lit(NO_ID)).alias("did"), mark.alias("th"), F.col(text_col).alias("text"))
+    anchors = keyed.select("did", "text").mapInArrow(_anchors(window), "h long, did long")
     shared = cut(anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b"), F.count(F.lit(1)).alias("n"))
                  .where("a < b").select("h", "n"))
     total = shared.agg(F.sum("n")).first()[0] or 0
@@ -232,6 +233,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     extended = windows.join(firsts, ["w1", "w2"]).where("did > first").select("did", "th", "sn")
     copied = lists.select("did", "th", F.explode("copied").alias("sn"))
     hits = copied.union(extended).groupBy("did", "th").agg(F.collect_set("sn").alias("runs"))
-    return (marked.join(hits, ["did", "th"], "left").select("doc_id", "text", "runs")
+    return (keyed.join(hits, ["did", "th"], "left").select("did", "th", "text", "runs")
             .mapInArrow(_cover(window), "doc_id long, n_words long, n_removed long, "
                                         "spans array<struct<start:int,end:int>>, kept_text string"))
