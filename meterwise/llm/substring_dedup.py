@@ -7,8 +7,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from meterwise.session import materialize
+
 from .line_dedup import NO_ID
-from .scratch import cut
 from .words import slices, word_codes
 
 SEED_WORDS = 4  # words of an anchor; every window holds (window - SEED_WORDS + 1) of them
@@ -203,7 +204,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(-2)).bitwiseOR(given.isNull().cast("long"))
     keyed = docs.select(F.coalesce(given, F.lit(NO_ID)).alias("did"), mark.alias("th"), F.col(text_col).alias("text"))
     anchors = keyed.select("did", "text").mapInArrow(_anchors(window), "h long, did long")
-    shared = cut(anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b"), F.count(F.lit(1)).alias("n"))
+    shared = materialize(anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b"), F.count(F.lit(1)).alias("n"))
                  .where("a < b").select("h", "n"))
     total = shared.agg(F.sum("n")).first()[0] or 0
     # At most HOT anchors can each have over a HOT-th of all rows, so this set is small however large the corpus is.
@@ -217,12 +218,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lists = plain.select("did", "th", "sn", "first", "various")
     if len(hot):  # their runs are combined before the shuffle and joined back, which splits
         runs = keyed.mapInArrow(_runs_of(window, hot, True), schema)
-        contexts = cut(runs.groupBy("h", "c", "d").agg(F.min("did").alias("first")))
+        contexts = materialize(runs.groupBy("h", "c", "d").agg(F.min("did").alias("first")))
         various = contexts.groupBy("h").agg((F.min("first") < F.max("first")).alias("various"))
         told = runs.join(contexts.join(various, "h"), ["h", "c", "d"])
         lists = lists.unionByName(told.select("did", "th", "sn", "first", "various"))
     # one list for each text of an id, a set: repeated rows bring nothing new, and neither does another text without an id
-    lists = cut(lists.where("did > first or various").groupBy("did", "th")
+    lists = materialize(lists.where("did > first or various").groupBy("did", "th")
                 .agg(F.collect_set(F.when(F.col("did") > F.col("first"), F.col("sn"))).alias("copied"),
                      F.collect_set(F.when(F.col("did") <= F.col("first"), F.col("sn"))).alias("heads")))
     heads = lists.where(F.size("heads") > 0).select("did", "th", "heads")
