@@ -53,11 +53,13 @@ def chunk_of(ts: Column, grain: str | None) -> Column | None:
 
 def flag_samples(inbound: DataFrame) -> DataFrame:
     """A-P1: add ``account_uuid`` (canonical lower-case UUID) and ``reject_reason``."""
-    t = go_trim(F.col("uuid"))
-    reason = F.when(F.coalesce(t, F.lit("")) == "", F.lit(REASON_UUID_REQUIRED)).when(
-        canonical_uuid(t).isNull(), F.lit(REASON_UUID_INVALID)
+    # One-element ``explode``: a value is computed once, not again in every filter and column that uses it.
+    x = inbound.withColumn("__uuid", F.explode(F.array(go_trim(F.col("uuid")))))
+    x = x.withColumn("account_uuid", F.explode(F.array(canonical_uuid(F.col("__uuid")))))
+    reason = F.when(F.coalesce(F.col("__uuid"), F.lit("")) == "", F.lit(REASON_UUID_REQUIRED)).when(
+        F.col("account_uuid").isNull(), F.lit(REASON_UUID_INVALID)
     )
-    return inbound.withColumn("account_uuid", canonical_uuid(t)).withColumn("reject_reason", reason)
+    return x.withColumn("reject_reason", reason).drop("__uuid")
 
 
 def validate_samples(inbound: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,8 +143,10 @@ def counter_deltas(
     step1 = chunked_window(
         rows, keys, order, chunk,
         lags=["collected_at", "uplink_total", "downlink_total", "is_seed"],
-        runs={"seed_place": (F.when(F.col("is_seed") == 1, place), "max", "all")},
+        runs={"seed_place": (F.when(F.col("is_seed") == 1, place), "max", "all")} if checkpoints is not None else {},
     )
+    if checkpoints is None:  # nothing can be late
+        step1 = step1.withColumn("seed_place", F.lit(None).cast(step1.select(place).schema[0].dataType))
     is_late = F.col("seed_place").isNotNull() & (place <= F.col("seed_place")) & (F.col("is_seed") == 0)
     is_dup = (F.col("prev_is_seed") == 0) & ~F.coalesce(is_late, F.lit(False))
     for c in ("collected_at", "uplink_total", "downlink_total"):

@@ -9,7 +9,7 @@ from meterwise.config import RatingConfig
 from meterwise.operators import costs, lifecycle, metering, rating, status, sync, upsert
 from meterwise.operators.pricing import attach_pricing
 from meterwise.plans.catalog import register
-from meterwise.plans.metering_job import meter_samples
+from meterwise.plans.metering_job import meter_samples, meter_stored
 from meterwise.plans.oracle import DEFAULT_QUOTA, PREFIX_CUT, canonical, t, with_views
 from meterwise.plans.queries_metering import FIXTURE_CFG, metered
 from meterwise.session import materialize
@@ -218,14 +218,15 @@ def q_quota_state_final(spark, sf):
 
 # ---------------------------------------------------------------- A-S7..A-S10, A-U1..A-U3, A-J4
 def prefix_and_full(spark, sf):
-    """An earlier run (snapshots before PREFIX_CUT) and a later run over everything."""
+    """An earlier run (snapshots before PREFIX_CUT) and a later run over everything.  The time is part of a sample's
+    key, so both runs read the same written samples."""
     inbound = fx.inbound(spark, sf)
-    cut = F.lit(PREFIX_CUT).cast("timestamp_ntz")
+    before = F.col("collected_at") < F.lit(PREFIX_CUT).cast("timestamp_ntz")
     prof, quota = fx.profiles(spark, sf), fx.quota_states(spark, sf)
-    from meterwise.plans.metering_job import meter_inbound
-
-    early = meter_inbound(inbound.filter(F.col("collected_at") < cut), prof, quota, None, FIXTURE_CFG)
-    full = meter_inbound(inbound, prof, quota, None, FIXTURE_CFG)
+    good, bad = metering.validate_samples(inbound)
+    samples = materialize(metering.aggregate_inbounds(good))
+    early = meter_stored(samples.filter(before), prof, quota, None, FIXTURE_CFG, bad.filter(before))
+    full = meter_stored(samples, prof, quota, None, FIXTURE_CFG, bad)
     return early, full
 
 

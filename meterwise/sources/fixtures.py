@@ -83,8 +83,7 @@ def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     s = samples(spark, sf_dir)
     third = F.expr("uplink_total div 3")
-    first = s.select(
-        "event_id", "collected_at", "node_id", "env",
+    first = F.struct(
         F.lit(0).alias("pos"),
         F.col("account_uuid").alias("uuid"),
         F.lit("").alias("email"),
@@ -92,8 +91,7 @@ def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("uplink_total") - third).alias("uplink_bytes_total"),
         F.col("downlink_total").alias("downlink_bytes_total"),
     )
-    second = s.select(
-        "event_id", "collected_at", "node_id", "env",
+    second = F.struct(
         F.lit(1).alias("pos"),
         F.when(F.col("event_id") % 97 == 0, F.lit("not-a-uuid")).otherwise(F.upper("account_uuid")).alias("uuid"),
         F.concat(F.lit(" u"), F.col("user_id").cast("string"), F.lit("@example.com ")).alias("email"),
@@ -101,7 +99,8 @@ def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
         third.alias("uplink_bytes_total"),
         F.lit(0).cast("long").alias("downlink_bytes_total"),
     )
-    return first.unionByName(second)
+    # both entries from one read and one running total of the samples
+    return s.select("event_id", "collected_at", "node_id", "env", F.inline(F.array(first, second)))
 
 
 def replayed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

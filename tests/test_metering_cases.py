@@ -175,3 +175,29 @@ def test_snapshot_without_time_is_quarantined(spark, cfg):
     r = meter_inbound(df, None, None, None, cfg)
     assert [x.reject_reason for x in r.quarantine.collect()] == ["snapshot collected_at is required"]
     assert r.buckets.count() == 1
+
+
+def busy_and_quiet(spark):
+    """A has 40 samples over ten days with two resets, B two."""
+    rows = [(f"2026-07-{1 + i // 4:02d} 0{i % 4}:00:00", "n", "prod", [(A, "", "xhttp", 100 * (i % 17), 7 * (i % 17))]) for i in range(40)]
+    return inbound(spark, rows + [(f"2026-07-0{d} 05:00:00", "n", "prod", [(B, "", "xhttp", 50 * d, d)]) for d in (1, 3)])
+
+
+def test_accounts_that_fit_a_task_are_metered_without_further_copies(spark, monkeypatch):
+    def refuse(df):
+        raise AssertionError("a two-level window wrote its input")
+
+    monkeypatch.setattr("meterwise.functions.prefix.materialize", refuse)
+    r = meter_inbound(busy_and_quiet(spark), cfg=CFG)
+    assert r.rated.count() == 40 and r.deltas.filter("billable").count() == 40  # two of 42 samples are resets
+
+
+def test_hot_accounts_are_split_by_day_beside_plain_windows_for_others(spark, monkeypatch):
+    monkeypatch.setattr("meterwise.plans.metering_job.HOT_ROWS", 5)
+    quota = spark.createDataFrame([(A, 3000, 10.0, None, "active")], "account_uuid string, remaining_included_quota bigint, "
+                                  "current_balance double, arrears_since timestamp_ntz, suspend_state string")
+    want, got = (meter_inbound(busy_and_quiet(spark), None, quota, None, RatingConfig(**{**CFG.__dict__, "chunk": c})) for c in (None, "day"))
+    assert [r.account_uuid for r in got.hot.collect()] == [A] and want.hot is None
+    for part in ("deltas", "buckets", "rated", "ledger", "quota_states", "checkpoints"):
+        a, b = (getattr(x, part) for x in (want, got))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect())), part
