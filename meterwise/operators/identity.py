@@ -73,22 +73,32 @@ def cost_by_service(lines: DataFrame, mapping: DataFrame, resource_col: str, tim
     ``mapping``: rows ``(resource_id, service, effective_from, effective_until)``, the end excluded and null if open; a
     repeated row counts once.  Services that hold at once share evenly at 12 decimals, and the first by name takes what is
     left, so totals are conserved; what maps to none (a null resource too) goes to ``Unallocated``.  Lines are summed per
-    resource and time first, so a resource with very many lines meets its services once for each time.
+    resource and time first, so a resource with very many lines meets its services once for each time.  A sum then meets
+    the one span that holds its time (:func:`service_spans`) and is split in its own row: no set or window of the lines.
     """
     exact = "decimal(30,12)"
     per = lines.groupBy(*keys, F.col(resource_col).alias("rid"), F.col(time_col).alias("at")).agg(
         F.sum(F.col(amount_col).cast(exact)).cast(exact).alias("cost"), F.count(F.lit(1)).alias("lines"))
-    known = mapping.filter(F.col("service").isNotNull()).select(
-        F.col("resource_id").alias("of"), "service", F.col("effective_from").alias("born"), F.col("effective_until").alias("died")).distinct()
-    holds = (F.col("born") <= F.col("at")) & (F.col("died").isNull() | (F.col("at") < F.col("died")))
-    # A service's rows that overlap are one claim, so a service never gets two shares of a line.
-    j = per.join(known, (F.col("rid") == F.col("of")) & holds, "left").select(*keys, "rid", "at", "cost", "lines", "service").distinct()
-    line = Window.partitionBy(*keys, "rid", "at")
-    n = F.count("service").over(line).cast("decimal(7,0)")
-    j = j.withColumns({"n": n, "first": F.row_number().over(line.orderBy("service")) == 1})
-    base = (F.col("cost") / F.col("n")).cast(exact)
-    others = (base * (F.col("n") - 1).cast("decimal(7,0)")).cast(exact)  # cast back: a wider type would cost a decimal
-    share = (F.when(F.col("service").isNull(), F.col("cost"))
-             .when(F.col("first"), (F.col("cost") - others).cast(exact)).otherwise(base))
+    holds = (F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
+    j = per.join(service_spans(mapping), (F.col("rid") == F.col("of")) & holds, "left")
+    n = F.size("services").cast("decimal(7,0)")
+    base = (F.col("cost") / n).cast(exact)
+    others = (base * (n - 1).cast("decimal(7,0)")).cast(exact)  # cast back: a wider type would cost a decimal
+    j = j.select(*keys, "cost", "lines", base.alias("base"), (F.col("cost") - others).cast(exact).alias("rest"),
+                 F.posexplode_outer("services").alias("place", "service"))
+    share = (F.when(F.col("service").isNull(), F.col("cost")).when(F.col("place") == 0, F.col("rest")).otherwise(F.col("base")))
     return j.groupBy(*keys, F.coalesce("service", F.lit(UNALLOCATED)).alias("service")).agg(
         F.sum(share).cast("decimal(38,12)").alias("allocated"), F.sum("lines").cast("long").alias("line_parts"))
+
+
+def service_spans(mapping: DataFrame) -> DataFrame:
+    """``of, since, until, services``: the spans of a resource's time between changes of its mapping, each with the sorted
+    names that hold throughout; ``until`` is null for the last.  Spans of a resource never overlap."""
+    known = mapping.filter(F.col("service").isNotNull() & F.col("resource_id").isNotNull() & F.col("effective_from").isNotNull()).select(
+        F.col("resource_id").alias("of"), "service", F.col("effective_from").alias("born"), F.col("effective_until").alias("died"))
+    changes = known.select("of", F.explode(F.array("born", "died")).alias("since")).filter(F.col("since").isNotNull()).distinct()
+    spans = changes.withColumn("until", F.lead("since").over(Window.partitionBy("of").orderBy("since")))
+    holds = (F.col("born") <= F.col("since")) & (F.col("died").isNull() | (F.col("since") < F.col("died")))
+    # A service's rows that overlap are one claim, so a service never gets two shares of a line.
+    return spans.join(known, "of").filter(holds).groupBy("of", "since", "until").agg(
+        F.array_sort(F.collect_set("service")).alias("services"))

@@ -1,6 +1,7 @@
 """Names over time, allocation rules, mapping rules, price scopes, grains, margins, the source gate and the landing zone."""
 
 import os
+import re
 from collections import Counter
 from datetime import datetime
 from decimal import Decimal
@@ -219,3 +220,22 @@ def test_versions_of_a_hot_request_are_numbered_in_order(spark, tmp_path):
         want[c, seen[c]] = (Decimal(price) * Decimal("0.01")).quantize(Decimal("0.01"))
     got = {(r.pr_id, r.version): r.cost_before for r in fixtures.estimates(spark, str(tmp_path)).collect()}
     assert got == want and max(seen.values()) == 200
+
+
+def test_lines_are_split_in_their_own_row_over_the_span_that_holds_their_time(spark):
+    t = [ts(f"2026-0{m}-01") for m in range(1, 8)]
+    mapping = spark.createDataFrame(
+        [("r", "b", t[0], None), ("r", "a", t[1], t[4]), ("r", "a", t[2], t[5]), ("r", "c", t[2], t[3]), ("r", "c", t[2], t[3]), ("r", "d", t[3], t[3]),
+         ("r", None, t[0], None), (None, "x", t[0], None), ("r", "y", None, None), ("s", "z", t[1], t[2])],
+        "resource_id string, service string, effective_from timestamp_ntz, effective_until timestamp_ntz")
+    rows = [(n, at, Decimal("0.01")) for n in ("r", "s", None) for at in (*t, None)] + [("r", t[2], Decimal("-0.02")), ("r", t[2], None)]
+    lines = spark.createDataFrame(rows, "resource string, at timestamp_ntz, amount decimal(18,2)").withColumn("day", F.col("at"))
+    df = identity.cost_by_service(lines, mapping, "resource", "at", "amount", ["day"])
+    got = {(r.day, r.service): (r.allocated, r.line_parts) for r in df.collect()}
+    third = Decimal("-0.003333333333")
+    assert {s: got[(t[2], s)] for s in "abc"} == {"a": (Decimal("-0.01") - 2 * third, 3), "b": (third, 3), "c": (third, 3)}
+    assert {(m, s) for m, x in enumerate(t) for s in "abcz" if (x, s) in got} == {
+        *((m, "b") for m in range(7)), *((m, "a") for m in (1, 2, 3, 4)), (2, "c"), (1, "z")}
+    assert got[(None, "Unallocated")] == (Decimal("0.03"), 3) and sum(a for a, _ in got.values()) == Decimal("0.22")
+    windows = re.findall(r"windowspecdefinition\((\w+)#", df._jdf.queryExecution().optimizedPlan().toString())
+    assert set(windows) == {"of"}  # over the mapping only, never over lines
