@@ -83,7 +83,8 @@ def _objects(text: Column) -> Column:
         lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, r"\}\s*\{", "}\x03{")).otherwise(p),
     )
     joined = F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
-    return F.when(text.rlike("[\x01-\x03]"), F.array(text)).otherwise(F.split(joined, "\x03", -1))
+    one = ~text.rlike(r"\}\s*\{") | text.rlike("[\x01-\x03]")  # without a ``} {`` at all there is nothing to cut
+    return F.when(one, F.array(text)).otherwise(F.split(joined, "\x03", -1))
 
 
 def decode_bodies(bodies: DataFrame, id_col: str = "body_id", body_col: str = "body") -> tuple[DataFrame, DataFrame]:
@@ -95,7 +96,9 @@ def decode_bodies(bodies: DataFrame, id_col: str = "body_id", body_col: str = "b
     with a reason and a bounded excerpt.
     """
     t = go_trim(F.col(body_col))
-    b = bodies.select(id_col, t.alias("__t"))
+    # The bodies' own column and one-element ``explode`` keep Catalyst from copying these expressions into each of
+    # their uses, filters among them: a body is trimmed, cut and parsed once.
+    b = bodies.select(id_col, F.explode(F.array(t)).alias("__t"))
     is_array = F.substring("__t", 1, 1) == "["
     elements = F.from_json("__t", T.ArrayType(T.StringType()))
     pieces = _objects(F.col("__t"))
@@ -103,25 +106,26 @@ def decode_bodies(bodies: DataFrame, id_col: str = "body_id", body_col: str = "b
     probe = T.StructType(SNAPSHOT_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
     opts = {"columnNameOfCorruptRecord": "_corrupt_record"}
 
-    def one(p):
-        d = F.from_json(p, probe, opts)
-        ok = (F.substring(p, 1, 1) == "{") & d["_corrupt_record"].isNull()
-        return F.when(ok, F.struct(*[d[f.name].alias(f.name) for f in SNAPSHOT_SCHEMA.fields]))
+    def parse(p):
+        return F.struct((F.substring(p, 1, 1) == "{").alias("object"), F.from_json(p, probe, opts).alias("d"))
+
+    parsed = F.transform(F.when(is_array, elements).otherwise(pieces), parse)
+    b = b.select(id_col, "__t", F.explode(F.array(F.when(F.length("__t") > 0, parsed))).alias("__p"))
+
+    def is_bad(p):
+        return ~F.coalesce(p["object"] & p["d"]["_corrupt_record"].isNull(), F.lit(False))
 
-    decoded = F.transform(F.when(is_array, elements).otherwise(pieces), one)
-    b = b.withColumn("__d", F.when(F.length("__t") > 0, decoded))
-    bad_piece = F.exists("__d", lambda s: s.isNull())
     reason = (
         F.when(F.length("__t") == 0, F.lit(REASON_EMPTY))
-        .when(F.col("__d").isNull() | bad_piece, F.lit(REASON_MALFORMED))
-        .when(F.size("__d") == 0, F.lit(REASON_EMPTY_ARRAY))
+        .when(F.col("__p").isNull() | F.exists("__p", is_bad), F.lit(REASON_MALFORMED))
+        .when(F.size("__p") == 0, F.lit(REASON_EMPTY_ARRAY))
     )
     b = b.withColumn("reason", reason)
     rejects = b.filter(F.col("reason").isNotNull()).select(
         id_col, "reason", excerpt(F.col("__t"), REJECT_EXCERPT_LIMIT).alias("excerpt")
     )
-    good = b.filter(F.col("reason").isNull()).select(id_col, F.posexplode("__d").alias("snapshot_index", "snap"))
-    return good.select(id_col, "snapshot_index", "snap.*"), rejects
+    good = b.filter(F.col("reason").isNull()).select(id_col, F.posexplode("__p").alias("snapshot_index", "snap"))
+    return good.select(id_col, "snapshot_index", *[F.col(f"snap.d.{f.name}") for f in SNAPSHOT_SCHEMA.fields]), rejects
 
 
 def load_registry(config: DataFrame, json_col: str = "sources_json", legacy_url_col: str | None = None) -> tuple[DataFrame, DataFrame]:

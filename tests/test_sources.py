@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from helpers import A
+from meterwise.sources import fixtures
 from meterwise.sources.snapshots import decode_bodies, load_registry
 
 SNAP = {"collected_at": "2026-07-13T10:30:15Z", "node_id": "jp-node", "env": "prod",
@@ -63,3 +64,21 @@ def test_braces_and_quotes_inside_strings_do_not_split(spark):
     good, bad = decode_bodies(bodies(spark, [one, one + " " + one + "\n" + one]))
     assert bad.count() == 0 and good.count() == 4
     assert {r.e for r in good.select(F.col("samples")[0]["email"].alias("e")).collect()} == {'a} {b"} {\\'}
+
+
+def test_a_body_is_trimmed_cut_and_parsed_once(spark):
+    good, bad = decode_bodies(bodies(spark, [json.dumps(SNAP), "[" + json.dumps(SNAP) + "]", "{", ""]))
+    assert sorted(r.body_id for r in good.collect()) == [0, 1] and sorted(r.body_id for r in bad.collect()) == [2, 3]
+    for df in (good, bad):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 2 and plan.count("trim(body") == 1  # an array's elements, and a piece
+
+
+def test_both_inbound_entries_come_from_one_read(spark, tmp_path):
+    rows = [(i, f"2024-01-0{1 + i % 3} 00:00:00", i % 2, 1.5 * i, '{"k": %d}' % i) for i in range(1, 99)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double, props string").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    df = fixtures.inbound(spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    got = df.collect()
+    assert len(got) == 196 and [r.uuid for r in got if r.event_id == 97 and r.pos == 1] == ["not-a-uuid"]
