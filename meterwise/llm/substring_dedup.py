@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,18 +41,24 @@ def _lowest(x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Two independent 64-bit hashes of every word, as rows."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2).T
+
+
 def _windows(texts: pa.Array, window: int):
-    """(text of every whole window, its first word, its lowest anchor, word hashes) of some texts."""
+    """(text of every whole window, its first word, its lowest anchor, (codes, two hashes of distinct words, word hashes, offsets)) of some texts."""
     offsets, codes, words = word_codes(texts)
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in words), np.uint64, len(words))[codes] if len(codes) else np.zeros(0, np.uint64)
+    both = _hashes(words)
+    h = both[0][codes]
     lengths = np.diff(offsets)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     n = len(codes) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), (codes, words, h)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), (codes, both, h, offsets)
     low = _lowest(_runs(h, SEED_WORDS), window - SEED_WORDS + 1)
     at = np.flatnonzero(owner[:n] == owner[window - 1:])
-    return owner[at], at, low[at], (codes, words, h, offsets)
+    return owner[at], at, low[at], (codes, both, h, offsets)
 
 
 def _anchors(window: int):
@@ -77,10 +85,12 @@ def _context(whole: np.ndarray, head: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _sums(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """A 64-bit value of the whole window at each of some places."""
-    out = np.zeros(len(at), np.uint64)
+    few = 4 * len(at) < len(h)  # else all windows are summed, without gathering, and then chosen
+    size = max(0, len(h) - window + 1)
+    out = np.zeros(len(at) if few else size, np.uint64)
     for j in range(window):
-        out += h[at + j] * np.uint64(MULT[20 + j])
-    return out
+        out += (h[at + j] if few else h[j:j + size]) * np.uint64(MULT[20 + j])
+    return out if few else out[at]
 
 
 def _upper(x: np.ndarray) -> pa.Array:
@@ -98,22 +108,24 @@ def _runs_of(window: int, hot: np.ndarray, want_hot: bool):
             ids, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, texts in slices(batch.column(2)):
                 owner, at, low, parts = _windows(texts, window)
-                if len(low):
-                    found = np.isin(low, hot, invert=not want_hot)
-                    owner, at, low = owner[found], at[found], low[found]
                 if not len(low):
                     continue
-                second = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in parts[1]), np.uint64, len(parts[1]))[parts[0]]
                 new = np.ones(len(at), bool)
-                new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
+                new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])  # windows of one text are neighbours
                 new[at % ((1 << LONGEST) - 1) == 0] = True
                 head = np.flatnonzero(new)
                 n = np.diff(np.append(head, len(at)))
-                c1, c2 = (_context(_sums(x, at, window), head, n) for x in (parts[2], second))
+                found = np.isin(low[head], hot, invert=not want_hot)
+                head, n = head[found], n[found]
+                if not len(head):
+                    continue
+                whole, first_of = at[_spread(head, n)], np.cumsum(n) - n
+                codes, both, h, offsets = parts
+                c1, c2 = (_context(_sums(x, whole, window), first_of, n) for x in (h, both[1][codes]))
                 who = owner[head]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(low[head].view(np.int64)), pa.array(c1.view(np.int64)), _upper(c2), pa.array(ids[first + who]), pa.array(ths[first + who]),
-                     pa.array(((at[head] - parts[3][who]) << LONGEST) + n)],
+                     pa.array(((at[head] - offsets[who]) << LONGEST) + n)],
                     ["h", "c", "d", "did", "th", "sn"])
     return run
 
@@ -136,7 +148,7 @@ def _whole(window: int):
             ids, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, texts in slices(batch.column(2)):
                 offsets, codes, words = word_codes(texts)
-                h1, h2 = (np.fromiter((xxhash.xxh64_intdigest(w, s) for w in words), np.uint64, len(words))[codes] for s in (7, 11))
+                h1, h2 = (x[codes] for x in _hashes(words))
                 lists = batch.column(3).slice(first, len(texts))
                 of = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
                 start, n = _places(lists.flatten())
@@ -154,7 +166,7 @@ def _cover(window: int):
     def run(batches):
         for batch in batches:
             ids = [None if x == NO_ID and th & 1 else x for x, th in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            n_words, n_gone, spans, kept = [], [], [], []
+            n_words, n_gone, n_spans, edges, kept = [], [], [], [], []
             for text, runs in zip(batch.column(2), batch.column(3)):
                 words = (text.as_py() or "").encode().split()
                 n_words.append(len(words))
@@ -164,17 +176,21 @@ def _cover(window: int):
                     np.add.at(step, at, 1)
                     np.add.at(step, at + n + window - 1, -1)
                     gone = np.cumsum(step[:-1]) > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                    spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
+                    edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+                    edges.append(edge)
+                    n_spans.append(len(edge) // 2)
                     n_gone.append(int(gone.sum()))
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
+                    words = compress(words, (~gone).tolist())
                 else:
-                    spans.append([])
+                    n_spans.append(0)
                     n_gone.append(0)
-                kept.append(b" ".join(words).decode())
+                kept.append(b" ".join(words))
+            edge = np.concatenate([*edges, np.zeros(0, np.int64)]).astype(np.int32)
+            spans = pa.StructArray.from_arrays([pa.array(edge[::2]), pa.array(edge[1::2])], ["start", "end"])
+            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_spans)]), pa.int32()), spans)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())],
+                 spans, pa.array(kept, pa.binary()).cast(pa.string())],
                 ["doc_id", "n_words", "n_removed", "spans", "kept_text"])
     return run
 

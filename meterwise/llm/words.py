@@ -43,7 +43,7 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     flat = pc.list_flatten(parts).cast(pa.large_binary()).dictionary_encode()
     if isinstance(flat, pa.ChunkedArray):
         flat = flat.combine_chunks()
-    words = flat.dictionary.to_pylist()
+    words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
     codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(counts)])
